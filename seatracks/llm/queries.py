@@ -54,7 +54,7 @@ WITH docs AS (
          sum(CASE WHEN b.full_at < a.full_at THEN 0 ELSE b.weight END) AS open_weight
   FROM levels a, levels b GROUP BY a.full_at
 ), level AS (
-  SELECT min((1.5::DOUBLE * (SELECT sum(source_size) FROM per)::DOUBLE - capped) / open_weight) AS level
+  SELECT arg_min((1.5::DOUBLE * (SELECT sum(source_size) FROM per)::DOUBLE - capped) / open_weight, full_at) AS level
   FROM tried WHERE (1.5::DOUBLE * (SELECT sum(source_size) FROM per)::DOUBLE - capped) / open_weight <= full_at
 ), targets AS (
   SELECT source, source_size, CASE WHEN level * weight >= cap THEN cap ELSE level * weight END AS target FROM levels, level
