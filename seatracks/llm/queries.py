@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, mixing, packing, quality_rules, simhash
+from . import language_id, licenses, lm_scoring, mixing, neighbours, packing, quality_rules, simhash, toxicity, warc
 from .common import table
 
 
@@ -16,6 +16,12 @@ def held_out(divisor: int, remainder: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor == remainder
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document is a file of its source's directory."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return licenses.scan(docs, "doc_id", F.concat_ws("/", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", held_out(4, 2))
     model = language_id.fit(docs.where(~F.coalesce("held_out", F.lit(True))))
@@ -39,6 +45,24 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages"))
+
+
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.scored(table(spark, sf_dir, "documents"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", held_out(3, 1))
+    labels = table(spark, sf_dir, "labels").where(~held_out(3, 1))
+    return toxicity.score(docs, toxicity.fit(docs, labels), ("doc_id", "held_out"))
+
+
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 #: The mix of op7 as DuckDB SQL: the level is found among the levels at which each source reaches its cap.
 OP7_SQL = r"""
 WITH docs AS (
@@ -73,7 +97,19 @@ FROM ordered
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op3_simhash, op5_quality_rules, op6_packing, op7_mixing)}
+    ops = (
+        op1_license_scan,
+        op2_language_id,
+        op3_simhash,
+        op4_warc,
+        op5_quality_rules,
+        op6_packing,
+        op7_mixing,
+        op8_lm_scoring,
+        op9_toxicity,
+        op10_neighbours,
+    )
+    return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
