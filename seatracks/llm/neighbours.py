@@ -154,11 +154,11 @@ def search(df: DataFrame, queries, id_col: str = "vec_id", vector_col: str = "em
 
     Candidates: about ``candidate_share`` of the rows, ``least_candidates`` at least, counted over all
     trees. Vectors that are null, zero or hold null or non-finite components, and vectors of another
-    dimension than the most usual (of equally usual ones the largest), take no part. Ties go to the smaller id. Rows that repeat an
-    id count once, with the best score. An empty table gives an empty result.
+    dimension than the most usual (of equally usual ones the largest), take no part. Ties go to the smaller id. Of rows that repeat an
+    id, that with the largest vector (element by element) counts. An empty table gives an empty result.
     """
     spark = df.sparkSession
-    vectors = written(usable(df, id_col, vector_col), "vectors")
+    vectors = written(usable(df, id_col, vector_col).groupBy("id").agg(F.max("v").alias("v")), "vectors")
     usual = vectors.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).agg(F.max(F.struct("n", "d")).alias("m")).select("m.*").first()
     kind = vectors.schema["id"].dataType.simpleString()
     schema = f"query_id {kind}, id {kind}, score double"
@@ -212,7 +212,8 @@ def search(df: DataFrame, queries, id_col: str = "vec_id", vector_col: str = "em
     def nearest(own: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
         if not len(own) or not len(asking):
             return pd.DataFrame({"query_id": asking["id"][:0], "id": own["id"][:0], "score": np.zeros(0)})
-        x, ids = np.stack(own["v"].to_numpy()), own["id"].to_numpy()
+        ids, first, who = np.unique(own["id"].to_numpy(), return_index=True, return_inverse=True)  # a vector has a row for each tree
+        x = np.stack(own["v"].to_numpy()[first])
         names, cell = np.unique(own["cell"].to_numpy(), return_inverse=True)
         q, q_ids, probed = np.stack(asking["v"].to_numpy()), asking["id"].to_numpy(), asking["cells"].to_numpy()
         out = []
@@ -223,7 +224,9 @@ def search(df: DataFrame, queries, id_col: str = "vec_id", vector_col: str = "em
                 at = np.searchsorted(names, probed[i + j])
                 at[at == len(names)] = 0
                 there[at[names[at] == probed[i + j]]] = True
-                row = np.flatnonzero(there[cell] & (ids != q_ids[i + j]))
+                reached = np.zeros(len(ids), dtype=bool)
+                reached[who[there[cell]]] = True
+                row = np.flatnonzero(reached & (ids != q_ids[i + j]))
                 if not len(row):
                     continue
                 kth = np.partition(near[j, row], -k)[-k] if len(row) > k else -np.inf
