@@ -110,7 +110,7 @@ class Classifier:
         return 1.0 / (1.0 + np.exp(-np.clip(logit, -30, 30)))
 
 
-def train(n: int, rows: tuple[np.ndarray, np.ndarray], labels: np.ndarray, swapped: list[tuple[np.ndarray, np.ndarray]], n_features: int, ridge: float = 1e-4, fairness: float = 1.0, steps: int = 300) -> tuple[np.ndarray, float]:
+def train(n: int, rows: tuple[np.ndarray, np.ndarray], labels: np.ndarray, swapped: list[tuple[np.ndarray, np.ndarray]], n_features: int, ridge: float = 1e-4, fairness: float = 1.0, steps: int = 600) -> tuple[np.ndarray, float]:
     """Weights and bias by accelerated gradient descent.
 
     rows: (row, feature) of the labelled rows. swapped: (features, features of the counterfactual) of the rows that have one.
@@ -124,22 +124,38 @@ def train(n: int, rows: tuple[np.ndarray, np.ndarray], labels: np.ndarray, swapp
             pair_sign.append(np.full(len(own), sign))
     pr, pf, ps = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (pair_row, pair_feature, pair_sign))
     weight = np.where(labels > 0, 0.5 / max(1, labels.sum()), 0.5 / max(1, (1 - labels).sum()))
-    w, b = np.zeros(n_features), 0.0
-    v, c, rate, t = w.copy(), b, 0.0, 1.0
-    largest = np.bincount(row, minlength=n).max(initial=0) + 1.0
-    rate = 1.0 / (0.25 * largest + ridge + (2 * fairness * np.bincount(pr, minlength=1).max() if len(pr) else 0.0))
+    # Rare features get longer steps: the descent runs on weights divided by this scale.
+    scale = 1.0 / np.sqrt(np.bincount(feature, weights=weight[row], minlength=n_features) + 1e-3)
+
+    def curved(v: np.ndarray) -> np.ndarray:
+        """An upper bound of the loss's Hessian times a direction (features, then the bias)."""
+        w = v[:-1] * scale
+        z = weight * (np.bincount(row, weights=w[feature], minlength=n) + v[-1])
+        out = 0.25 * np.bincount(feature, weights=z[row], minlength=n_features) + ridge * w
+        if len(pr):
+            gap = np.bincount(pr, weights=ps * w[pf], minlength=len(swapped))
+            out += 2 * fairness / len(swapped) * np.bincount(pf, weights=ps * gap[pr], minlength=n_features)
+        return np.append(out * scale, 0.25 * z.sum())
+
+    v = np.ones(n_features + 1)
+    for _ in range(20):
+        v = curved(v / np.linalg.norm(v))
+    rate = 0.9 / np.linalg.norm(v)
+    w, b, t = np.zeros(n_features), 0.0, 1.0
+    v, c = w.copy(), b
     for _ in range(steps):
-        p = 1.0 / (1.0 + np.exp(-np.clip(c + np.bincount(row, weights=v[feature], minlength=n), -30, 30)))
+        real = v * scale
+        p = 1.0 / (1.0 + np.exp(-np.clip(c + np.bincount(row, weights=real[feature], minlength=n), -30, 30)))
         e = weight * (p - labels)
-        gw = np.bincount(feature, weights=e[row], minlength=n_features) + ridge * v
+        gw = np.bincount(feature, weights=e[row], minlength=n_features) + ridge * real
         if len(pr):
-            gap = np.bincount(pr, weights=ps * v[pf], minlength=len(swapped))
+            gap = np.bincount(pr, weights=ps * real[pf], minlength=len(swapped))
             gw += 2 * fairness / len(swapped) * np.bincount(pf, weights=ps * gap[pr], minlength=n_features)
-        nw, nb = v - rate * gw, c - rate * e.sum()
+        nw, nb = v - rate * scale * gw, c - rate * e.sum()
         nt = (1 + np.sqrt(1 + 4 * t * t)) / 2
         v, c = nw + (t - 1) / nt * (nw - w), nb + (t - 1) / nt * (nb - b)
         w, b, t = nw, nb, nt
-    return w, float(b)
+    return w * scale, float(b)
 
 
 def _substrings(text: Column, n: int) -> Column:
@@ -155,7 +171,7 @@ def bounded_labels(labels: DataFrame, id_col: str, label_col: str, rows_per_labe
     return rows.where(unit < share)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows_per_label: int = 6000, most_features: int = 3000, least_z: float = 4.0, fairness: float = 1.0, ridge: float = 1e-4, groups=IDENTITY_GROUPS, seed: int = 11) -> Classifier:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows_per_label: int = 6000, most_features: int = 4000, least_z: float = 3.0, fairness: float = 1.0, ridge: float = 1e-4, groups=IDENTITY_GROUPS, seed: int = 11) -> Classifier:
     """Learn from the texts of ``docs`` whose id has a label of 0 or 1 in ``labels``.
 
     At most about ``rows_per_label`` of each label are used, whole texts each; that bounds the broadcast
