@@ -149,7 +149,7 @@ def fit(vectors: DataFrame, trees: int = 8, leaf_rows: int = 64, sample_rows: in
     return forest
 
 
-def search(df: DataFrame, queries, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, trees: int = 4, leaf_rows: int = 64, sample_rows: int = 20_000, candidate_share: float = 0.7, least_candidates: int = 4000, block_rows: int = 512, bucket_rows: int = 32_768, seed: int = 7) -> DataFrame:
+def search(df: DataFrame, queries, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, trees: int = 4, leaf_rows: int = 64, sample_rows: int = 20_000, candidate_share: float = 1.2, least_candidates: int = 4000, block_rows: int = 512, bucket_rows: int = 32_768, seed: int = 7) -> DataFrame:
     """(query_id, rank, id_col, score): the ``k`` nearest found for the rows that the condition ``queries`` (on column id) picks.
 
     Candidates: about ``candidate_share`` of the rows, ``least_candidates`` at least, counted over all
