@@ -1,8 +1,8 @@
 """Quality rules: statistics of each text, and cross-document line frequency within a host.
 
 Lines are normalised (lower case, digits to 0, white space squeezed) and hashed. For each host and
-line, documents are counted; copies of a document count once (documents are told apart by the hash of
-their longest line). A line above its host's limit, ``max(min_docs, share * documents of the
+line, documents are counted; copies of a document count once (documents are told apart by a hash of
+all their normalised lines). A line above its host's limit, ``max(min_docs, share * documents of the
 host)``, is boilerplate and removed; a document that keeps too little of its words is depleted and rejected.
 """
 
@@ -61,10 +61,10 @@ def repeated_words(codes: np.ndarray, offsets: np.ndarray, n_distinct: int) -> n
 
 
 def _lines(text: str) -> tuple[int, int | None, list[int], list[int]]:
-    """(repeated lines, hash of the longest line, hashes of the distinct lines, words under each)."""
+    """(repeated lines, hash of all normalised lines, hashes of the distinct lines, words under each)."""
     seen: set[str] = set()
     words: dict[int, int] = {}
-    again, longest, body = 0, -1, None
+    again = 0
     for line in text.split("\n"):
         h = line_hash(line)
         if h is None:
@@ -73,13 +73,12 @@ def _lines(text: str) -> tuple[int, int | None, list[int], list[int]]:
             again += 1
         seen.add(line)
         words[h] = words.get(h, 0) + len(line.encode("utf-8", "surrogatepass").split())
-        if len(line) > longest:
-            longest, body = len(line), h
+    body = xxhash.xxh64_intdigest(np.fromiter(words, dtype=np.int64, count=len(words)).tobytes()) >> 1
     return again, body, list(words), list(words.values())
 
 
 def text_statistics(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """id_col, host, the five statistics, body (hash of the longest line) and lines (hash, words) of each row."""
+    """id_col, host, the five statistics, body (hash of all lines) and lines (hash, words) of each row."""
 
     def run(batches):
         for batch in batches:
@@ -121,7 +120,7 @@ def base_failed(min_words: int = 50, max_repeat_percent: int = 50):
     return (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
 
 
-def frequent_lines(stats: DataFrame, share: float = 0.1, min_docs: int = 5) -> DataFrame:
+def frequent_lines(stats: DataFrame, share: float = 0.1, min_docs: int = 10) -> DataFrame:
     """(host, h) of the lines above their host's limit."""
     host = F.coalesce("host", F.lit(""))
     hosts = stats.groupBy(host.alias("host")).agg(F.count("*").alias("docs"))
@@ -132,7 +131,7 @@ def frequent_lines(stats: DataFrame, share: float = 0.1, min_docs: int = 5) -> D
     return often.join(hosts, "host").where(F.col("docs") > F.col("most")).select("host", "h")
 
 
-def judged(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", share: float = 0.1, min_docs: int = 5, min_left: float = 0.3) -> tuple[DataFrame, DataFrame]:
+def judged(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", share: float = 0.1, min_docs: int = 10, min_left: float = 0.3) -> tuple[DataFrame, DataFrame]:
     """(verdicts, removed): the statistics of each row with base_failed, words_removed and kept; and (id_col, host, hashes) of the lines to remove.
 
     Null and empty texts have no words and fail the base rule; a null host is a host of its own (with
