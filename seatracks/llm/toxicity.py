@@ -2,9 +2,9 @@
 
 Features are strings looked up inside ``^word$``: character n-grams and whole words that occur
 significantly more often in toxic rows, and the identity terms. Weights minimise the logistic loss over a
-bounded sample of labelled rows, plus a ridge, plus a penalty on the squared difference of the logits of a text
-and its counterfactual, in which each identity term is swapped for the next of its group. So a
-mere mention of a group cannot carry a score.
+bounded sample of labelled rows, plus a ridge, plus a penalty on the squared differences of the logits of a text
+and its counterfactuals: one in which each identity term is swapped for the next of its group, and one in which it
+is swapped for a neutral word that is no feature. So a mere mention of a group cannot carry a score.
 """
 
 from __future__ import annotations
@@ -75,18 +75,18 @@ class FeatureTable:
         return pair // len(self.features), pair % len(self.features)
 
     def of_texts(self, texts: pa.Array, swaps: dict[str, str] | None = None):
-        """(text, feature), each once; with ``swaps`` also the same of the counterfactuals of the texts that have one."""
+        """(text, feature), each once; with ``swaps`` also the same of both counterfactuals of the texts that have them."""
         codes, words, offsets = words_of(texts)
         words = words.to_pylist()
         text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
         plain = self._pairs(text, codes, words)
         if swaps is None:
             return plain
-        swapped = [swaps.get(w, w) for w in words]
+        swapped, neutral = [swaps.get(w, w) for w in words], ["" if w in swaps else w for w in words]
         named = np.fromiter((w in swaps for w in words), dtype=bool, count=len(words))
         with_term = np.unique(text[named[codes]]) if len(codes) else np.zeros(0, dtype=np.int64)
         mine = np.isin(text, with_term)
-        return plain, self._pairs(text[mine], codes[mine], swapped), with_term
+        return plain, self._pairs(text[mine], codes[mine], swapped), self._pairs(text[mine], codes[mine], neutral), with_term
 
     def _pairs(self, text: np.ndarray, codes: np.ndarray, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         word, feature = self.of_words(words)
@@ -134,7 +134,7 @@ def train(n: int, rows: tuple[np.ndarray, np.ndarray], labels: np.ndarray, swapp
         out = 0.25 * np.bincount(feature, weights=z[row], minlength=n_features) + ridge * w
         if len(pr):
             gap = np.bincount(pr, weights=ps * w[pf], minlength=len(swapped))
-            out += 2 * fairness / len(swapped) * np.bincount(pf, weights=ps * gap[pr], minlength=n_features)
+            out += 2 * fairness / max(1, len(swapped)) * np.bincount(pf, weights=ps * gap[pr], minlength=n_features)
         return np.append(out * scale, 0.25 * z.sum())
 
     v = np.ones(n_features + 1)
@@ -150,7 +150,7 @@ def train(n: int, rows: tuple[np.ndarray, np.ndarray], labels: np.ndarray, swapp
         gw = np.bincount(feature, weights=e[row], minlength=n_features) + ridge * real
         if len(pr):
             gap = np.bincount(pr, weights=ps * real[pf], minlength=len(swapped))
-            gw += 2 * fairness / len(swapped) * np.bincount(pf, weights=ps * gap[pr], minlength=n_features)
+            gw += 2 * fairness / max(1, len(swapped)) * np.bincount(pf, weights=ps * gap[pr], minlength=n_features)
         nw, nb = v - rate * scale * gw, c - rate * e.sum()
         nt = (1 + np.sqrt(1 + 4 * t * t)) / 2
         v, c = nw + (t - 1) / nt * (nw - w), nb + (t - 1) / nt * (nb - b)
@@ -209,20 +209,21 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def look_up(batches):
         for batch in batches:
             for part in text_chunks(batch, "text"):
-                (row, feature), (row2, feature2), with_term = table.of_texts(part.column(0), swaps)
+                (row, feature), (row2, feature2), (row3, feature3), with_term = table.of_texts(part.column(0), swaps)
                 cut = lambda r, f: [x.astype(np.int32) for x in np.split(f, np.searchsorted(r, np.arange(1, part.num_rows)))]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(1), pa.array(cut(row, feature), pa.list_(pa.int32())), pa.array(cut(row2, feature2), pa.list_(pa.int32())), pa.array(np.isin(np.arange(part.num_rows), with_term))],
-                    names=["label", "features", "swapped", "named"],
+                    [part.column(1), pa.array(cut(row, feature), pa.list_(pa.int32())), pa.array(cut(row2, feature2), pa.list_(pa.int32())), pa.array(cut(row3, feature3), pa.list_(pa.int32())), pa.array(np.isin(np.arange(part.num_rows), with_term))],
+                    names=["label", "features", "swapped", "neutral", "named"],
                 )
 
-    got = sample.mapInArrow(look_up, "label int, features array<int>, swapped array<int>, named boolean").toPandas()  # bounded by the sample
+    got = sample.mapInArrow(look_up, "label int, features array<int>, swapped array<int>, neutral array<int>, named boolean").toPandas()  # bounded by the sample
     if not {0, 1} <= set(got["label"]):
         return Classifier(features, np.zeros(len(features)), -30.0)
     n = len(got)
     row = np.repeat(np.arange(n), got["features"].map(len))
     feature = np.concatenate([np.asarray(x, dtype=np.int64) for x in got["features"]])
-    pairs = [(np.asarray(a, dtype=np.int64), np.asarray(b, dtype=np.int64)) for a, b, named in zip(got["features"], got["swapped"], got["named"]) if named]
+    named = got[got["named"]]
+    pairs = [(np.asarray(a, dtype=np.int64), np.asarray(b, dtype=np.int64)) for other in ("swapped", "neutral") for a, b in zip(named["features"], named[other])]
     weights, bias = train(n, (row, feature), got["label"].to_numpy().astype(float), pairs, len(features), ridge, fairness)
     return Classifier(features, np.round(weights, 9), round(bias, 9))
 
