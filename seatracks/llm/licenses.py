@@ -2,7 +2,7 @@
 
 Passages (lines of any text, and the whole text of files named like a licence) are compared with
 short templates. Only passages that hold an anchor word are scored: a template's anchors are its
-heaviest words, so many that without any of them no passage reaches the threshold. Files whose words
+heaviest words, numbers last, so many that without any of them no passage reaches the threshold. Files whose words
 are mostly licence lines, or that are named like a licence, set the licence of their directory; a file
 without a licence of its own takes that of the nearest directory above it. DataFrame functions only.
 """
@@ -33,6 +33,8 @@ TEMPLATES = (
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0 Universal."),
     ("All-rights-reserved", "All rights reserved."),
 )
+# Words that are common in any text and count in no vector.
+COMMON = frozenset("a all an and any are as at be by for from in is it no not of on or that the this to under use was with without work".split())
 TERM = r"[a-z0-9]+"
 LICENSE_FILE = r"(?i)(^|/)(licen[cs]e|copying|copyright|unlicense)([.-][^/]*)?$"
 THRESHOLD = 0.75
@@ -44,7 +46,7 @@ def template_vectors(templates=TEMPLATES, threshold: float = THRESHOLD):
     """(idf by word, idf of other words, unit weights by (template, word), anchors)."""
     import re
 
-    bags = [Counter(re.findall(TERM, text.lower())) for _, text in templates]
+    bags = [Counter(w for w in re.findall(TERM, text.lower()) if w not in COMMON) for _, text in templates]
     n = len(bags)
     df = Counter(w for bag in bags for w in bag)
     idf = {w: math.log((1 + n) / (1 + k)) + 1 for w, k in df.items()}
@@ -56,7 +58,7 @@ def template_vectors(templates=TEMPLATES, threshold: float = THRESHOLD):
         unit = {w: x / norm for w, x in raw.items()}
         weights |= {(t, w): x for w, x in unit.items()}
         rest = 1.0
-        for w, x in sorted(unit.items(), key=lambda p: (-p[1], p[0])):
+        for w, x in sorted(unit.items(), key=lambda p: (p[0].isdigit(), -p[1], p[0])):
             if rest < (threshold - 1e-9) ** 2:
                 break
             anchors.add(w)
@@ -98,11 +100,12 @@ def scan(df: DataFrame, id_col: str, path: Column, text_col: str = "text", templ
     words = F.when(F.size("passages") > 0, F.regexp_count("text", F.lit(WORD))).otherwise(0)
     files = written(files.withColumn("n_words", words).drop("text"), "files")
 
-    passages = files.select("rid", F.posexplode("passages").alias("pos", "passage"))
-    terms = passages.select("rid", "pos", F.explode(_terms(F.col("passage"))).alias("word")).groupBy("rid", "pos", "word").agg(F.count("*").alias("tf"))
+    passages = files.select("rid", F.posexplode("passages").alias("pos", "passage")).select("rid", "pos", _terms(F.col("passage")).alias("words"))
+    terms = passages.select("rid", "pos", F.size("words").alias("n_terms"), F.explode("words").alias("word")).where(~F.col("word").isin(*sorted(COMMON)))
+    terms = terms.groupBy("rid", "pos", "n_terms", "word").agg(F.count("*").alias("tf"))
     weighed = terms.join(F.broadcast(vocabulary), "word", "left").withColumn("x", F.col("tf") * F.coalesce("idf", F.lit(other)))
-    weighed = written(weighed.select("rid", "pos", "word", "tf", "x"), "terms")
-    norms = weighed.groupBy("rid", "pos").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"), F.sum("tf").alias("n_terms"))
+    weighed = written(weighed.select("rid", "pos", "n_terms", "word", "x"), "terms")
+    norms = weighed.groupBy("rid", "pos", "n_terms").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
     dots = weighed.join(F.broadcast(vectors), "word").groupBy("rid", "pos", "template").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"))
     scored = dots.join(norms, ["rid", "pos"]).withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("score") >= threshold)
     line_best = scored.groupBy("rid", "pos", "n_terms").agg(F.max(F.struct("score", (-F.col("template")).alias("t"))).alias("best"))
