@@ -28,13 +28,37 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.closing = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)  # ids that end a word
+        for token, i in self.tokenizer.get_vocab().items():
+            self.closing[i] = token.endswith("</w>")
 
-    def of_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words one after the other, and how many each has."""
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        counts = np.fromiter(map(len, got), dtype=np.int64, count=len(got))
-        flat = np.fromiter((i for ids in got for i in ids), dtype=np.uint32, count=int(counts.sum()))
-        return flat, counts
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def of_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and where in them each word's own start and how many there are.
+
+        Words of letters only are encoded many at a time and told apart by the ids that end a word.
+        """
+        starts, counts = np.zeros(len(words), dtype=np.int64), np.zeros(len(words), dtype=np.int64)
+        letters = np.fromiter((w.isalpha() for w in words), dtype=bool, count=len(words))
+        flat, size, single = [], 0, [np.flatnonzero(~letters)]
+        runs = [own for own in np.array_split(np.flatnonzero(letters), -(-int(letters.sum()) // 256)) if len(own)] if letters.any() else []
+        for own, got in zip(runs, self._encode([" ".join(words[i] for i in own) for own in runs])):
+            ids = np.array(got, dtype=np.uint32)
+            ends = np.flatnonzero(self.closing[ids]) + 1
+            if len(ends) != len(own) or ends[-1] != len(ids):
+                single.append(own)  # a word in the run falls apart when it is lower-cased
+                continue
+            starts[own], counts[own] = size + np.concatenate([[0], ends[:-1]]), np.diff(ends, prepend=0)
+            flat.append(ids)
+            size += len(ids)
+        rest = np.concatenate(single)
+        got = self._encode([words[i] for i in rest])
+        counts[rest] = np.fromiter(map(len, got), dtype=np.int64, count=len(got))
+        starts[rest] = size + np.cumsum(counts[rest]) - counts[rest]
+        flat.append(np.fromiter((i for ids in got for i in ids), dtype=np.uint32, count=int(counts[rest].sum())))
+        return np.concatenate(flat), starts, counts
 
     def of_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and the offset of each text (one more at the end)."""
@@ -43,8 +67,7 @@ class WordTokens:
             # The tokenizer lower-cases, and always splits between a letter and these signs.
             texts = pc.replace_substring_regex(pc.ascii_lower(texts), r"([a-z])([.,!?])", r"\1 \2")
         codes, words, offsets = split_words(texts)
-        flat, counts = self.of_words(words.to_pylist())
-        starts = np.concatenate([[0], np.cumsum(counts)])[:-1]
+        flat, starts, counts = self.of_words(words.to_pylist())
         lengths = counts[codes] if len(codes) else np.zeros(0, dtype=np.int64)
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0
