@@ -9,10 +9,11 @@ without a licence of its own takes that of the nearest directory above it. DataF
 
 from __future__ import annotations
 
+import json
 import math
 from collections import Counter
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import WORD, written
@@ -70,6 +71,11 @@ def _terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
 
 
+def _table(spark: SparkSession, rows: list[dict], fields: str) -> DataFrame:
+    """A small fixed table from one literal."""
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{fields}>>")))
+
+
 def scan(df: DataFrame, id_col: str, path: Column, text_col: str = "text", templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """(id_col, path, license, score, found, license_dir) for each row of ``df``.
 
@@ -80,9 +86,8 @@ def scan(df: DataFrame, id_col: str, path: Column, text_col: str = "text", templ
     """
     spark = df.sparkSession
     idf, other, weights, anchors = template_vectors(templates, threshold)
-    rows = lambda items, *names: spark.range(1).select(F.inline(F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(names, x))) for x in items))))
-    vocabulary = rows(idf.items(), "word", "idf")  # as many rows as the templates have words
-    vectors = rows(((t, w, x) for (t, w), x in weights.items()), "template", "word", "weight")
+    vocabulary = _table(spark, [{"word": w, "idf": x} for w, x in idf.items()], "word:string,idf:double")  # as many rows as the templates have words
+    vectors = _table(spark, [{"template": t, "word": w, "weight": x} for (t, w), x in weights.items()], "template:int,word:string,weight:double")
     names = F.array(*(F.lit(name) for name, _ in templates))
     anchor = r"(?<![a-z0-9])(?:" + "|".join(anchors) + r")(?![a-z0-9])"
 

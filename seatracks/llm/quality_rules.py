@@ -1,6 +1,6 @@
 """Quality rules: statistics of each text, and cross-document line frequency within a host.
 
-Lines are normalised (lower case, digits to 0, white space squeezed) and hashed. For each host and
+Lines are normalised (lower case, 0-9 to 0, white space squeezed) and hashed. For each host and
 line, documents are counted; copies of a document count once (documents are told apart by a hash of
 all their normalised lines). A line above its host's limit, ``max(min_docs, share * documents of the
 host)``, is boilerplate and removed; a document that keeps too little of its words is depleted and rejected.
@@ -21,7 +21,7 @@ from .common import split_words, text_chunks, written
 
 SYMBOLS = b"#*$%&|<>"
 WHITE = b" \t\n\x0b\x0c\r"
-DIGITS = re.compile(r"\d")
+DIGITS = re.compile(r"[0-9]")
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 

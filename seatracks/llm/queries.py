@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, licenses, lm_scoring, mixing, neighbours, packing, quality_rules, simhash, toxicity, warc
+from . import language_id, licenses, lm_scoring, mixing, neighbours, packing, quality_rules, simhash, sql, toxicity, warc
 from .common import table
 
 
@@ -63,39 +63,6 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
 
-#: The mix of op7 as DuckDB SQL: the level is found among the levels at which each source reaches its cap.
-OP7_SQL = r"""
-WITH docs AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
-), per AS (
-  SELECT source, sum(size)::BIGINT AS source_size FROM docs GROUP BY source
-), weighed AS (
-  SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight FROM per
-), levels AS (
-  SELECT *, 2.0::DOUBLE * source_size AS cap, 2.0::DOUBLE * source_size / weight AS full_at FROM weighed
-), tried AS (
-  SELECT a.full_at, sum(CASE WHEN b.full_at < a.full_at THEN b.cap ELSE 0 END) AS capped,
-         sum(CASE WHEN b.full_at < a.full_at THEN 0 ELSE b.weight END) AS open_weight
-  FROM levels a, levels b GROUP BY a.full_at
-), level AS (
-  SELECT arg_min((1.5::DOUBLE * (SELECT sum(source_size) FROM per)::DOUBLE - capped) / open_weight, full_at) AS level
-  FROM tried WHERE (1.5::DOUBLE * (SELECT sum(source_size) FROM per)::DOUBLE - capped) / open_weight <= full_at
-), targets AS (
-  SELECT source, source_size, CASE WHEN level * weight >= cap THEN cap ELSE level * weight END AS target FROM levels, level
-), split AS (
-  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM targets
-), ordered AS (
-  SELECT d.doc_id, d.size, s.source_size, s.target, s.whole,
-         round_even(s.target - s.whole * s.source_size, 0)::BIGINT AS extra,
-         sum(d.size) OVER (PARTITION BY d.source ORDER BY md5('17:' || d.doc_id), d.doc_id, d.size ROWS UNBOUNDED PRECEDING) AS upto
-  FROM docs d JOIN split s ON d.source IS NOT DISTINCT FROM s.source
-)
-SELECT doc_id, size, source_size, target,
-       (whole * size + least(size, greatest(0, extra - (upto - size))))::BIGINT AS taken
-FROM ordered
-"""
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = (
         op1_license_scan,
@@ -113,4 +80,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixing": OP7_SQL}
+    return sql.oracle_sql()
