@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,9 +28,10 @@ def split_exact(tracks: DataFrame, sizes: dict[str, int], seed: int = 42) -> Dat
         return ids.select("trajectory_id", F.lit(None).cast("string").alias("split"))
     starts, before = [], 0
     for p in sorted(per):
-        starts.append((p, before))
+        starts.append({"_p": p, "_before": before})
         before += per[p]
-    offsets = F.broadcast(tracks.sparkSession.range(1).select(F.inline(F.array(*(F.struct(F.lit(p).alias("_p"), F.lit(b).alias("_before")) for p, b in starts)))))
+    table = F.inline(F.from_json(F.lit(json.dumps(starts)), "array<struct<_p:string,_before:bigint>>"))
+    offsets = F.broadcast(tracks.sparkSession.range(1).select(table))  # 4,096 rows at most
     rank = F.col("_before") + F.row_number().over(Window.partitionBy("_p").orderBy("_h", "trajectory_id")) - 1
     split, upto = None, 0
     for name, n in sizes.items():
