@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
@@ -45,8 +47,18 @@ def written(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def text_chunks(batch: pa.RecordBatch, text_col: str, max_bytes: int = 16 << 20):
-    """Split an Arrow batch into slices of about ``max_bytes`` of text, at least one row each."""
+def give_back() -> None:
+    """Return freed memory to the system: Python workers live on between tasks and would keep it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def text_chunks(batch: pa.RecordBatch, text_col: str, max_bytes: int = 4 << 20):
+    """Split an Arrow batch into slices of about ``max_bytes`` of text, at least one row each.
+
+    What a slice took is given back before the next one, so a worker needs memory for one slice.
+    """
     lengths = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text_col))), 0)
     ends = np.cumsum(lengths.to_numpy(zero_copy_only=False).astype(np.int64))
     start, n = 0, batch.num_rows
@@ -55,6 +67,7 @@ def text_chunks(batch: pa.RecordBatch, text_col: str, max_bytes: int = 16 << 20)
         stop = max(start + 1, int(np.searchsorted(ends, base + max_bytes, side="right")))
         yield batch.slice(start, stop - start)
         start = stop
+        give_back()
 
 
 def split_words(texts: pa.Array, sep_regex: str | None = None) -> tuple[np.ndarray, pa.Array, np.ndarray]:

@@ -219,7 +219,8 @@ def predict(df: DataFrame, model: PieceModel, keep: tuple[str, ...] = ("doc_id",
                 best = np.full(part.num_rows, len(model.langs))
                 score = np.zeros(part.num_rows)
                 if model.langs:
-                    total = sum_by_text(model.forward(words.to_pylist())[codes], offsets)
+                    each = model.forward(words.to_pylist())
+                    total = np.stack([sum_by_text(each[codes, k], offsets) for k in range(each.shape[1])], axis=1)
                     some = np.flatnonzero(np.diff(offsets) > 0)
                     top = total[some].max(axis=1, initial=-np.inf)
                     best[some] = total[some].argmax(axis=1)
