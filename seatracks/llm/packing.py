@@ -161,7 +161,7 @@ def packed(cut: DataFrame, id_col: str = "doc_id", capacity: int = CAPACITY) ->
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = written(counts.select("length", "_part", before.alias("_before")), "starts")
     order = Window.partitionBy("length", "_part").orderBy(id_col, "piece", "start", "ids_crc32")
-    ranked = cut.join(starts, ["length", "_part"]).withColumn("_rank", F.col("_before") + F.row_number().over(order) - 1)
+    ranked = cut.join(starts.hint("merge"), ["length", "_part"]).withColumn("_rank", F.col("_before") + F.row_number().over(order) - 1)
     lines = np.array(sorted(plan.lines), dtype=np.int64).reshape(-1, 5)
     shared = cut.sparkSession.sparkContext.broadcast(lines)  # its size is bounded by the lengths, not by the pieces
     names = [c for c in cut.columns if c != "_part"]
