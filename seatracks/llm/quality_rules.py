@@ -2,8 +2,9 @@
 
 Lines are normalised (lower case, 0-9 to 0, white space squeezed) and hashed. For each host and
 line, documents are counted; copies of a document count once (documents are told apart by a hash of
-all their normalised lines). A line above its host's limit, ``max(min_docs, share * documents of the
-host)``, is boilerplate and removed; a document that keeps too little of its words is depleted and rejected.
+all their normalised lines). A line above its host's limit is boilerplate and removed; a document that
+keeps too little of its words is depleted and rejected. The limit is ``max(min_docs, share * rows of the
+host)``, as the SQL of op5 has it, or, given ``most_docs``, that many documents in a host of any size.
 """
 
 from __future__ import annotations
@@ -120,25 +121,27 @@ def base_failed(min_words: int = 50, max_repeat_percent: int = 50):
     return (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
 
 
-def frequent_lines(stats: DataFrame, share: float = 0.1, min_docs: int = 10) -> DataFrame:
+def frequent_lines(stats: DataFrame, share: float = 0.1, min_docs: int = 10, most_docs: int | None = None) -> DataFrame:
     """(host, h) of the lines above their host's limit."""
     host = F.coalesce("host", F.lit(""))
-    hosts = stats.groupBy(host.alias("host")).agg(F.count("*").alias("docs"))
-    hosts = written(hosts.select("host", F.greatest(F.lit(float(min_docs)), F.col("docs") * share).alias("most")), "hosts")
     pairs = stats.select(host.alias("host"), "body", F.explode("lines.h").alias("h"))
     counts = pairs.groupBy("host", "h", "body").agg(F.lit(1).alias("one")).groupBy("host", "h").agg(F.count("*").alias("docs"))
+    if most_docs is not None:
+        return counts.where(F.col("docs") > most_docs).select("host", "h")
+    hosts = stats.groupBy(host.alias("host")).agg(F.count("*").alias("docs"))
+    hosts = written(hosts.select("host", F.greatest(F.lit(float(min_docs)), F.col("docs") * share).alias("most")), "hosts")
     often = written(counts.where(F.col("docs") > min_docs), "often")
     return often.join(hosts, "host").where(F.col("docs") > F.col("most")).select("host", "h")
 
 
-def judged(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", share: float = 0.1, min_docs: int = 10, min_left: float = 0.3) -> tuple[DataFrame, DataFrame]:
+def judged(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", share: float = 0.1, min_docs: int = 10, min_left: float = 0.3, most_docs: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(verdicts, removed): the statistics of each row with base_failed, words_removed and kept; and (id_col, host, hashes) of the lines to remove.
 
     Null and empty texts have no words and fail the base rule; a null host is a host of its own (with
     the empty name); repeated rows are judged alike; an empty table gives empty results.
     """
     stats = written(text_statistics(df, id_col, text_col, host_col).withColumn("rid", F.monotonically_increasing_id()), "stats")
-    often = written(frequent_lines(stats, share, min_docs), "frequent")
+    often = written(frequent_lines(stats, share, min_docs, most_docs), "frequent")
     lines = stats.select("rid", id_col, F.coalesce("host", F.lit("")).alias("host"), F.explode("lines").alias("line")).select("rid", id_col, "host", F.col("line.h").alias("h"), F.col("line.w").alias("w"))
     gone = written(lines.join(often, ["host", "h"]).groupBy("rid").agg(F.sum("w").alias("words_removed"), F.first(id_col).alias(id_col), F.collect_set("h").alias("hashes")), "gone")
     verdicts = stats.drop("lines", "body").join(gone.select("rid", "words_removed"), "rid", "left").fillna(0, ["words_removed"])

@@ -54,6 +54,21 @@ def test_boilerplate_lines_are_removed_and_depleted_documents_rejected(spark):
     assert 20 not in left and left[3] == own(3) and left[200].endswith(foot)
 
 
+def test_stage_removes_frequent_lines_from_large_hosts_and_hosts_of_copies(spark):
+    import corpus_pipeline as P
+
+    letters = lambda n: "".join(chr(97 + int(c)) for c in str(n))  # noqa: E731  digits count as one
+    own = lambda i: " ".join(f"word{letters(i)}x{letters(k)}" for k in range(60))
+    foot = "footer " * 3
+    rows = [(i, own(i) + (f"\n{foot}" if i < 15 else ""), "large") for i in range(300)]  # 15 of 300 documents, under a tenth
+    rows += [(1000 + i, f"{own(999)}\n{foot}", "copies") for i in range(200)]  # 200 rows, but 1 document
+    rows += [(2000 + i, f"{own(2000 + i)}\n{foot}", "copies") for i in range(12)]
+    rows += [(3000 + i, f"{own(3000 + i)}\n{foot}", "rare") for i in range(10)]
+    left = {r["doc_id"]: r["text"] for r in P.apply_quality_rules(spark, spark.createDataFrame(rows, SCHEMA), "").collect()}
+    assert set(left) == {i for i, _, _ in rows}
+    assert all(("footer" in left[i]) == (host == "rare") for i, _, host in rows)
+
+
 def test_empty_and_repeated_rows(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert Q.judged(empty)[0].count() == 0 and Q.cleaned(empty).count() == 0
