@@ -9,7 +9,8 @@ in double precision.
 
 A leaf is dealt out in blocks of about ``block_rows`` rows by a hash of the id, and blocks by a hash to
 buckets of about ``bucket_rows`` rows, so a leaf full of copies is many tasks' work; a query goes
-once to each bucket that holds blocks it probes.
+once to each bucket that holds blocks it probes. Queries are dealt by a hash of their id to groups of about
+``query_rows``, and a bucket's rows are repeated for each group: what one task holds is bounded on both sides.
 """
 
 from __future__ import annotations
@@ -149,7 +150,7 @@ def fit(vectors: DataFrame, trees: int = 8, leaf_rows: int = 64, sample_rows: in
     return forest
 
 
-def search(df: DataFrame, queries, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, trees: int = 4, leaf_rows: int = 64, sample_rows: int = 20_000, candidate_share: float = 1.2, least_candidates: int = 4000, block_rows: int = 512, bucket_rows: int = 32_768, seed: int = 7) -> DataFrame:
+def search(df: DataFrame, queries, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, trees: int = 4, leaf_rows: int = 64, sample_rows: int = 20_000, candidate_share: float = 1.2, least_candidates: int = 4000, block_rows: int = 512, bucket_rows: int = 32_768, query_rows: int = 16_384, seed: int = 7) -> DataFrame:
     """(query_id, rank, id_col, score): the ``k`` nearest found for the rows that the condition ``queries`` (on column id) picks.
 
     Candidates: about ``candidate_share`` of the rows, ``least_candidates`` at least, counted over all
@@ -184,6 +185,8 @@ def search(df: DataFrame, queries, id_col: str = "vec_id", vector_col: str = "em
     most_counted = max(2 * leaf_rows, int(4 * counts.sum() / max(1, n_leaves)))
 
     n_buckets = max(1, int(-(-counts.sum() // bucket_rows)))
+    n_groups = max(1, -(-vectors.where(queries).count() // query_rows))
+    group = F.pmod(F.xxhash64("id", F.lit(seed + 2)), F.lit(n_groups))
     cells = np.concatenate([[0], np.cumsum(blocks)])  # number of a leaf's first block
 
     def bucket_of(cell: np.ndarray) -> np.ndarray:
@@ -241,7 +244,9 @@ def search(df: DataFrame, queries, id_col: str = "vec_id", vector_col: str = "em
 
     dealt = placed.select("leaf", F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(1 << 30)).alias("salt"), "id", "v").mapInArrow(deal, f"bucket bigint, cell bigint, id {kind}, v array<double>")
     asked = vectors.where(queries).mapInArrow(probe, f"bucket bigint, cells array<bigint>, id {kind}, v array<double>")
-    found = dealt.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInPandas(nearest, schema)
+    dealt = dealt.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1)))).withColumn("group", F.col("group").cast("bigint"))
+    asked = asked.withColumn("group", group)
+    found = dealt.groupBy("bucket", "group").cogroup(asked.groupBy("bucket", "group")).applyInPandas(nearest, schema)
     found = found.groupBy("query_id", "id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")

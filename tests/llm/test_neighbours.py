@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -62,6 +64,16 @@ def test_recall_where_not_all_leaves_are_searched(spark):
     assert len(got) == 30 * 20 and hits / len(got) >= 0.9
 
 
+def test_queries_are_dealt_to_bounded_groups_and_find_the_same(spark):
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame([(i, as_float(x)) for i, x in enumerate(rng.normal(size=(600, 6)))], SCHEMA)
+    want = N.search(df, F.col("id") % 2 == 0, k=5, bucket_rows=100_000).collect()
+    found = N.search(df, F.col("id") % 2 == 0, k=5, bucket_rows=100_000, query_rows=30)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"hashpartitioning\(bucket#\d+L?, group#\d+L?", plan)) == 2 and re.search(r"pmod\(xxhash64\(id#\d+L?, \d+, 42\), 10\)", plan)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want)) and len(want) == 300 * 5
+
+
 def test_query_recall(spark, data):
     e = spark.read.parquet(f"{data}/embeddings.parquet").select("vec_id", "embedding").collect()
     vectors = {r["vec_id"]: r["embedding"] for r in e}
