@@ -155,20 +155,21 @@ class PieceModel:
 def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", vocabulary: str | None = None, docs_per_lang: int = 1000, rounds: int = 3, seed: int = 42) -> PieceModel:
     """Learn the piece probabilities from rows with a non-null language and text.
 
-    Of each language about ``docs_per_lang`` rows (a bound on the sample; all, if fewer) are picked by a
-    hash of the text, whole texts each. What reaches the driver is one number for each piece and language.
+    Of each language about ``docs_per_lang`` different texts (a bound on the sample; all, if fewer) are picked
+    by their hash, whole texts each; copies count once. What reaches the driver is one number for each piece and language.
     """
     pieces = load_pieces(vocabulary or default_vocabulary())
     rows = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    per_lang = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    rows = rows.withColumn("hash", F.xxhash64("text", F.lit(seed)))
+    per_lang = {r["lang"]: r["n"] for r in rows.select("lang", "hash").distinct().groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(per_lang)
     prob = np.full((len(pieces) + 1, max(1, len(langs))), 1.0 / (len(pieces) + 1))
     model = PieceModel(pieces, langs, prob)
     if not langs:
         return model
     share = F.create_map(*(F.lit(x) for k in langs for x in (k, min(1.0, docs_per_lang / per_lang[k]))))
-    unit = (F.xxhash64("text", F.lit(seed)) % F.lit(1 << 31)) / F.lit(float(1 << 31))
-    sample = rows.where(F.abs(unit) < share[F.col("lang")])
+    unit = (F.col("hash") % F.lit(1 << 31)) / F.lit(float(1 << 31))
+    sample = rows.where(F.abs(unit) < share[F.col("lang")]).dropDuplicates(["lang", "hash"]).select("lang", "text")
 
     def count_words(batches):
         for batch in batches:

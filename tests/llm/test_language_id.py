@@ -48,6 +48,13 @@ def test_expected_counts_add_up(toy):
     assert (got * length).sum() == pytest.approx(2 * 3 + 3 * 5)  # every character of every word lies in one piece
 
 
+def test_a_language_of_copies_is_learnt_and_copies_count_once(spark):
+    rows = [("der hund und die katze", "de"), ("the dog and the cat", "en")]
+    once = L.fit(spark.createDataFrame(rows, "text string, lang string"), docs_per_lang=1)
+    copies = L.fit(spark.createDataFrame(rows * 200, "text string, lang string"), docs_per_lang=1)
+    assert all(len(set(copies.prob[:, k])) > 1 for k in range(2)) and np.array_equal(once.prob, copies.prob)
+
+
 def test_odd_rows(spark):
     rows = [("der hund und die katze", "de"), ("the dog and the cat", "en")] * 20
     train = spark.createDataFrame(rows + [(None, "en"), ("x", None)], "text string, lang string")
