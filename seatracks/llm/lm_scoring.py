@@ -1,14 +1,17 @@
 """Stupid-backoff language-model scores, computed relationally.
 
-Texts become ids of a fixed public vocabulary; n-grams of each order are counted over all texts into
-tables that are partitioned by a hash of the n-gram; each text's n-grams are joined to the tables of
-its order and below, and the logarithms of S(w | context) are summed for each text:
+Every text becomes ids of a fixed public vocabulary once; the ids are kept in a table of chunks of whole texts.
+A chunk's n-grams of the highest order are exploded with their counts (equal ones of a chunk first added up), counted
+over all chunks into a table that is partitioned by a hash of the n-gram, and the tables of the lower orders are sums
+of it. Joins of these tables, by hash as well, give each n-gram's logarithm of
 
     S_n = c(context w) / c(context)  if c(context w) >= least_count,  else  backoff * S_(n-1)
     S_1 = c(w) / N
 
-The unigram table has at most as many rows as the vocabulary and is broadcast. Other tables are broadcast up to
-``broadcast_rows`` rows and joined by shuffle beyond.
+The exploded n-grams are joined to that table, go back to their chunk, and are summed for each text.
+
+The counts hold the scored text itself, so with ``least_count`` 1 no n-gram would ever back off; 2 takes an n-gram that
+nothing but one place of the corpus has for unseen.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +30,8 @@ from .tokens import WordTokens, default_tokenizer
 #: Bits of an id inside an n-gram's key, and the id that stands before a text's first token.
 BITS = 16
 START = (1 << BITS) - 1
+#: Text of a chunk; a chunk is what a scoring task holds at a time.
+CHUNK_BYTES = 16 << 20
 
 
 def ngram_keys(ids: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -41,90 +47,118 @@ def ngram_keys(ids: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.nda
     return text, key
 
 
-def counted_by_text(text: np.ndarray, key: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, key, count) of each text's distinct n-grams, by text."""
-    bits = BITS * order
-    if bits < 63 and (int(text[-1]) if len(text) else 0) < 1 << (63 - bits):
-        both = np.sort((text << bits) | key)  # text and key fit into one number
-        t, k = both >> bits, both & ((1 << bits) - 1)
-    else:
-        turn = np.lexsort((key, text))
-        t, k = text[turn], key[turn]
-    new = np.ones(len(t), dtype=bool)
-    new[1:] = (t[1:] != t[:-1]) | (k[1:] != k[:-1])
-    at = np.flatnonzero(new)
-    return t[at], k[at], np.diff(np.append(at, len(t)))
+def pack_ids(ids: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(ids.astype("<u2").tobytes())
+
 
+def unpack_ids(data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype="<u2").astype(np.int64)
 
-def counted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(values, return_counts=True)
 
+def token_chunks(df: DataFrame, id_col: str, text_col: str, tokenizer: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """(chunk, keys, lengths, tokens): whole texts of about ``chunk_bytes`` in a row, one text at least.
 
-def ngram_counts(df: DataFrame, order: int, text_col: str, tokenizer: str) -> DataFrame:
-    """(n, key, count) of all n-grams of the orders 1 to ``order``."""
+    chunk is unique; keys are the texts' ids, lengths their numbers of tokens, tokens the packed ids of all of them.
+    """
+    kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        tokens = WordTokens(tokenizer)
+        words = WordTokens(tokenizer)
+        name, keys, lengths, ids, size = None, [], [], [], 0
+
+        def row():
+            return pa.RecordBatch.from_arrays(
+                [pa.array([name]), pa.array([pa.concat_arrays(keys).to_pylist()], pa.list_(keys[0].type)), pa.array([np.concatenate(lengths).tolist()], pa.list_(pa.int64())), pa.array([pack_ids(np.concatenate(ids))], pa.binary())],
+                names=["chunk", "keys", "lengths", "tokens"],
+            )
+
         for batch in batches:
             for part in text_chunks(batch, "text"):
-                ids, offsets = tokens.of_texts(part.column(0))
-                for n in range(1, order + 1):
-                    key, count = counted(ngram_keys(ids, offsets, n)[1])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), n, dtype=np.int32)), pa.array(key), pa.array(count)], names=["n", "key", "count"])
+                own, offsets = words.of_texts(part.column(2))
+                name = part.column(0)[0].as_py() if name is None else name
+                keys.append(part.column(1))
+                lengths.append(np.diff(offsets))
+                ids.append(own.astype(np.uint16))
+                size += part.column(2).nbytes
+                if size >= chunk_bytes:
+                    yield row()
+                    name, keys, lengths, ids, size = None, [], [], [], 0
+        if keys:
+            yield row()
 
-    return df.select(F.col(text_col).alias("text")).mapInArrow(run, "n int, key bigint, count bigint").groupBy("n", "key").agg(F.sum("count").alias("count"))
+    rows = df.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("key"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, f"chunk bigint, keys array<{kind}>, lengths array<bigint>, tokens binary")
 
 
-def scored(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 2, backoff: float = 0.4, least_count: int = 2, tokenizer: str | None = None, broadcast_rows: int = 2_000_000) -> DataFrame:
-    """(id_col, n_tokens, log_score, mean_log_score) of each row of ``df`` under the n-grams of all its rows.
+def opened(chunk: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of a chunk's texts and their offsets."""
+    return unpack_ids(chunk["tokens"]), np.concatenate([[0], np.cumsum(np.array(chunk["lengths"], dtype=np.int64))])
+
+
+def exploded(chunks: DataFrame, order: int) -> DataFrame:
+    """(chunk, key, count): the distinct n-grams of each chunk."""
+
+    def run(batches):
+        for batch in batches:
+            for chunk in batch.to_pylist():
+                key, count = np.unique(ngram_keys(*opened(chunk), order)[1], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), chunk["chunk"])), pa.array(key), pa.array(count)], names=["chunk", "key", "count"])
 
-    A text without tokens (null, empty, blank) has 0 tokens, log_score 0 and a null mean. Repeated rows
-    count and are scored each. An empty table gives an empty result. ``order`` is 2 to 4.
+    return chunks.select("chunk", "lengths", "tokens").mapInArrow(run, "chunk bigint, key bigint, count bigint")
+
+
+def _tail(key, order: int):
+    """The key of the n-gram's last ``order`` tokens."""
+    return key.bitwiseAND(F.lit((1 << (BITS * order)) - 1 if order < 4 else -1))
+
+
+def log_scores(counts: DataFrame, order: int, backoff: float, least_count: int) -> DataFrame:
+    """(key, s): log S of each n-gram of ``counts`` (key, count), which holds all n-grams of the highest order."""
+    tables = {order: counts}
+    for n in range(order - 1, 0, -1):
+        tables[n] = written(tables[n + 1].groupBy(_tail(F.col("key"), n).alias("key")).agg(F.sum("count").alias("count")), f"order{n}")
+    total = tables[1].agg(F.sum("count")).first()[0] or 1
+    scores = tables[1].select("key", F.log(F.col("count") / F.lit(float(total))).alias("s"))
+    for n in range(2, order + 1):
+        context = F.shiftrightunsigned("key", BITS)
+        before = tables[n].groupBy(context.alias("context")).agg(F.sum("count").alias("before"))
+        own = written(tables[n].withColumn("context", context).join(before, "context").select("key", F.when(F.col("count") >= least_count, F.log(F.col("count") / F.col("before"))).alias("own")), "own")
+        lower = scores.select(F.col("key").alias("tail"), F.col("s").alias("less"))
+        scores = written(own.withColumn("tail", _tail(F.col("key"), n - 1)).join(lower, "tail").select("key", F.coalesce("own", F.col("less") + math.log(backoff)).alias("s")), f"scores{n}")
+    return scores
+
+
+def scored(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 2, backoff: float = 0.4, least_count: int = 2, tokenizer: str | None = None, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """(id_col, n_tokens, mean_log_score, log_score) of each row of ``df`` under the n-grams of all its rows.
+
+    A text without tokens (null, empty, blank) has 0 tokens, log_score 0 and a null mean. Repeated rows and rows that
+    share an id count and are scored each; a null id is an id like any other. A text longer than ``chunk_bytes`` is a
+    chunk by itself. Ties do not arise; other columns do not matter, whatever their names. An empty table gives an
+    empty result. ``order`` is 2 to 4.
     """
     if not 2 <= order <= 4:
         raise ValueError("order must be 2, 3 or 4")
-    path = tokenizer or default_tokenizer()
-    docs = df.select(F.col(id_col), F.col(text_col).alias("text"))
-    counts = written(ngram_counts(docs, order, "text", path), "ngrams")
-    sizes = {r["n"]: (r["rows"], r["total"]) for r in counts.groupBy("n").agg(F.count("*").alias("rows"), F.sum("count").alias("total")).collect()}
-    total = sizes.get(1, (0, 0))[1]
     kind = df.schema[id_col].dataType.simpleString()
-
-    def explode(batches):
-        tokens = WordTokens(path)
-        for batch in batches:
-            for part in text_chunks(batch, "text"):
-                ids, offsets = tokens.of_texts(part.column(2))
-                text, key = ngram_keys(ids, offsets, order)
-                t, k, tf = counted_by_text(text, key, order)
-                bare = np.flatnonzero(np.diff(offsets) == 0)
-                rows = np.concatenate([t, bare])
-                take = pa.array(rows)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(take), part.column(1).take(take), pa.array(np.concatenate([k, np.zeros(len(bare), dtype=np.int64)])), pa.array(np.concatenate([tf, np.zeros(len(bare), dtype=np.int64)]))],
-                    names=["rid", id_col, "key", "tf"],
-                )
-
-    grams = docs.select(F.monotonically_increasing_id().alias("rid"), id_col, "text").mapInArrow(explode, f"rid bigint, `{id_col}` {kind}, key bigint, tf bigint")
-    unigrams = counts.where("n = 1").select("key", F.col("count").cast("double").alias("count"))
-    score = None
-    out = grams
-    for n in range(order, 1, -1):
-        # log S of each n-gram that is often enough, from its own count and its context's.
-        own = counts.where((F.col("n") == n) & (F.col("count") >= least_count))
-        context = F.shiftrightunsigned(F.col("key"), BITS)
-        of = counts.where(F.col("n") == n).groupBy(context.alias("context")).agg(F.sum("count").alias("before"))
-        of = F.broadcast(of) if n == 2 else written(of, "contexts")  # contexts of order 2 are bounded by the vocabulary
-        level = own.withColumn("context", context).join(of, "context").select(F.col("key").alias(f"key{n}"), F.log(F.col("count") / F.col("before")).alias(f"s{n}"))
-        level = written(level, f"order{n}")
-        if sizes.get(n, (0, 0))[0] <= broadcast_rows:
-            level = F.broadcast(level)
-        mask = (1 << (BITS * n)) - 1 if n < 4 else -1
-        out = out.join(level, F.col("key").bitwiseAND(F.lit(mask)) == F.col(f"key{n}"), "left").drop(f"key{n}")
-        part = F.col(f"s{n}") + math.log(backoff) * (order - n)
-        score = part if score is None else F.coalesce(score, part)
-    base = unigrams.select(F.col("key").alias("key1"), F.log(F.col("count") / F.lit(float(max(1, total or 0)))).alias("s1"))
-    out = out.join(F.broadcast(base), F.col("key").bitwiseAND(F.lit(START)) == F.col("key1"), "left")
-    score = F.coalesce(score, F.col("s1") + math.log(backoff) * (order - 1))
-    sums = out.groupBy("rid").agg(F.first(id_col).alias(id_col), F.sum("tf").alias("n_tokens"), F.sum(F.when(F.col("tf") > 0, F.col("tf") * score).otherwise(0.0)).alias("log_score"))
-    return sums.select(id_col, "n_tokens", F.round("log_score", 6).alias("log_score"), F.round(F.try_divide(F.col("log_score"), F.col("n_tokens")), 6).alias("mean_log_score"))
+    chunks = written(token_chunks(df, id_col, text_col, tokenizer or default_tokenizer(), chunk_bytes), "tokens")
+    grams = exploded(chunks, order)
+    counts = written(grams.groupBy("key").agg(F.sum("count").alias("count")), "ngrams")
+    scores = log_scores(counts, order, backoff, least_count)
+    known = written(grams.select("chunk", "key").join(scores.hint("merge"), "key").select("chunk", "key", "s"), "scored")
+
+    def sums(own: pa.Table, grams: pa.Table) -> pa.Table:
+        key = grams.column("key").to_numpy()
+        turn = np.argsort(key)
+        key, s = key[turn], grams.column("s").to_numpy()[turn]
+        out = []
+        for chunk in own.to_pylist():
+            ids, offsets = opened(chunk)
+            text, at = ngram_keys(ids, offsets, order)
+            n = np.diff(offsets)
+            total = np.round(np.bincount(text, weights=s[np.searchsorted(key, at)] if len(at) else None, minlength=len(n)).astype(np.float64), 6)
+            mean = np.round(total / np.maximum(n, 1), 6)
+            ids = pa.array(chunk["keys"], own.schema.field("keys").type.value_type)
+            out.append(pa.table([ids, pa.array(n), pa.array(mean, mask=n == 0), pa.array(total)], names=["key", "n_tokens", "mean_log_score", "log_score"]))
+        return pa.concat_tables(out) if out else pa.table([pa.array([], own.schema.field("keys").type.value_type), pa.array([], pa.int64()), pa.array([], pa.float64()), pa.array([], pa.float64())], names=["key", "n_tokens", "mean_log_score", "log_score"])
+
+    found = chunks.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(sums, f"key {kind}, n_tokens bigint, mean_log_score double, log_score double")
+    return found.withColumnRenamed("key", id_col)

@@ -36,10 +36,10 @@ def brute(texts, order, backoff=0.4, least=2):
 TEXTS = ["the cat sat on the mat", "the cat sat", None, "", " \n", "the cat sat", "the the the the", "a mat on the cat " * 2000, "unique zygote"]
 
 
-@pytest.mark.parametrize("order, rows", [(2, 10**6), (3, 10**6), (2, 0), (4, 0)])
-def test_scores_match_brute_force(spark, order, rows):
+@pytest.mark.parametrize("order, chunk", [(2, 10**6), (3, 10**6), (2, 1), (4, 1)])
+def test_scores_match_brute_force(spark, order, chunk):
     df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string").withColumn("key", F.lit("clash")).withColumn("n", F.lit(0))
-    got = {r["doc_id"]: r for r in M.scored(df, order=order, broadcast_rows=rows).collect()}
+    got = {r["doc_id"]: r for r in M.scored(df, order=order, chunk_bytes=chunk).collect()}
     for i, (n, s) in enumerate(brute(TEXTS, order)):
         assert got[i]["n_tokens"] == n and got[i]["log_score"] == pytest.approx(s, abs=1e-5)
         assert got[i]["mean_log_score"] == (pytest.approx(s / n, abs=1e-5) if n else None)
