@@ -24,14 +24,16 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_chunks, written
+from .common import give_back, text_chunks, written
 from .tokens import WordTokens, default_tokenizer
 
 #: Bits of an id inside an n-gram's key, and the id that stands before a text's first token.
 BITS = 16
 START = (1 << BITS) - 1
 #: Text of a chunk; a chunk is what a scoring task holds at a time.
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
+#: Tokens whose n-grams are looked up at a time.
+SLICE = 1 << 19
 
 
 def ngram_keys(ids: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -76,7 +78,7 @@ def token_chunks(df: DataFrame, id_col: str, text_col: str, tokenizer: str, chun
             for part in text_chunks(batch, "text"):
                 own, offsets = words.of_texts(part.column(2))
                 name = part.column(0)[0].as_py() if name is None else name
-                keys.append(part.column(1))
+                keys.append(part.column(1).take(pa.array(np.arange(part.num_rows))))  # a copy: a slice would keep the batch with its texts
                 lengths.append(np.diff(offsets))
                 ids.append(own.astype(np.uint16))
                 size += part.column(2).nbytes
@@ -102,6 +104,7 @@ def exploded(chunks: DataFrame, order: int) -> DataFrame:
         for batch in batches:
             for chunk in batch.to_pylist():
                 key, count = np.unique(ngram_keys(*opened(chunk), order)[1], return_counts=True)
+                give_back()
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), chunk["chunk"])), pa.array(key), pa.array(count)], names=["chunk", "key", "count"])
 
     return chunks.select("chunk", "lengths", "tokens").mapInArrow(run, "chunk bigint, key bigint, count bigint")
@@ -152,12 +155,16 @@ def scored(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order:
         out = []
         for chunk in own.to_pylist():
             ids, offsets = opened(chunk)
-            text, at = ngram_keys(ids, offsets, order)
-            n = np.diff(offsets)
-            total = np.round(np.bincount(text, weights=s[np.searchsorted(key, at)] if len(at) else None, minlength=len(n)).astype(np.float64), 6)
+            n, total = np.diff(offsets), np.zeros(len(offsets) - 1)
+            cuts = np.unique(np.searchsorted(offsets, np.arange(0, offsets[-1] + SLICE, SLICE)).clip(0, len(n)))
+            for i, j in zip(cuts[:-1], cuts[1:]):  # whole texts of about SLICE tokens, so that little is held besides the chunk
+                text, at = ngram_keys(ids[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], order)
+                total[i:j] = np.bincount(text, weights=s[np.searchsorted(key, at)], minlength=j - i)
+            total = np.round(total, 6)
             mean = np.round(total / np.maximum(n, 1), 6)
-            ids = pa.array(chunk["keys"], own.schema.field("keys").type.value_type)
-            out.append(pa.table([ids, pa.array(n), pa.array(mean, mask=n == 0), pa.array(total)], names=["key", "n_tokens", "mean_log_score", "log_score"]))
+            keys = pa.array(chunk["keys"], own.schema.field("keys").type.value_type)
+            out.append(pa.table([keys, pa.array(n), pa.array(mean, mask=n == 0), pa.array(total)], names=["key", "n_tokens", "mean_log_score", "log_score"]))
+        give_back()
         return pa.concat_tables(out) if out else pa.table([pa.array([], own.schema.field("keys").type.value_type), pa.array([], pa.int64()), pa.array([], pa.float64()), pa.array([], pa.float64())], names=["key", "n_tokens", "mean_log_score", "log_score"])
 
     found = chunks.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(sums, f"key {kind}, n_tokens bigint, mean_log_score double, log_score double")
