@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Word pattern of the query contracts: anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -47,6 +48,20 @@ def written(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(taken, name: str) -> str:
+    """``name``, with as many underscores before it as no column of ``taken`` has (case does not count)."""
+    taken = {c.lower() for c in taken}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def numbered(df: DataFrame, name: str = "rows") -> tuple[DataFrame, str]:
+    """``df`` written with a number for each row, and the name of that column: tells rows apart, whatever their ids."""
+    rid = free_name(df.columns, "_rid")
+    return written(df.withColumn(rid, F.monotonically_increasing_id()), name), rid
+
+
 def give_back() -> None:
     """Return freed memory to the system: Python workers live on between tasks and would keep it."""
     pa.default_memory_pool().release_unused()

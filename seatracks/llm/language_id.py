@@ -5,8 +5,8 @@ expectation maximisation; a word's probability sums over all its segmentations i
 algorithm), and a text's is the product over its words. The score is the posterior of the best
 language under equal priors.
 
-Words are runs of letters and marks, lower-cased; a run of over 24 letters is scored as consecutive
-runs of 24. A character that is no piece by itself counts as the unknown piece.
+Words are runs of letters and marks with a letter among them, lower-cased and of any length. A character that is no
+piece by itself counts as the unknown piece.
 """
 
 from __future__ import annotations
@@ -17,11 +17,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import StringTable, by_length, split_words, sum_by_text, text_chunks, written
+from .common import StringTable, by_length, free_name, split_words, sum_by_text, text_chunks, written
 
 NOT_LETTERS = r"[^\p{L}\p{M}]+"
 START = "▁"
-MAX_RUN = 24
+#: Characters (words of one length times positions) whose pieces are looked up at a time.
+BLOCK = 1 << 20
+#: Positions after which the forward sums are scaled, so that long words do not underflow.
+RESCALE = 8
 #: Probability of one particular unknown character given the unknown piece.
 UNKNOWN_SHARE = 1e-3
 #: Pseudo-count of each piece in each language.
@@ -49,16 +52,13 @@ def load_pieces(path: str) -> list[str]:
 
 
 def letter_words(texts: pa.Array):
-    """Codes, distinct words and offsets of the lower-cased letter runs of each text."""
-    return split_words(pc.utf8_lower(pc.fill_null(texts, "")), NOT_LETTERS)
-
-
-def runs_of(words: list[str]) -> tuple[list[str], np.ndarray]:
-    """Words cut to at most MAX_RUN letters, and how many runs each word has."""
-    if max(map(len, words), default=0) <= MAX_RUN:
-        return words, np.ones(len(words), dtype=np.int64)
-    cut = [[w[i : i + MAX_RUN] for i in range(0, len(w), MAX_RUN)] for w in words]
-    return [r for own in cut for r in own], np.fromiter(map(len, cut), dtype=np.int64, count=len(cut))
+    """Codes, distinct words and offsets of the lower-cased letter runs of each text; runs of marks alone are no words."""
+    codes, words, offsets = split_words(pc.utf8_lower(pc.fill_null(texts, "")), NOT_LETTERS)
+    lettered = pc.match_substring_regex(words, r"\p{L}").to_numpy(zero_copy_only=False).astype(bool)
+    if not lettered.all():
+        keep = lettered[codes] if len(codes) else np.zeros(0, dtype=bool)
+        codes, offsets = codes[keep], np.concatenate([[0], np.cumsum(keep)])[offsets]
+    return codes, words, offsets
 
 
 class PieceModel:
@@ -79,84 +79,86 @@ class PieceModel:
         return self._table
 
     def _lattice(self, chars: np.ndarray):
-        """Piece ids by width; a single character that is no piece is the unknown piece."""
-        start = np.full((len(chars), 1), ord(START), dtype=np.uint32)
-        out = []
-        for width, ids in self.table.matches(np.concatenate([start, chars], axis=1)):
-            if width == 1:
-                ids = np.where(ids < 0, len(self.pieces), ids)
-            out.append((width, ids))
-        return out
+        """(width, piece of each window of that width or -1); a single character that is no piece is the unknown piece."""
+        return [(width, np.where(ids < 0, len(self.pieces), ids) if width == 1 else ids) for width, ids in self.table.matches(chars)]
 
-    def _step(self, ids: np.ndarray, prob: np.ndarray) -> np.ndarray:
-        p = np.zeros((len(ids), prob.shape[1]))
-        hit = np.flatnonzero(ids >= 0)
-        p[hit] = prob[ids[hit]]
-        return p
+    def _groups(self, words: list[str]):
+        """(positions in ``words``, marked words as code points) of words of one length, about BLOCK characters together."""
+        for own, chars in by_length(words):
+            rows = max(1, BLOCK // (chars.shape[1] + 1))
+            for i in range(0, len(own), rows):
+                part = chars[i : i + rows]
+                yield own[i : i + rows], np.concatenate([np.full((len(part), 1), ord(START), dtype=np.uint32), part], axis=1)
 
     def forward(self, words: list[str]) -> np.ndarray:
         """log P(word | language), summed over all segmentations, for each word and language."""
-        runs, counts = runs_of(words)
         prob = self.prob.copy()
         prob[-1] *= UNKNOWN_SHARE
-        out = np.zeros((len(runs), len(self.langs)))
-        for own, chars in by_length(runs):
-            for i in range(0, len(own), 50_000):
-                lattice = self._lattice(chars[i : i + 50_000])
-                alpha = [np.ones((len(chars[i : i + 50_000]), len(self.langs)))]
-                for t in range(1, chars.shape[1] + 2):
-                    total = 0.0
+        out = np.zeros((len(words), len(self.langs)))
+        for own, chars in self._groups(words):
+            (rows, n), longest = chars.shape, self.table.width
+            # Sums of the prefixes that end at the last ``longest`` positions, newest last, over exp(scale).
+            window, scale = [np.ones((rows, len(self.langs)))], np.zeros((rows, len(self.langs)))
+            step = max(1, BLOCK // rows)
+            for at in range(0, n, step):
+                low = max(0, at + 1 - longest)
+                lattice = self._lattice(chars[:, low : at + step])
+                for t in range(at + 1, min(at + step, n) + 1):
+                    total = np.zeros((rows, len(self.langs)))
                     for width, ids in lattice:
                         if width <= t:
-                            at = ids[:, t - width]
-                            hit = np.flatnonzero(at >= 0)
-                            if len(hit) == len(at):
-                                total = total + alpha[t - width] * prob[at]
+                            piece, before = ids[:, t - width - low], window[-width]
+                            hit = np.flatnonzero(piece >= 0)
+                            if len(hit) == rows:
+                                total += before * prob[piece]
                             elif len(hit):
-                                part = np.zeros_like(alpha[0])
-                                part[hit] = alpha[t - width][hit] * prob[at[hit]]
-                                total = total + part
-                    alpha.append(total)
-                out[own[i : i + 50_000]] = np.log(np.maximum(alpha[-1], 1e-300))
-        if len(runs) == len(words):
-            return out
-        return sum_by_text(out, np.concatenate([[0], np.cumsum(counts)]))
+                                total[hit] += before[hit] * prob[piece[hit]]
+                    window = [*window[1 - longest :], total] if longest > 1 else [total]
+                    if t % RESCALE == 0:
+                        top = np.maximum(np.max(window, axis=0), 1e-300)
+                        window, scale = [x / top for x in window], scale + np.log(top)
+            out[own] = np.log(np.maximum(window[-1], 1e-300)) + scale
+        return out
 
     def expected_counts(self, words: list[str], counts: np.ndarray, lang: int) -> np.ndarray:
         """Expected number of each piece over all segmentations of the counted words of one language."""
-        runs, per = runs_of(words)
-        weight = np.repeat(counts.astype(float), per)
         prob = self.prob[:, lang].copy()
         prob[-1] *= UNKNOWN_SHARE
+        log_prob = np.append(np.log(prob), -np.inf)  # -1: no piece
         out = np.zeros(len(self.pieces) + 1)
-        for own, chars in by_length(runs):
-            for i in range(0, len(own), 50_000):
-                block, w = chars[i : i + 50_000], weight[own[i : i + 50_000]]
-                lattice, n = self._lattice(block), block.shape[1] + 1
-                steps = [(width, ids, np.where(ids >= 0, prob[ids], 0.0)) for width, ids in lattice]
-                alpha, beta = np.zeros((n + 1, len(block))), np.zeros((n + 1, len(block)))
-                alpha[0], beta[n] = 1.0, 1.0
-                for t in range(1, n + 1):
-                    for width, _, p in steps:
-                        if width <= t:
-                            alpha[t] += alpha[t - width] * p[:, t - width]
-                for t in range(n - 1, -1, -1):
-                    for width, _, p in steps:
-                        if t + width <= n:
-                            beta[t] += beta[t + width] * p[:, t]
-                scale = w / np.maximum(alpha[n], 1e-300)
-                for width, ids, p in steps:
-                    share = alpha[: n - width + 1].T * p * beta[width:].T * scale[:, None]
-                    hit = ids >= 0
-                    out += np.bincount(ids[hit], weights=share[hit], minlength=len(out))
+        for own, chars in self._groups(words):
+            (rows, n), longest = chars.shape, self.table.width
+            step, weight = max(1, BLOCK // rows), counts[own].astype(float)
+            alpha = np.full((n + 1, rows), -np.inf)  # logarithms of the sums over prefixes
+            alpha[0] = 0.0
+            for at in range(0, n, step):
+                low = max(0, at + 1 - longest)
+                lattice = self._lattice(chars[:, low : at + step])
+                for t in range(at + 1, min(at + step, n) + 1):
+                    alpha[t] = _log_sum([alpha[t - width] + log_prob[ids[:, t - width - low]] for width, ids in lattice if width <= t])
+            beta = [np.zeros(rows)]  # of the suffixes from the next ``longest`` positions on, nearest last
+            for at in range(step * ((n - 1) // step), -1, -step):
+                lattice = self._lattice(chars[:, at : min(n, at + step + longest - 1)])
+                for t in range(min(at + step, n) - 1, at - 1, -1):
+                    ways = [(ids[:, t - at], log_prob[ids[:, t - at]] + beta[-width]) for width, ids in lattice if t + width <= n]
+                    for piece, rest in ways:
+                        hit = np.flatnonzero(piece >= 0)
+                        out += np.bincount(piece[hit], weights=weight[hit] * np.exp(alpha[t, hit] + rest[hit] - alpha[n, hit]), minlength=len(out))
+                    beta = [*beta[1 - longest :], _log_sum([rest for _, rest in ways])] if longest > 1 else [_log_sum([rest for _, rest in ways])]
         return out
 
 
+def _log_sum(parts: list[np.ndarray]) -> np.ndarray:
+    top = np.max(parts, axis=0)
+    return top + np.log(np.sum(np.exp(np.array(parts) - top), axis=0))
+
+
 def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", vocabulary: str | None = None, docs_per_lang: int = 1000, rounds: int = 3, seed: int = 42) -> PieceModel:
     """Learn the piece probabilities from rows with a non-null language and text.
 
     Of each language about ``docs_per_lang`` different texts (a bound on the sample; all, if fewer) are picked
     by their hash, whole texts each; copies count once. What reaches the driver is one number for each piece and language.
+    Null texts and languages teach nothing; an empty table gives a model without languages; other columns do not matter.
     """
     pieces = load_pieces(vocabulary or default_vocabulary())
     rows = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
@@ -205,17 +207,21 @@ def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", vocabular
     return model
 
 
-def predict(df: DataFrame, model: PieceModel, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
+def predict(df: DataFrame, model: PieceModel, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """The ``keep`` columns of each row, lang_pred and score (0 to 1).
 
-    Null texts, texts without a letter and all texts under a model without languages: ``und`` and 0.
+    Null texts, texts without a letter and all texts under a model without languages: ``und`` and 0. Words of any length
+    and whole texts count; of equally likely languages the first by name is taken; repeated rows get the same each; an
+    empty table gives an empty result. Of the kept columns, those with a name in ``names`` give way to the result's.
     """
-    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
+    keep = [c for c in keep if c not in names]
+    hidden = free_name(keep, "text")
+    schema = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep]
 
     def run(batches):
-        names = np.array([*model.langs, "und"], dtype=object)
+        langs = np.array([*model.langs, "und"], dtype=object)
         for batch in batches:
-            for part in text_chunks(batch, "_text"):
+            for part in text_chunks(batch, hidden):
                 codes, words, offsets = letter_words(part.column(part.num_columns - 1))
                 best = np.full(part.num_rows, len(model.langs))
                 score = np.zeros(part.num_rows)
@@ -226,6 +232,6 @@ def predict(df: DataFrame, model: PieceModel, keep: tuple[str, ...] = ("doc_id",
                     top = total[some].max(axis=1, initial=-np.inf)
                     best[some] = total[some].argmax(axis=1)
                     score[some] = 1.0 / np.exp(total[some] - top[:, None]).sum(axis=1)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(names[best].tolist(), pa.string()), pa.array(score)], names=[*keep, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(langs[best].tolist(), pa.string()), pa.array(score)], names=[*keep, *names])
 
-    return df.select(*keep, F.col(text_col).alias("_text")).mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return df.select(*keep, F.col(text_col).alias(hidden)).mapInArrow(run, ", ".join([*schema, f"`{names[0]}` string", f"`{names[1]}` double"]))
