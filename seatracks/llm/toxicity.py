@@ -1,7 +1,7 @@
 """Toxicity: a counterfactual-regularised linear classifier on word and character n-gram presence.
 
-Features are strings looked up inside ``^word$``: character n-grams and whole words that occur
-significantly more often in toxic rows, and the identity terms. Weights minimise the logistic loss over a
+Features are strings looked up inside ``^word$``: character n-grams of words of any length and whole words of up to
+``LONGEST_WORD`` letters that occur significantly more often in toxic rows, and the identity terms. Weights minimise the logistic loss over a
 bounded sample of labelled rows, plus a ridge, plus a penalty on the squared differences of the logits of a text
 and its counterfactuals: one in which each identity term is swapped for the next of its group, and one in which it
 is swapped for a neutral word that is no feature. So a mere mention of a group cannot carry a score.
@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import StringTable, by_length, split_words, text_chunks, written
+from .common import StringTable, by_length, free_name, split_words, text_chunks, written
 from .language_id import NOT_LETTERS
 
 # Neutral names of groups, swapped within their line.
@@ -32,7 +32,10 @@ IDENTITY_GROUPS = (
     ("disabled", "blind", "deaf", "elderly"),
 )
 SIZES = (3, 4, 5, 6)
+#: Longest word that is a feature as a whole; longer ones have their n-grams as features.
 LONGEST_WORD = 40
+#: Longest word whose n-grams are listed in one row.
+LISTED_WORD = 1000
 
 
 def identity_swaps(groups=IDENTITY_GROUPS) -> dict[str, str]:
@@ -162,9 +165,24 @@ def _substrings(text: Column, n: int) -> Column:
     return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - n + 1)), lambda i: F.substring(text, i, F.lit(n)))
 
 
+def features_of(words: DataFrame) -> DataFrame:
+    """(feature, toxic, clean): the features of each of ``words`` (word, toxic, clean), each once."""
+    marked = words.withColumn("marked", F.concat(F.lit("^"), "word", F.lit("$")))
+    whole = F.when(F.length("word") <= LONGEST_WORD, F.array("marked")).otherwise(F.array().cast("array<string>"))
+    grams = F.concat(whole, *(_substrings(F.col("marked"), n) for n in SIZES))
+    listed = marked.where(F.length("word") <= LISTED_WORD).select(F.explode(F.array_distinct(grams)).alias("feature"), "toxic", "clean")
+    each = marked.where(F.length("word") > LISTED_WORD).withColumn("of", F.xxhash64("word")).withColumn("at", F.explode(F.sequence(F.lit(1), F.length("marked") - min(SIZES) + 1)))
+    each = each.select("of", "toxic", "clean", F.explode(F.array(*(F.substring("marked", F.col("at"), F.lit(n)) for n in SIZES))).alias("feature")).distinct()
+    return listed.unionByName(each.select("feature", "toxic", "clean"))
+
+
 def bounded_labels(labels: DataFrame, id_col: str, label_col: str, rows_per_label: int, seed: int) -> DataFrame:
-    """(id_col, label): about ``rows_per_label`` rows of label 0 and of label 1 at most, picked by a hash of the id."""
+    """(id_col, label): about ``rows_per_label`` ids of label 0 and of label 1 at most, picked by a hash of the id.
+
+    An id labelled more than once counts once, and not at all if its labels contradict each other.
+    """
     rows = labels.select(id_col, F.col(label_col).cast("int").alias("label")).where(F.col(id_col).isNotNull() & F.col("label").isin(0, 1))
+    rows = rows.groupBy(id_col).agg(F.min("label").alias("label"), F.max("label").alias("most")).where("label = most").drop("most")
     n = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}  # two labels
     unit = F.pmod(F.xxhash64(id_col, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
     share = F.when(F.col("label") == 1, min(1.0, rows_per_label / max(1, n.get(1, 0)))).otherwise(min(1.0, rows_per_label / max(1, n.get(0, 0))))
@@ -176,7 +194,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     At most about ``rows_per_label`` of each label are used, whole texts each; that bounds the broadcast
     labels. The driver gets at most ``most_features`` strings and the sample's feature numbers. Null
-    texts, ids and labels teach nothing; without rows of both labels the classifier scores 0.
+    texts, ids and labels teach nothing; repeated labels of an id count once, contradicting ones not at all; rows of
+    ``docs`` that share a labelled id all teach; words of any length count; equally telling features are taken by name;
+    other columns do not matter. Without rows of both labels (empty tables) the classifier scores 0.
     """
     few = bounded_labels(labels, id_col, label_col, rows_per_label, seed)
     sample = docs.select(id_col, F.col(text_col).alias("text")).where("text IS NOT NULL").join(F.broadcast(few), id_col)
@@ -194,10 +214,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 yield pa.RecordBatch.from_arrays([words.cast(pa.string()), pa.array(toxic), pa.array(np.bincount(word, minlength=len(words)) - toxic)], names=["word", "toxic", "clean"])
 
     words = sample.mapInArrow(count_words, "word string, toxic bigint, clean bigint").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    marked = F.concat(F.lit("^"), F.substring("word", 1, LONGEST_WORD), F.lit("$"))
-    grams = F.concat(F.array(marked), *(_substrings(marked, n) for n in SIZES))
-    counted = words.select(F.explode(F.array_distinct(grams)).alias("feature"), "toxic", "clean")
-    counted = written(counted.groupBy("feature").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).where("t >= 3 AND length(feature) >= 3"), "features")
+    counted = written(features_of(written(words, "words")).groupBy("feature").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).where("t >= 3 AND length(feature) >= 3"), "features")
     total = counted.agg(F.sum("t").alias("t"), F.sum("c").alias("c")).first()
     t, c = F.col("t") + 0.5, F.col("c") + 0.5
     z = (F.log(t / float((total["t"] or 0) + 1)) - F.log(c / float((total["c"] or 0) + 1))) / F.sqrt(1 / t + 1 / c)
@@ -229,13 +246,19 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def score(df: DataFrame, model: Classifier, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", limit: float = 0.7) -> DataFrame:
-    """The ``keep`` columns of each row, score (0 to 1) and predicted (1 from ``limit`` on); null and empty texts get the score of no feature."""
-    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
+    """The ``keep`` columns of each row, score (0 to 1) and predicted (1 from ``limit`` on); null and empty texts get the score of no feature.
+
+    Whole texts count, however long; repeated rows get the same score each; an empty table gives an empty result. Kept
+    columns called score or predicted give way to the result's.
+    """
+    keep = [c for c in keep if c not in ("score", "predicted")]
+    hidden = free_name(keep, "text")
+    schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep), "score double", "predicted int"])
 
     def run(batches):
         for batch in batches:
-            for part in text_chunks(batch, "_text"):
+            for part in text_chunks(batch, hidden):
                 p = model.scores(part.column(part.num_columns - 1))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(p), pa.array((p >= limit).astype(np.int32))], names=[*keep, "score", "predicted"])
 
-    return df.select(*keep, F.col(text_col).alias("_text")).mapInArrow(run, f"{schema}, score double, predicted int")
+    return df.select(*keep, F.col(text_col).alias(hidden)).mapInArrow(run, schema)
