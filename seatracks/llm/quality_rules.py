@@ -1,10 +1,9 @@
 """Quality rules: statistics of each text, and cross-document line frequency within a host.
 
-Lines are normalised (lower case, 0-9 to 0, white space squeezed) and hashed. For each host and
-line, documents are counted; copies of a document count once (documents are told apart by a hash of
-all their normalised lines). A line above its host's limit is boilerplate and removed; a document that
-keeps too little of its words is depleted and rejected. The limit is ``max(min_docs, share * rows of the
-host)``, as the SQL of op5 has it, or, given ``most_docs``, that many documents in a host of any size.
+Lines are normalised (lower case, 0-9 to 0, white space squeezed) and hashed. For each host and line, the different
+documents that hold it are counted, told apart by a hash of the raw text: exact copies count once, texts that differ in
+as little as a number count each. A line that more than ``most_docs`` documents of its host hold, however large the host
+is, is boilerplate and removed; a document that keeps too little of its words is depleted and rejected.
 """
 
 from __future__ import annotations
@@ -18,11 +17,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import split_words, text_chunks, written
+from .common import free_name, numbered, split_words, text_chunks, written
 
 SYMBOLS = b"#*$%&|<>"
 WHITE = b" \t\n\x0b\x0c\r"
 DIGITS = re.compile(r"[0-9]")
+#: A line may stand in so many different documents of a host; share of its words that a document must keep.
+MOST_DOCS = 10
+MIN_LEFT = 0.3
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -61,8 +63,8 @@ def repeated_words(codes: np.ndarray, offsets: np.ndarray, n_distinct: int) -> n
     return total[offsets[1:]] - total[offsets[:-1]]
 
 
-def _lines(text: str) -> tuple[int, int | None, list[int], list[int]]:
-    """(repeated lines, hash of all normalised lines, hashes of the distinct lines, words under each)."""
+def _lines(text: str) -> tuple[int, list[int], list[int]]:
+    """(repeated lines, hashes of the distinct normalised lines, words under each)."""
     seen: set[str] = set()
     words: dict[int, int] = {}
     again = 0
@@ -74,26 +76,25 @@ def _lines(text: str) -> tuple[int, int | None, list[int], list[int]]:
             again += 1
         seen.add(line)
         words[h] = words.get(h, 0) + len(line.encode("utf-8", "surrogatepass").split())
-    body = xxhash.xxh64_intdigest(np.fromiter(words, dtype=np.int64, count=len(words)).tobytes()) >> 1
-    return again, body, list(words), list(words.values())
+    return again, list(words), list(words.values())
 
 
 def text_statistics(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """id_col, host, the five statistics, body (hash of all lines) and lines (hash, words) of each row."""
+    """id_col, host, the five statistics, body (hash of the raw text) and lines (hash, words) of each row."""
 
     def run(batches):
         for batch in batches:
             for part in text_chunks(batch, "text"):
-                texts = pc.fill_null(part.column(2), "")
+                texts = pc.fill_null(part.column(3), "")
                 codes, words, offsets = split_words(texts)
                 plain = texts.to_pylist()
                 raw = [t.encode("utf-8", "surrogatepass") for t in plain]
                 white = np.array([len(b) - len(b.translate(None, WHITE)) for b in raw], dtype=np.int64)
                 symbols = np.array([len(b) - len(b.translate(None, SYMBOLS)) for b in raw], dtype=np.int64)
                 lines = [_lines(t) for t in plain]
-                cuts = np.concatenate([[0], np.cumsum([len(x[2]) for x in lines])]).astype(np.int32)
+                cuts = np.concatenate([[0], np.cumsum([len(x[1]) for x in lines])]).astype(np.int32)
                 pairs = pa.StructArray.from_arrays(
-                    [pa.array([h for x in lines for h in x[2]], pa.int64()), pa.array([w for x in lines for w in x[3]], pa.int64())], names=["h", "w"]
+                    [pa.array([h for x in lines for h in x[1]], pa.int64()), pa.array([w for x in lines for w in x[2]], pa.int64())], names=["h", "w"]
                 )
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -104,7 +105,7 @@ def text_statistics(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                         pa.array(symbols),
                         pa.array([x[0] for x in lines], pa.int64()),
                         pa.array(repeated_words(codes, offsets, len(words))),
-                        pa.array([x[1] for x in lines], pa.int64()),
+                        part.column(2),
                         pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pairs),
                     ],
                     names=[id_col, "host", *STATS, "body", "lines"],
@@ -112,7 +113,7 @@ def text_statistics(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     kind = df.schema[id_col].dataType.simpleString()
     stats = ", ".join(f"{c} bigint" for c in STATS)
-    return df.select(F.col(id_col), F.col(host_col).cast("string").alias("host"), F.col(text_col).alias("text")).mapInArrow(
+    return df.select(F.col(id_col), F.col(host_col).cast("string").alias("host"), F.xxhash64(text_col).alias("body"), F.col(text_col).alias("text")).mapInArrow(
         run, f"`{id_col}` {kind}, host string, {stats}, body bigint, lines array<struct<h:bigint,w:bigint>>"
     )
 
@@ -121,27 +122,22 @@ def base_failed(min_words: int = 50, max_repeat_percent: int = 50):
     return (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
 
 
-def frequent_lines(stats: DataFrame, share: float = 0.1, min_docs: int = 10, most_docs: int | None = None) -> DataFrame:
-    """(host, h) of the lines above their host's limit."""
-    host = F.coalesce("host", F.lit(""))
-    pairs = stats.select(host.alias("host"), "body", F.explode("lines.h").alias("h"))
+def frequent_lines(stats: DataFrame, most_docs: int = MOST_DOCS) -> DataFrame:
+    """(host, h) of the lines that more than ``most_docs`` different documents of their host hold."""
+    pairs = stats.select(F.coalesce("host", F.lit("")).alias("host"), "body", F.explode("lines.h").alias("h"))
     counts = pairs.groupBy("host", "h", "body").agg(F.lit(1).alias("one")).groupBy("host", "h").agg(F.count("*").alias("docs"))
-    if most_docs is not None:
-        return counts.where(F.col("docs") > most_docs).select("host", "h")
-    hosts = stats.groupBy(host.alias("host")).agg(F.count("*").alias("docs"))
-    hosts = written(hosts.select("host", F.greatest(F.lit(float(min_docs)), F.col("docs") * share).alias("most")), "hosts")
-    often = written(counts.where(F.col("docs") > min_docs), "often")
-    return often.join(hosts, "host").where(F.col("docs") > F.col("most")).select("host", "h")
+    return counts.where(F.col("docs") > most_docs).select("host", "h")
 
 
-def judged(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", share: float = 0.1, min_docs: int = 10, min_left: float = 0.3, most_docs: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(verdicts, removed): the statistics of each row with base_failed, words_removed and kept; and (id_col, host, hashes) of the lines to remove.
+def judged(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", most_docs: int = MOST_DOCS, min_left: float = MIN_LEFT) -> tuple[DataFrame, DataFrame]:
+    """(verdicts, removed): the statistics of each row with base_failed, words_removed and kept; and (id_col, hashes) of the lines to remove.
 
     Null and empty texts have no words and fail the base rule; a null host is a host of its own (with
-    the empty name); repeated rows are judged alike; an empty table gives empty results.
+    the empty name); whole texts count, however long; repeated rows are judged alike; a line in exactly ``most_docs``
+    documents stays; other columns do not matter; an empty table gives empty results.
     """
     stats = written(text_statistics(df, id_col, text_col, host_col).withColumn("rid", F.monotonically_increasing_id()), "stats")
-    often = written(frequent_lines(stats, share, min_docs, most_docs), "frequent")
+    often = written(frequent_lines(stats, most_docs), "frequent")
     lines = stats.select("rid", id_col, F.coalesce("host", F.lit("")).alias("host"), F.explode("lines").alias("line")).select("rid", id_col, "host", F.col("line.h").alias("h"), F.col("line.w").alias("w"))
     gone = written(lines.join(often, ["host", "h"]).groupBy("rid").agg(F.sum("w").alias("words_removed"), F.first(id_col).alias(id_col), F.collect_set("h").alias("hashes")), "gone")
     verdicts = stats.drop("lines", "body").join(gone.select("rid", "words_removed"), "rid", "left").fillna(0, ["words_removed"])
@@ -153,25 +149,27 @@ def judged(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_c
 def cleaned(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **limits) -> DataFrame:
     """The rows of ``df`` that are kept, their boilerplate lines removed.
 
-    Rows are told apart by their id: of rows that share one, all stay if one is kept.
+    Each row is judged by itself, whatever its id: rows may share an id or have none. Otherwise as ``judged``; columns
+    of ``df`` may have any names.
     """
-    verdicts, removed = judged(df, id_col, text_col, host_col, **limits)
-    kept = verdicts.where("kept").select(F.col(id_col).alias("_id")).distinct()
-    cut = removed.groupBy(F.col(id_col).alias("_id")).agg(F.array_distinct(F.flatten(F.collect_set("hashes"))).alias("_cut"))
-    plan = written(kept.join(cut, kept["_id"].eqNullSafe(cut["_id"]), "left").select(kept["_id"], "_cut"), "plan")
+    base, rid = numbered(df, "quality")
+    verdicts, removed = judged(base, rid, text_col, host_col, **limits)
+    cut = free_name(base.columns, "_cut")
+    plan = written(verdicts.where("kept").select(rid).join(removed.withColumnRenamed("hashes", cut), rid, "left"), "plan")
     columns = df.columns
-    joined = df.join(plan, df[id_col].eqNullSafe(plan["_id"])).select(*(df[c] for c in columns), "_cut")
+    joined = base.join(plan, rid).select(*columns, cut)
     at = columns.index(text_col)
 
     def run(batches):
         for batch in batches:
-            cuts = batch.column(len(columns)).to_pylist()
-            texts = batch.column(at).to_pylist()
-            for i, own in enumerate(cuts):
-                if own and texts[i]:
-                    drop = set(own)
-                    texts[i] = "\n".join(x for x in texts[i].split("\n") if line_hash(x) not in drop)
-            arrays = [pa.array(texts, batch.column(at).type) if i == at else batch.column(i) for i in range(len(columns))]
-            yield pa.RecordBatch.from_arrays(arrays, names=columns)
+            for part in text_chunks(batch, text_col):
+                cuts = part.column(len(columns)).to_pylist()
+                texts = part.column(at).to_pylist()
+                for i, own in enumerate(cuts):
+                    if own and texts[i]:
+                        drop = set(own)
+                        texts[i] = "\n".join(x for x in texts[i].split("\n") if line_hash(x) not in drop)
+                arrays = [pa.array(texts, part.column(at).type) if i == at else part.column(i) for i in range(len(columns))]
+                yield pa.RecordBatch.from_arrays(arrays, names=columns)
 
     return joined.mapInArrow(run, df.schema)

@@ -89,3 +89,49 @@ def test_query_matches_brute_force(spark, data):
         assert tuple(r[c] for c in Q.STATS) == n
         assert r["base_failed"] == (n[0] < 50 or 100 * n[4] > 50 * n[0])
         assert not (r["base_failed"] and r["kept"])
+
+
+def test_documents_that_differ_in_numbers_only_count_each(spark):
+    foot = "\n".join(f"shared footer line {'abcdefgh'[k]} of the shop " + "x " * 8 for k in range(8))
+    rows = [(i, f"Order {i} placed on day {i % 28}\n" + " ".join(f"item{k}" for k in range(300)) + f" {i}\n{foot}", "shop") for i in range(60)]
+    rows += [(100 + i, f"note\n{foot}", "copies") for i in range(60)]  # exact copies are one document
+    by = {r["doc_id"]: r["words_removed"] for r in Q.judged(spark.createDataFrame(rows, SCHEMA))[0].collect()}
+    assert all(by[i] >= len(foot.split()) for i in range(60)) and all(by[100 + i] == 0 for i in range(60))
+
+
+def brute_cleaned(rows, most=10):
+    """(id, text left) of the kept rows, lines counted as texts."""
+    docs, out = {}, []
+    norm = lambda x: b" ".join(re.sub("[0-9]", "0", x.lower()).encode().split())
+    for _, text, host in rows:
+        for line in (text or "").split("\n"):
+            if norm(line):
+                docs.setdefault((host or "", norm(line)), set()).add(text)
+    for i, text, host in rows:
+        n, _, _, _, inside = brute(text)
+        left = [x for x in (text or "").split("\n") if not norm(x) or len(docs[host or "", norm(x)]) <= most]
+        if n >= 50 and 100 * inside <= 50 * n and len(WORD.findall("\n".join(left))) >= 0.3 * n:
+            out.append((i, "\n".join(left)))
+    return out
+
+
+def test_cleaned_matches_brute_force_on_rows_that_share_ids(spark):
+    own = lambda i: " ".join(f"word{i}x{k}" for k in range(60))
+    foot = "all rights of this page " * 3
+    rows = [(None if i % 3 else i % 6, own(f"{i:b}".replace("0", "a").replace("1", "b")) + (f"\n{foot}" if i % 2 else ""), "a") for i in range(60)]
+    rows += [(0, "two words", "a"), (0, own("q") + f"\n{foot}", "b"), (0, own("q") + f"\n{foot}", "a"), (7, None, "a"), (8, foot * 2, None)] * 2
+    plain = spark.createDataFrame(rows, SCHEMA)
+    clash = plain.withColumns({c: F.lit(1) for c in ("_cut", "_rid", "rid", "host", "h", "hashes", "kept", "n_words", "lines")})
+    got = Q.cleaned(clash)
+    assert got.columns == clash.columns
+    key = lambda x: (x[0] is None, x[0] or 0, x[1])
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=key) == sorted(brute_cleaned(rows), key=key)
+
+
+def test_pipeline_stage_matches_brute_force_on_the_table(spark, data):
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    rows = [(r["doc_id"], r["text"], r["source"]) for r in docs.collect()]
+    got = P.apply_quality_rules(spark, docs, data)
+    assert sorted((r["doc_id"], r["text"]) for r in got.collect()) == sorted(brute_cleaned(rows))
