@@ -7,7 +7,7 @@ brute force, round trips or held-out labels.
 from __future__ import annotations
 
 from . import licenses
-from .quality_rules import STATS
+from .quality_rules import MIN_LEFT, MOST_DOCS, STATS
 
 WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
 
@@ -53,13 +53,11 @@ WITH docs AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS
 ), base AS (
   SELECT doc_id, host, {WORDS.format("text")} AS words, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, string_split(text, chr(10)) AS parts FROM docs
 ), lines AS (
-  SELECT doc_id, host, line, pos, array_to_string({WORDS.format("regexp_replace(lower(line), '[0-9]', '0', 'g')")}, ' ') AS plain, len({WORDS.format("line")}) AS w
-  FROM (SELECT doc_id, host, unnest(parts) AS line, unnest(range(len(parts))) AS pos FROM base) WHERE len({WORDS.format("line")}) > 0
+  SELECT doc_id, host, line, array_to_string({WORDS.format("regexp_replace(lower(line), '[0-9]', '0', 'g')")}, ' ') AS plain, len({WORDS.format("line")}) AS w
+  FROM (SELECT doc_id, host, unnest(parts) AS line FROM base) WHERE len({WORDS.format("line")}) > 0
 ), dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines GROUP BY 1
-), bodies AS (SELECT doc_id, host, plain, sum(w) AS w, min(pos) AS pos FROM lines GROUP BY ALL
-), whole AS (SELECT doc_id, string_agg(plain, chr(10) ORDER BY pos) AS body FROM bodies GROUP BY 1
-), hosts AS (SELECT host, greatest(10, count(*) * 0.1::double) AS most FROM docs GROUP BY 1
-), often AS (SELECT b.host, b.plain FROM bodies b JOIN whole USING (doc_id) JOIN hosts h ON h.host = b.host GROUP BY b.host, b.plain, h.most HAVING count(DISTINCT body) > h.most
+), bodies AS (SELECT doc_id, host, plain, sum(w) AS w FROM lines GROUP BY ALL
+), often AS (SELECT b.host, b.plain FROM bodies b JOIN docs d USING (doc_id) GROUP BY b.host, b.plain HAVING count(DISTINCT d.text) > {MOST_DOCS}
 ), gone AS (SELECT doc_id, sum(w)::BIGINT AS words_removed FROM bodies JOIN often USING (host, plain) GROUP BY 1
 ), windows AS (SELECT doc_id, i, words[i] AS a, words[i + 1] AS b, words[i + 2] AS c FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM base)
 ), twice AS (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, a, b, c) > 1
@@ -70,7 +68,7 @@ WITH docs AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS
   FROM base b LEFT JOIN dup USING (doc_id) LEFT JOIN inside USING (doc_id) LEFT JOIN gone USING (doc_id)
 )
 SELECT doc_id, {", ".join(STATS)}, words_removed, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - words_removed >= 0.3::double * n_words AS kept
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - words_removed >= {MIN_LEFT}::double * n_words AS kept
 FROM stats
 """
 
