@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_chunks, written
+from .common import numbered, text_chunks, written
 
 #: Generator polynomial of the binary Golay code: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1 (fixed value).
 GOLAY_POLYNOMIAL = 0b110001110101
@@ -155,14 +155,10 @@ def connected(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     Large-star and small-star rounds until the links are stars. The per-node minima are written as
     tables, so the joins with hub nodes are joins of two plain tables whose hot side can be split.
     """
-    links = written(links, "links")
-
-    def mark(df):
-        row = df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b") % 1000003).alias("s")).first()
-        return row["n"], row["s"]
-
-    before = mark(links)
+    links = written(links.where("a < b").distinct(), "links")
     for _ in range(max_rounds):
+        if _are_stars(links):
+            return links.select("b", "a")
         both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")), "least")
         large = both.where("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a < b").distinct()
@@ -170,13 +166,16 @@ def connected(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         least = written(large.groupBy("b").agg(F.min("a").alias("m")), "least")
         moved = large.join(least, "b").where("a > m").select(F.col("m").alias("a"), F.col("a").alias("b"))
         links = written(moved.unionByName(least.select(F.col("m").alias("a"), "b")).distinct(), "small")
-        after = mark(links)
-        if after == before:
-            return links.select("b", "a")
-        before = after
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
+def _are_stars(links: DataFrame) -> bool:
+    """Whether each b has one a and no a is a b: then each a is the smallest of its component."""
+    ends = links.groupBy("b").agg(F.count("*").alias("n"))
+    hubs = links.select(F.col("a").alias("b")).distinct()
+    return ends.where("n > 1").isEmpty() and hubs.join(ends, "b").isEmpty()
+
+
 def hex_fingerprint(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
@@ -185,8 +184,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(id_col, fingerprint, component_id) for each row of ``df``.
 
     component_id is the smallest id reachable over links of 2 or fewer differing bits. Null and blank
-    texts have fingerprint zero and link like any other; repeated rows share everything; a null id is
-    ignored when the smallest is sought (null if all are); an empty table gives an empty result;
+    texts have fingerprint zero and link like any other; whole texts count, however long; repeated rows share
+    everything; a null id is ignored when the smallest is sought (null if all are); an empty table gives an empty result;
     other columns of ``df`` do not matter.
     """
     fps = written(fingerprints(df, id_col, text_col, shingle_words), "fps")
@@ -201,11 +200,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3) -> DataFrame:
-    """The rows of ``df`` whose id is the smallest of their component: one document of each group.
+    """One row of each group of near-duplicates: that with the smallest id; ids that are null come last.
 
-    Rows with a null id stay. Repeated rows of the kept document are reduced to one.
+    Rows are told apart whatever their ids: rows that share an id with different texts are documents of their own, of
+    equal rows one stays. Null and blank texts are one group; whole texts count; columns of ``df`` may have any names; an
+    empty table gives an empty result.
     """
-    groups = near_duplicates(df.where(F.col(id_col).isNotNull()), id_col, text_col, shingle_words)
-    kept = written(groups.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct(), "kept")
-    known = df.where(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi").dropDuplicates([id_col])
-    return known.select(df.columns).unionByName(df.where(F.col(id_col).isNull()))
+    base, rid = numbered(df, "dedup")
+    key = F.struct(F.col(id_col).isNull().alias("unknown"), F.col(id_col).alias("id"), F.col(rid).alias("rid"))
+    groups = near_duplicates(base.select(key.alias("key"), F.col(text_col).alias("text")), "key", "text", shingle_words)
+    kept = written(groups.where("key.rid = component_id.rid").select(F.col("key.rid").alias(rid)), "kept")
+    return base.join(kept, rid, "left_semi").select(df.columns)

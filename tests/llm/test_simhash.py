@@ -109,3 +109,13 @@ def test_query_on_table_matches_brute_force(spark, data):
     want = brute_components(fps)
     got = queries()["op3_simhash"](spark, data).collect()
     assert {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in got} == {i: (f"{fps[i]:016x}", want[i]) for i in fps}
+
+
+def test_rows_that_share_ids_are_told_apart(spark):
+    text = " ".join(f"w{i}" for i in range(200))
+    rows = [(1, text, "a"), (1, "quite another text that nothing is near to", "b"), (1, text, "c"), (2, text.upper(), "a"), (None, text, "a"), (None, "alone without an id", "a"), (None, None, "a"), (3, "", "a")]
+    df = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit(1) for c in ("_rid", "rid", "fp", "key", "component_id")})
+    got = S.deduplicated(df)
+    assert got.columns == df.columns
+    left = sorted((r["doc_id"] or 0, r["text"]) for r in got.collect())
+    assert left == sorted([(1, text), (1, "quite another text that nothing is near to"), (0, "alone without an id"), (3, "")])
