@@ -16,14 +16,17 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, written
+from .common import WORD, free_name, numbered, written
 
 #: Weights by rank of the source, repeating.
 WEIGHTS = (5, 2, 1)
 MIX_SHARE = 1.5
 MAX_EPOCHS = 2.0
-#: Hex digits of the order's hash that are settled at a time, and in all.
-DIGITS, ALL_DIGITS = 2, 6
+#: Lengths of the prefixes of a document's place in the order at which the cut is settled: of the md5 of its id first, and
+#: where many documents share that (they share the id or have none), of the hash of its text that follows.
+PREFIXES, MORE_PREFIXES = (2, 4, 6), tuple(range(32, 49, 2))
+#: Documents at the cut of a source that are ordered one by one without settling it further.
+EDGE_ROWS = 20_000
 SEED = 17
 
 
@@ -69,61 +72,72 @@ def water_fill(sources: DataFrame, mix_share: float = MIX_SHARE, max_epochs: flo
     return sources.withColumn("target", F.when(F.lit(level) * F.col("weight") >= cap, cap).otherwise(F.lit(level) * F.col("weight")))
 
 
-def _prefix_cut(docs: DataFrame, sources: DataFrame) -> DataFrame:
-    """Adds cut (hash prefix) and left to each source: documents below the prefix are taken, of those at it ``left`` words."""
-    cuts = sources.withColumn("cut", F.lit("")).withColumn("left", F.col("extra"))
-    for digits in range(DIGITS, ALL_DIGITS + 1, DIGITS):
+def _prefix_cut(docs: DataFrame, cuts: DataFrame, prefixes: tuple[int, ...]) -> DataFrame:
+    """Moves cut (a prefix of the order) and left of each source on: documents below the prefix are taken, of those at it ``left`` words."""
+    names = cuts.columns
+    for digits in prefixes:
         cuts = written(cuts, "cuts")
-        inside = docs.join(cuts.select(F.col("skey"), "cut"), "skey").where((F.col("cut") == "") | F.col("order").startswith(F.col("cut")))
+        inside = docs.join(cuts.select("skey", "cut"), "skey").where((F.col("cut") == "") | F.col("order").startswith(F.col("cut")))
         sums = inside.groupBy("skey", F.substring("order", 1, digits).alias("prefix")).agg(F.sum("size").alias("words"))
         w = Window.partitionBy("skey").orderBy("prefix")
         run = sums.withColumn("_to", F.sum("words").over(w)).withColumn("_from", F.col("_to") - F.col("words"))
         found = run.join(cuts.select("skey", "left"), "skey").where((F.col("_from") <= F.col("left")) & (F.col("left") < F.col("_to"))).select("skey", "prefix", "_from")
-        cuts = cuts.join(written(found, "found"), "skey", "left")
+        cuts = cuts.join(written(found, "found"), "skey", "left").withColumn("left", F.col("left") - F.coalesce("_from", F.lit(0)))
         # Without a prefix where the sum passes, all documents are taken: the cut lies behind the last.
-        cuts = cuts.select(*(c for c in sources.columns), F.coalesce("prefix", F.lit("g")).alias("cut"), (F.col("left") - F.coalesce("_from", F.lit(0))).alias("left"))
+        cuts = cuts.withColumn("cut", F.coalesce("prefix", F.lit("g"))).select(*names)
     return written(cuts, "cuts")
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, mix_share: float = MIX_SHARE, max_epochs: float = MAX_EPOCHS, size: Callable[[Column], Column] = word_count, seed: int = SEED) -> DataFrame:
-    """(id_col, size, source, source_size, target, taken) for each row of ``df``.
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, mix_share: float = MIX_SHARE, max_epochs: float = MAX_EPOCHS, size: Callable[[Column], Column] = word_count, seed: int = SEED, keep: str | None = None) -> DataFrame:
+    """(id_col, size, source, source_size, target, taken[, keep]) for each row of ``df``.
 
     A null text has size 0, a null source is a source of its own and ranks last, a source of size 0
-    has target 0. Rows that share source and hash of the id are taken in order of id and size;
-    repeated rows count each. An empty table gives an empty result.
+    has target 0. Rows that share source and hash of the id are taken in order of id and size, and if these are equal too,
+    of their texts' hash; repeated rows and null ids count each. Whole texts count, however long. Other columns of ``df``
+    do not matter; an id column that is called like one of the result's gets an underscore before its name. An empty
+    table gives an empty result.
     """
-    docs = df.select(F.col(id_col), F.col(source_col).alias("source"), size(F.col(text_col)).alias("size"))
-    order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
+    more = [F.col(keep).alias("_keep")] if keep else []
+    docs = df.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), size(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("_text"), *more)
+    order = F.concat(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("_id").cast("string"), F.lit(""))).cast("binary")), F.lower(F.lpad(F.hex("_text"), 16, "0")))
     skey = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
     docs = written(docs.withColumn("skey", skey).withColumn("order", order), "sizes")
     sources = written(docs.groupBy("skey", "source").agg(F.sum("size").alias("source_size")), "sources")
     sources = water_fill(written(ranked_weights(sources, weights), "weights"), mix_share, max_epochs)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    sources = written(sources.withColumn("whole", whole).withColumn("extra", F.bround(F.col("target") - F.col("whole") * F.col("source_size"), 0).cast("bigint")), "targets")
-    cuts = _prefix_cut(docs, sources)
-    joined = docs.join(cuts.drop("source", "extra", "weight"), "skey")
-    prefix = F.substring("order", 1, ALL_DIGITS)
-    # Only the documents at the cut are ordered one by one: about one in 16 to the power of ALL_DIGITS of a source.
+    sources = sources.withColumn("whole", whole).select("skey", "source_size", "target", "whole", F.bround(F.col("target") - F.col("whole") * F.col("source_size"), 0).cast("bigint").alias("left"))
+    digits = PREFIXES[-1]
+    cuts = _prefix_cut(docs, written(sources.withColumn("cut", F.lit("")), "targets"), PREFIXES)
+    joined = docs.join(cuts, "skey")
+    # Only the documents at the cut are ordered one by one: usually one in 16 to the power of 6 of a source.
+    crowd = joined.where(F.substring("order", 1, digits) == F.col("cut")).groupBy("skey").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if crowd > EDGE_ROWS:
+        digits = MORE_PREFIXES[-1]
+        joined = docs.join(_prefix_cut(docs, cuts, MORE_PREFIXES), "skey")
+    prefix = F.substring("order", 1, digits)
     edge = written(joined.where(prefix == F.col("cut")), "edge")
-    to = F.sum("size").over(Window.partitionBy("skey").orderBy("order", id_col, "size").rowsBetween(Window.unboundedPreceding, 0))
+    to = F.sum("size").over(Window.partitionBy("skey").orderBy(F.substring("order", 1, 32), "_id", "size", "order").rowsBetween(Window.unboundedPreceding, 0))
     edge = edge.withColumn("part", F.least(F.col("size"), F.greatest(F.lit(0), F.col("left") - (to - F.col("size")))))
     rest = joined.where(prefix != F.col("cut")).withColumn("part", F.when(prefix < F.col("cut"), F.col("size")).otherwise(0))
     both = rest.unionByName(edge)
-    return both.select(id_col, "size", "source", "source_size", "target", (F.col("whole") * F.col("size") + F.col("part")).cast("bigint").alias("taken"))
+    names = ["size", "source", "source_size", "target", "taken"]
+    taken = (F.col("whole") * F.col("size") + F.col("part")).cast("bigint").alias("taken")
+    return both.select(F.col("_id").alias(free_name(names, id_col)), "size", "source", "source_size", "target", taken, *([F.col("_keep").alias(free_name([*names, id_col], keep))] if keep else []))
 
 
 def sampled(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """The mix itself: rows of ``df`` as often as they are taken whole, and the leading words of a document taken in part.
 
-    Rows are told apart by id, source and size; rows without words are in no mix.
+    Each row is taken by itself, whatever its id: rows may share an id or have none. Rows without words are in no mix.
+    A document taken in part keeps its white space. Otherwise as ``mix``; columns of ``df`` may have any names.
     """
-    taken = mix(df, id_col, text_col, source_col, **how).where("taken > 0").select(F.col(id_col).alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
-    taken = written(taken.groupBy("_id", "_source", "_size").agg(F.max("_taken").alias("_taken")), "taken")
-    sized = df.withColumn("_n", word_count(F.col(text_col)))
-    joined = sized.join(taken, sized[id_col].eqNullSafe(taken["_id"]) & sized[source_col].eqNullSafe(taken["_source"]) & (sized["_n"] == taken["_size"]))
-    whole = (F.col("_taken") / F.col("_n")).cast("int")
-    rest = (F.col("_taken") % F.col("_n")).cast("int")
-    parts = F.concat(F.array_repeat(F.col("_n").cast("int"), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))
-    rows = joined.withColumn("_part", F.explode(parts))
-    cut = F.when(F.col("_part") == F.col("_n"), F.col(text_col)).otherwise(F.array_join(F.slice(F.split(F.trim(F.regexp_replace(text_col, "[\\x20\\x09-\\x0D]+", " ")), " "), F.lit(1), F.col("_part")), " "))
+    base, rid = numbered(df, "mixing")
+    size, n, part = (free_name(base.columns, c) for c in ("_size", "_taken", "_part"))
+    taken = mix(base, id_col, text_col, source_col, keep=rid, **how).where("taken > 0").select(rid, F.col("size").alias(size), F.col("taken").alias(n))
+    joined = base.join(written(taken, "taken"), rid)
+    whole, rest = (F.col(n) / F.col(size)).cast("int"), (F.col(n) % F.col(size)).cast("int")
+    parts = F.concat(F.array_repeat(F.col(size).cast("int"), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))
+    rows = joined.withColumn(part, F.explode(parts))
+    pieces = F.split(text_col, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")  # words, each with the white space before it
+    cut = F.when(F.col(part) == F.col(size), F.col(text_col)).otherwise(F.array_join(F.slice(pieces, F.lit(1), F.col(part)), ""))
     return rows.withColumn(text_col, cut).select(*df.columns)

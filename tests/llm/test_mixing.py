@@ -72,3 +72,36 @@ def test_query_matches_sql(spark, data):
     got = queries()["op7_mixing"](spark, data).toPandas().sort_values("doc_id").reset_index(drop=True)
     for c in ("doc_id", "size", "source_size", "target", "taken"):
         assert (want[c] == got[c]).all(), c
+
+
+def test_rows_that_share_ids_are_taken_by_themselves(spark):
+    rows = [(1, f"a{i} b\n c{i}  d", "s", 0) for i in range(100)] + [(None, f"x{i}\ty z", None, 0) for i in range(50)] + [(1, "a0 b\n c0  d", "s", 0)] * 20
+    df = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit(5) for c in ("_rid", "_n", "_part", "_size", "_taken", "size", "target", "taken", "order", "left", "cut")})
+    mixed = M.mix(df).collect()
+    out = M.sampled(df)
+    assert out.columns == df.columns and len(mixed) == len(rows)
+    got = out.collect()
+    for s in ("s", None):
+        want = sum(r["taken"] for r in mixed if r["source"] == s)
+        assert sum(len(r["text"].split()) for r in got if r["source"] == s) == want
+    texts = {r[1] for r in rows}
+    assert all(r["text"] in texts or any(t.startswith(r["text"]) for t in texts) for r in got) and all(r["_n"] == 5 for r in got)
+
+
+def test_a_crowd_at_the_cut_is_settled_by_the_texts(spark, monkeypatch):
+    """All rows share one id: the cut is found among the hashes of their texts, to the word."""
+    rows = [(1, " ".join(f"w{i}" for _ in range(1 + i % 7)), "ab"[i % 2], 0) for i in range(400)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = sorted(tuple(r) for r in M.mix(df).select("source", "target").distinct().collect())
+    monkeypatch.setattr(M, "EDGE_ROWS", 10)
+    got = M.mix(df).collect()
+    assert sorted({(r["source"], r["target"]) for r in got}) == want and len(got) == 400
+    for s, target in want:
+        assert abs(sum(r["taken"] for r in got if r["source"] == s) - target) <= 1
+    assert all(0 <= r["taken"] <= 2 * r["size"] for r in got)
+
+
+def test_an_id_column_called_like_a_result(spark):
+    df, rows = corpus(spark)
+    got = M.mix(df.withColumnRenamed("doc_id", "size"), id_col="size")
+    assert got.columns == ["_size", "size", "source", "source_size", "target", "taken"] and got.count() == len(rows)
