@@ -1,9 +1,9 @@
 """WARC archives with per-record Zstandard frames and an embedded dictionary.
 
 A file starts with a skippable frame (magic 0x184D2A5D) that holds the dictionary, itself a Zstandard
-frame; each record follows as a frame of its own, compressed with the dictionary. The
-dictionary is built from the first records of the file. Payloads that an earlier id already has are
-written as revisit records without payload.
+frame; each record follows as a frame of its own, compressed whole with the dictionary. The dictionary is trained on
+a bounded sample of the file's own records (``sample_bytes`` of its first ones, ``record_sample`` of each). Payloads
+that an earlier id already has are written as revisit records without payload.
 
 Executors write through pyarrow's file systems under a hidden name and rename when a file is complete;
 names and contents depend on the rows alone, so a task that runs again replaces its own files.
@@ -15,20 +15,26 @@ import base64
 import hashlib
 import struct
 import uuid
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from .common import new_folder, written
 
 DICTIONARY_MAGIC = 0x184D2A5D
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DICTIONARY_BYTES = 64 << 10
+#: What the dictionary is trained on: so much of the first records of an archive, and so much of each.
 SAMPLE_BYTES = 4 << 20
+RECORD_SAMPLE = 128 << 10
+#: Uncompressed size from which on an archive is closed; payloads that are read again are passed on in batches of about READ_BYTES.
 ARCHIVE_BYTES = 64 << 20
+READ_BYTES = 16 << 20
 LEVEL = 3
 CAPTURED = "1970-01-01T00:00:00Z"
 
@@ -50,9 +56,9 @@ def record(key: str | None, uri: str | None, payload: bytes | None, size: int, d
         head.append(f"WARC-Target-URI: {' '.join(uri.split())}")
     head.append(f"WARC-Payload-Digest: sha1:{digest}")
     if key is not None:
-        head.append(f"X-Row-Key: {key}")
+        head.append(f"X-Row-Key: {quote(key, safe='')}")  # any text fits into the line
     if refers_to is not None:
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {_record_id(refers_to)}", f"X-Refers-To-Key: {refers_to}"]
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {_record_id(refers_to)}", f"X-Refers-To-Key: {quote(refers_to, safe='')}"]
     head.append(f"Content-Length: {len(block)}")
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -72,11 +78,18 @@ def build_dictionary(samples: list[bytes]) -> zstandard.ZstdCompressionDict:
         return zstandard.ZstdCompressionDict(b"".join(samples)[:DICTIONARY_BYTES], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
 
 
+def arrow_uri(folder: str) -> str:
+    """The folder as pyarrow's file systems name it: Spark's names of S3 are s3a and s3n."""
+    scheme, mark, rest = folder.partition("://")
+    return f"s3://{rest}" if mark and scheme in ("s3a", "s3n") else folder
+
+
 class ArchiveWriter:
-    def __init__(self, folder: str, stem: str):
+    def __init__(self, folder: str, stem: str, sample_bytes: int | None = None, record_sample: int | None = None):
         from pyarrow import fs
 
-        self.fs, self.folder = fs.FileSystem.from_uri(folder)
+        self.fs, self.folder = fs.FileSystem.from_uri(arrow_uri(folder))
+        self.sample_bytes, self.record_sample = sample_bytes or SAMPLE_BYTES, record_sample or RECORD_SAMPLE
         self.stem, self.n, self.done = stem, 0, []
         self._clear()
 
@@ -89,7 +102,7 @@ class ArchiveWriter:
         if self.out is None:
             self.waiting.append(raw)
             self.waiting_bytes += len(raw)
-            if self.waiting_bytes >= SAMPLE_BYTES:
+            if self.waiting_bytes >= self.sample_bytes:
                 self._open()
         else:
             self.out.write(self.packer.compress(raw))
@@ -99,11 +112,11 @@ class ArchiveWriter:
     def _open(self) -> None:
         self.fs.create_dir(self.folder, recursive=True)
         self.temp = f"{self.folder}/_writing-{uuid.uuid4().hex}"
-        samples, room = [], SAMPLE_BYTES
+        samples, room = [], self.sample_bytes
         for raw in self.waiting:
             if room <= 0:
                 break
-            samples.append(raw[: 128 << 10])
+            samples.append(raw[: self.record_sample])
             room -= len(samples[-1])
         words = build_dictionary(samples)
         frame = zstandard.ZstdCompressor(level=LEVEL).compress(words.as_bytes())
@@ -148,13 +161,17 @@ def read_archive(data: bytes):
         yield b"".join(parts)
 
 
-def write_archives(df: DataFrame, id_col: str, text_col: str, uri_col: str | None = None, folder: str | None = None, least_bytes: int = 0) -> tuple[str, DataFrame]:
+def write_archives(df: DataFrame, id_col: str, text_col: str, uri_col: str | None = None, folder: str | None = None, least_bytes: int = 0, sample_bytes: int | None = None, record_sample: int | None = None) -> tuple[str, DataFrame]:
     """Write a record for each row; returns the folder and (file, records, raw_bytes) of the archives.
 
     Of rows with equal payloads of at least ``least_bytes`` bytes, that with the smallest id is the
     response (so are rows that repeat its id) and the others revisit it; rows with a null id are
-    responses unless another row with the payload has an id. A null text is an empty payload.
+    responses unless another row with the payload has an id. A null text is an empty payload; texts are archived whole,
+    however long; ids may be any text or bytes; other columns do not matter. An empty table gives no archive.
     """
+    binary = isinstance(df.schema[id_col].dataType, BinaryType)
+    as_key = (lambda c: F.hex(c)) if binary else (lambda c: F.col(c).cast("string"))
+
     folder = folder or new_folder(df.sparkSession, "warc")
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = df.select(
@@ -165,10 +182,10 @@ def write_archives(df: DataFrame, id_col: str, text_col: str, uri_col: str | Non
     known = rows.join(first, "sha1", "left")
     refers = F.when((F.col("size") >= least_bytes) & F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first")), F.col("first"))
     known = known.withColumn("refers", refers)
-    slim = known.select(F.col("id").cast("string").alias("key"), "uri", F.when(F.col("refers").isNull(), F.col("text")).alias("text"), "size", "sha1", F.col("refers").cast("string").alias("refers"), "id")
+    slim = known.select(as_key("id").alias("key"), "uri", F.when(F.col("refers").isNull(), F.col("text")).alias("text"), "size", "sha1", as_key("refers").alias("refers"), "id")
 
     def write(batches):
-        out = ArchiveWriter(folder, f"part-{TaskContext.get().partitionId():06d}")
+        out = ArchiveWriter(folder, f"part-{TaskContext.get().partitionId():06d}", sample_bytes, record_sample)
         for batch in batches:
             key, uri, text, size, sha1, refers = (batch.column(i).to_pylist() for i in range(6))
             for i in range(batch.num_rows):
@@ -184,14 +201,21 @@ def write_archives(df: DataFrame, id_col: str, text_col: str, uri_col: str | Non
 def read_archives(spark: SparkSession, folder: str, with_payload: bool = False) -> DataFrame:
     """(key, uri, record_type, payload_bytes, payload_digest, refers_to[, payload]) of all records under ``folder``.
 
-    A response's digest is computed from its payload and must be the one in its header.
+    A response's digest is computed from its payload and must be the one in its header. Keys are the ids as text, those
+    that are bytes in hexadecimal digits.
     """
     names = ["key", "uri", "record_type", "payload_bytes", "payload_digest", "refers_to"] + ["payload"] * with_payload
 
+    kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary()]
+    text_of = lambda x: None if x is None else unquote(x)
+
+    def batch_of(rows):
+        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names=names)
+
     def read(batches):
         for batch in batches:
             for data in batch.column(0):
-                rows = []
+                rows, held = [], 0
                 for raw in read_archive(data.as_buffer().to_pybytes() if hasattr(data, "as_buffer") else data.as_py()):
                     fields, block = parse_record(raw)
                     http, _, payload = block.partition(b"\r\n\r\n")
@@ -199,10 +223,13 @@ def read_archives(spark: SparkSession, folder: str, with_payload: bool = False)
                     size = next(int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
                     if kind == "response" and (payload_digest(payload) != digest or len(payload) != size):
                         raise ValueError(f"damaged payload: {fields['warc-record-id']}")
-                    rows.append((fields.get("x-row-key"), fields.get("warc-target-uri"), kind, size, digest, fields.get("x-refers-to-key"), *([payload] * with_payload)))
-                columns = list(zip(*rows)) if rows else [()] * len(names)
-                kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=names)
+                    rows.append((text_of(fields.get("x-row-key")), fields.get("warc-target-uri"), kind, size, digest, text_of(fields.get("x-refers-to-key")), *([payload] * with_payload)))
+                    held += 512 + len(payload) * with_payload
+                    if held >= READ_BYTES:
+                        yield batch_of(rows)
+                        rows, held = [], 0
+                if rows:
+                    yield batch_of(rows)
 
     schema = "key string, uri string, record_type string, payload_bytes bigint, payload_digest string, refers_to string" + ", payload binary" * with_payload
     files = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("pathGlobFilter", "*.warc.zst").load(folder)
@@ -210,11 +237,15 @@ def read_archives(spark: SparkSession, folder: str, with_payload: bool = False)
 
 
 def archived(df: DataFrame, id_col: str = "page_id", text_col: str = "html", uri_col: str | None = "url", least_bytes: int = 0) -> DataFrame:
-    """Write archives of ``df`` and read them back: (id_col, payload_bytes, payload_digest, record_type, refers_to)."""
+    """Write archives of ``df`` and read them back: (id_col, payload_bytes, payload_digest, record_type, refers_to).
+
+    Odd rows as in ``write_archives``; repeated rows have a record each; an empty table gives an empty result.
+    """
     spark = df.sparkSession
     folder, archives = write_archives(df, id_col, text_col, uri_col, None, least_bytes)
     kind = df.schema[id_col].dataType
     if archives.isEmpty():
         return spark.createDataFrame([], f"`{id_col}` {kind.simpleString()}, payload_bytes bigint, payload_digest string, record_type string, refers_to {kind.simpleString()}")
     back = read_archives(spark, folder)
-    return back.select(F.col("key").cast(kind).alias(id_col), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
+    as_id = F.unhex if isinstance(kind, BinaryType) else lambda c: F.col(c).cast(kind)
+    return back.select(as_id("key").alias(id_col), "payload_bytes", "payload_digest", "record_type", as_id("refers_to").alias("refers_to"))

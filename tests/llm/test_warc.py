@@ -70,3 +70,26 @@ def test_archives_roll_over(spark, monkeypatch):
 def test_query_matches_brute_force(spark, data):
     rows = [tuple(r) for r in spark.read.parquet(f"{data}/pages.parquet").select("page_id", "url", "html").collect()]
     assert sorted(map(tuple, queries()["op4_warc"](spark, data).collect()), key=str) == expected(rows)
+
+
+def test_any_text_or_bytes_may_be_an_id(spark):
+    ids = ["a ", " a", "b\r\nX-Refers-To-Key: z", "%41", "é: ü", "", "x" * 10_000]
+    rows = [(k, f"http://h/{i}", "same" if i % 2 else f"page {i}") for i, k in enumerate(ids)]
+    got = {r["page_id"]: r["refers_to"] for r in A.archived(spark.createDataFrame(rows, "page_id string, url string, html string")).collect()}
+    first = min(k for k, _, h in rows if h == "same")
+    assert got == {k: (first if h == "same" and k != first else None) for k, _, h in rows}
+    raw = [(bytearray([255, i, 10]), None, "same") for i in range(3)]
+    got = {bytes(r["page_id"]): r["refers_to"] for r in A.archived(spark.createDataFrame(raw, "page_id binary, url string, html string")).collect()}
+    assert {k: v and bytes(v) for k, v in got.items()} == {bytes([255, i, 10]): (bytes([255, 0, 10]) if i else None) for i in range(3)}
+
+
+def test_names_of_shared_folders():
+    assert A.arrow_uri("s3a://bucket/shared") == "s3://bucket/shared" and A.arrow_uri("file:///tmp/x") == "file:///tmp/x"
+
+
+def test_payloads_are_read_in_batches(spark, monkeypatch):
+    monkeypatch.setattr(A, "READ_BYTES", 2000)
+    rows = [(i, None, f"page {i} " * 50) for i in range(40)]
+    folder, _ = A.write_archives(spark.createDataFrame(rows, SCHEMA), "page_id", "html")
+    back = {int(r["key"]): bytes(r["payload"]).decode() for r in A.read_archives(spark, folder, with_payload=True).collect()}
+    assert back == {i: h for i, _, h in rows}
