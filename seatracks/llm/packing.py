@@ -18,16 +18,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_chunks, written
+from .common import free_name, text_chunks, written
 from .tokens import WordTokens, default_tokenizer
 
 CAPACITY = 4096
 END_ID = 1
 
 
+def result_id(id_col: str) -> str:
+    return free_name(("piece", "start", "length", "ids_crc32", "ids", "sequence_id", "offset", "n", "_part", "_before", "_rank"), id_col)
+
+
 def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
-    """(id_col, piece, start, length, ids_crc32[, ids]) of each row; a null text is empty (one piece: the end id)."""
-    path = tokenizer or default_tokenizer()
+    """(id_col, piece, start, length, ids_crc32[, ids]) of each row; a null text is empty (one piece: the end id).
+
+    An id column that is called like one of the result's gets an underscore before its name.
+    """
+    path, name = tokenizer or default_tokenizer(), result_id(id_col)
 
     def run(batches):
         tokens = WordTokens(path)
@@ -47,11 +54,11 @@ def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
                         if with_ids:
                             own_ids.append(cut.astype(np.int32))
                 arrays = [part.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
-                yield pa.RecordBatch.from_arrays([*arrays, *([pa.array(own_ids, pa.list_(pa.int32()))] if with_ids else [])], names=[id_col, "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])])
+                yield pa.RecordBatch.from_arrays([*arrays, *([pa.array(own_ids, pa.list_(pa.int32()))] if with_ids else [])], names=[name, "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])])
 
     kind = df.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids
-    return df.select(F.col(id_col), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    schema = f"`{name}` {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
 @dataclass
@@ -182,7 +189,9 @@ def packed(cut: DataFrame, id_col: str = "doc_id", capacity: int = CAPACITY) ->
 def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """Pack all rows of ``df``: one row for each piece.
 
-    Null and empty texts are one piece of one token; longer documents than ``capacity`` are cut; repeated
-    rows and ids are packed once each; an empty table gives an empty result.
+    Null and empty texts are one piece of one token; documents longer than ``capacity`` are cut and packed whole; repeated
+    rows and ids are packed once each; pieces of one length are ranked by id, place and content, equal ones as they come;
+    other columns do not matter; an id column that is called like one of the result's gets an underscore before its
+    name. An empty table gives an empty result.
     """
-    return packed(pieces(df, id_col, text_col, tokenizer, capacity, END_ID, with_ids), id_col, capacity)
+    return packed(pieces(df, id_col, text_col, tokenizer, capacity, END_ID, with_ids), result_id(id_col), capacity)

@@ -93,3 +93,9 @@ def test_query_round_trip(spark, data):
         ids = np.array(t.encode(text or "", add_special_tokens=False).ids + [1], dtype="<u4")
         assert sorted(by[i]) == [(k, a, len(ids[a : a + 4096]), zlib.crc32(ids[a : a + 4096].tobytes())) for k, a in enumerate(range(0, len(ids), 4096))]
     assert check_layout(got, 4096) <= -(-sum(r["length"] for r in got) // 4096) + 1
+
+
+def test_an_id_column_called_like_a_result(spark):
+    df = spark.createDataFrame([(1, "a b"), (2, None)], "length long, text string")
+    got = P.pack(df, id_col="length").collect()
+    assert sorted((r["_length"], r["length"]) for r in got) == [(1, 3), (2, 1)]
