@@ -2,25 +2,28 @@
 
 Vectors get one more coordinate, ``sqrt(M^2 - |x|^2)`` with M the largest norm, and queries a zero, so
 that the largest inner product is the smallest angle. Trees are fitted on a bounded sample (their
-splits: the direction between two random sample vectors, at the median), then every row is assigned
-to its leaf in each tree. A query walks all trees at once through one priority queue ordered by the
-smallest margin on the way, and takes leaves until it has enough candidates; all candidates are scored exactly
-in double precision.
-
-A leaf is dealt out in blocks of about ``block_rows`` rows by a hash of the id, and blocks by a hash to
-buckets of about ``bucket_rows`` rows, so a leaf full of copies is many tasks' work; a query goes
-once to each bucket that holds blocks it probes. Queries are dealt by a hash of their id to groups of about
-``query_rows``, and a bucket's rows are repeated for each group: what one task holds is bounded on both sides.
+splits: the direction between two random sample vectors, at the median) down to leaves of about ``leaf_rows`` rows of
+the table, or of two sample rows; then every row is assigned to its leaf in each tree. A query's leaves of all trees
+come out of one priority queue, ordered by the sum of the squared margins by which the query misses them on the way
+down, until they hold enough candidates. All candidates are scored exactly in double precision.
+
+How many candidates are enough is measured: for a few queries the exact neighbours over all rows are found, block by
+block, and the number is the one with which the forest reaches ``target_recall`` of them. Clustered vectors need few
+candidates, whatever the table's size; vectors without structure need a large share of all rows.
+
+A leaf is dealt out in cells of about ``cell_rows`` rows by a hash of the id, so a leaf full of copies is many cells,
+and cells that follow one another, hence are near in their tree, are put together to buckets of about ``bucket_rows``
+rows. A query goes once to each bucket that holds cells it probes. Where more than ``query_rows`` queries go to a bucket
+they are dealt to groups and its rows are repeated for each: what one task holds is bounded on both sides.
 """
 
 from __future__ import annotations
 
-import heapq
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +39,24 @@ class Tree:
     children: np.ndarray
     n_leaves: int
 
+    def misses(self, x: np.ndarray) -> np.ndarray:
+        """For each row of ``x`` and leaf: the sum of the squared margins of the splits whose other side the row is on."""
+        if not len(self.directions):
+            return np.zeros((len(x), 1))
+        margin = x @ self.directions.T - self.thresholds
+        at, out = np.zeros((len(x), len(self.directions))), np.zeros((len(x), self.n_leaves))
+        level = np.zeros(1, dtype=np.int64)
+        while len(level):  # nodes of one depth at a time
+            below = []
+            for side, sign in ((0, 1.0), (1, -1.0)):
+                child = self.children[level, side]
+                way = at[:, level] + np.maximum(sign * margin[:, level], 0.0) ** 2
+                out[:, -child[child < 0] - 1] = way[:, child < 0]
+                at[:, child[child >= 0]] = way[:, child >= 0]
+                below.append(child[child >= 0])
+            level = np.concatenate(below)
+        return out
+
     def leaves(self, x: np.ndarray) -> np.ndarray:
         if not len(self.directions):
             return np.zeros(len(x), dtype=np.int64)
@@ -99,24 +120,14 @@ class Forest:
         wide = self.with_rest(x)
         return np.stack([start + t.leaves(wide) for t, start in zip(self.trees, self.starts)], axis=1)
 
-    def probe(self, query: np.ndarray, counts: np.ndarray, enough: int, most_counted: int) -> list[int]:
-        """Leaves in the order of the shared priority queue, until they count ``enough`` rows; of a leaf at most ``most_counted`` count."""
-        wide = np.append(query / max(np.linalg.norm(query), 1e-300) * self.largest, 0.0)
-        margins = [t.directions @ wide - t.thresholds for t in self.trees]
-        queue = [(-np.inf, k, 0 if len(t.directions) else -1) for k, t in enumerate(self.trees)]
-        starts, got, out = self.starts, 0, []
-        while queue and got < enough:
-            priority, k, node = heapq.heappop(queue)
-            if node < 0:
-                leaf = int(starts[k] - node - 1)
-                out.append(leaf)
-                got += min(int(counts[leaf]), most_counted)
-                continue
-            margin = float(margins[k][node])
-            left, right = (int(c) for c in self.trees[k].children[node])
-            heapq.heappush(queue, (max(priority, margin), k, left))
-            heapq.heappush(queue, (max(priority, -margin), k, right))
-        return out
+    def queue(self, queries: np.ndarray):
+        """For each query, all leaves in the order in which the shared priority queue gives them out.
+
+        A leaf's priority is never before that of a node above it, so the queue gives leaves in the order of their own.
+        """
+        wide = np.concatenate([queries / np.maximum(np.linalg.norm(queries, axis=1), 1e-300)[:, None] * self.largest, np.zeros((len(queries), 1))], axis=1)
+        for i in range(0, len(wide), 64):
+            yield from np.argsort(np.concatenate([t.misses(wide[i : i + 64]) for t in self.trees], axis=1), axis=1, kind="stable")
 
 
 def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -134,7 +145,11 @@ def matrix(column) -> np.ndarray:
 
 
 def fit(vectors: DataFrame, trees: int = 8, leaf_rows: int = 64, sample_rows: int = 20_000, seed: int = 7) -> Forest:
-    """Fit on at most about ``sample_rows`` vectors, picked by a hash of the id (all, if fewer)."""
+    """Fit on at most about ``sample_rows`` vectors, picked by a hash of the id (all, if fewer).
+
+    Leaves hold about ``leaf_rows`` rows of the table as long as these are two sample rows or more: up to
+    ``leaf_rows / 2 * sample_rows`` rows; in larger tables they grow with it unless the sample does.
+    """
     stats = vectors.agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("most")).first()
     if not stats["n"]:
         return Forest([], 0.0)
@@ -146,17 +161,114 @@ def fit(vectors: DataFrame, trees: int = 8, leaf_rows: int = 64, sample_rows: in
     if not len(sample):
         return Forest([Tree(np.zeros((0, 1)), np.zeros(0), np.zeros((0, 2), dtype=np.int64), 1)], forest.largest)
     wide = forest.with_rest(np.stack(sample["v"].to_numpy()).astype(np.float64))
-    forest.trees = [grow(wide, leaf_rows, rng) for _ in range(trees)]
+    forest.trees = [grow(wide, max(2, round(leaf_rows * share)), rng) for _ in range(trees)]
     return forest
 
 
-def search(df: DataFrame, queries, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, trees: int = 4, leaf_rows: int = 64, sample_rows: int = 20_000, candidate_share: float = 1.2, least_candidates: int = 4000, block_rows: int = 512, bucket_rows: int = 32_768, query_rows: int = 16_384, seed: int = 7) -> DataFrame:
+def exact_scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Inner products of the rows of ``q`` and ``x``, summed in one order, so that equal vectors get equal scores."""
+    score = np.zeros(len(q))
+    for d in range(x.shape[1]):
+        score += q[:, d] * x[:, d]
+    return score
+
+
+class Best:
+    """The ``k`` best rows of each query so far: (query, row, score), ties to the smaller row."""
+
+    def __init__(self, q: np.ndarray, x: np.ndarray, own: np.ndarray, k: int):
+        self.q, self.x, self.own, self.k = q, x, own, k  # own: the row that is the query itself, or -1
+        self.kth = np.full(len(q), -np.inf)
+        self.kept = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))
+        self.new: list[tuple[np.ndarray, np.ndarray]] = []
+        self.waiting = 0
+
+    def offer(self, queries: np.ndarray, rows: np.ndarray) -> None:
+        """All pairs of some queries and candidate rows; those that may be among the best are looked at again."""
+        near = self.q[queries] @ self.x[rows].T
+        i, j = np.nonzero(near >= (self.kth[queries] - 1e-9 * np.maximum(1.0, np.abs(self.kth[queries])))[:, None]) if len(rows) else (np.zeros(0, dtype=np.int64),) * 2
+        self.new.append((queries[i], rows[j]))
+        self.waiting += len(i)
+        if self.waiting > 1 << 19:
+            self.settle()
+
+    def settle(self) -> None:
+        if not self.new:
+            return
+        query, row = (np.concatenate(c) for c in zip(*self.new))
+        self.new, self.waiting = [], 0
+        pair = np.unique(query * len(self.x) + row)
+        pair = pair[~np.isin(pair, self.kept[0] * len(self.x) + self.kept[1])]
+        query, row = pair // len(self.x), pair % len(self.x)
+        other = row != self.own[query]
+        query, row = query[other], row[other]
+        score = np.concatenate([self.kept[2], exact_scores(self.q[query], self.x[row])])
+        query, row = np.concatenate([self.kept[0], query]), np.concatenate([self.kept[1], row])
+        turn = np.lexsort((row, -score, query))
+        query, row, score = query[turn], row[turn], score[turn]
+        first = np.searchsorted(query, query)
+        rank = np.arange(len(query)) - first
+        kth = rank == self.k - 1
+        self.kth[query[kth]] = score[kth]
+        keep = rank < self.k
+        self.kept = query[keep], row[keep], score[keep]
+
+
+def candidates_needed(forest: Forest, placed: DataFrame, asking: DataFrame, counts: np.ndarray, k: int, target_recall: float, tried: int, seed: int) -> int:
+    """Rows, counted over all trees, that the queue must give out so that ``target_recall`` of the exact neighbours are among them.
+
+    Measured on about ``tried`` queries against all rows: a stated, bounded query set, in blocks.
+    """
+    some = asking.orderBy(F.xxhash64("id", F.lit(seed + 3)), "id").limit(tried).toPandas()
+    if not len(some):
+        return 0
+    q, names = np.stack(some["v"].to_numpy()).astype(np.float64), some["id"].to_numpy()
+
+    def block(batches):
+        for batch in batches:
+            x, ids = matrix(batch.column(1)), batch.column(0).to_pandas().to_numpy()
+            near = q @ x.T
+            near[names[:, None] == ids[None, :]] = -np.inf
+            best = np.argsort(-near, axis=1, kind="stable")[:, :k]
+            rows = pa.array(best.ravel())
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(q)), best.shape[1])), pa.array(np.take_along_axis(near, best, axis=1).ravel()), batch.column(0).take(rows), batch.column(2).take(rows)], names=["q", "score", "id", "leaves"])
+
+    kind = placed.schema["id"].dataType.simpleString()
+    best = placed.select("id", "v", "leaves").mapInArrow(block, f"q bigint, score double, id {kind}, leaves array<bigint>").where(F.col("score") > float("-inf"))
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.col("score").desc(), "id"))
+    truth = best.withColumn("rank", rank).where(F.col("rank") <= k).select("q", "leaves").toPandas()  # k rows for each query tried
+    needed = []
+    for i, order in enumerate(forest.queue(q)):
+        held = np.empty(len(order), dtype=np.int64)
+        held[order] = np.cumsum(counts[order])
+        needed += [int(held[np.asarray(x)].min()) for x in truth["leaves"][truth["q"] == i]]
+    return int(np.quantile(needed, target_recall, method="higher")) if needed else 0
+
+
+def search(
+    df: DataFrame,
+    queries,
+    id_col: str = "vec_id",
+    vector_col: str = "embedding",
+    k: int = 20,
+    trees: int = 8,
+    leaf_rows: int = 64,
+    sample_rows: int = 20_000,
+    target_recall: float = 0.95,
+    tried: int = 64,
+    candidates: int | None = None,
+    cell_rows: int = 512,
+    bucket_rows: int = 32_768,
+    query_rows: int = 8192,
+    seed: int = 7,
+) -> DataFrame:
     """(query_id, rank, id_col, score): the ``k`` nearest found for the rows that the condition ``queries`` (on column id) picks.
 
-    Candidates: about ``candidate_share`` of the rows, ``least_candidates`` at least, counted over all
-    trees. Vectors that are null, zero or hold null or non-finite components, and vectors of another
-    dimension than the most usual (of equally usual ones the largest), take no part. Ties go to the smaller id. Of rows that repeat an
-    id, that with the largest vector (element by element) counts. An empty table gives an empty result.
+    Candidates: ``candidates`` rows counted over all trees, or without it as many as ``target_recall`` needs on ``tried``
+    queries; four leaves of each tree at least. Vectors that are null, zero or hold null or non-finite components, and
+    vectors of another dimension than the most usual (of equally usual ones the largest), take no part. Ties go to the
+    smaller id. Of rows that repeat an id, that with the largest vector (element by element) counts. Other columns do not
+    matter. An empty table gives an empty result.
     """
     spark = df.sparkSession
     vectors = written(usable(df, id_col, vector_col).groupBy("id").agg(F.max("v").alias("v")), "vectors")
@@ -172,81 +284,94 @@ def search(df: DataFrame, queries, id_col: str = "vec_id", vector_col: str = "em
     def assign(batches):
         for batch in batches:
             leaf = forest.leaves(matrix(batch.column(1)))
-            row = np.repeat(np.arange(batch.num_rows), leaf.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array(leaf.ravel()), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row))], names=["leaf", "id", "v"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(leaf), pa.list_(pa.int64()))], names=["id", "v", "salt", "leaves"])
 
-    placed = vectors.mapInArrow(assign, f"leaf bigint, id {kind}, v array<double>")
-    sizes = placed.select("leaf").groupBy("leaf").agg(F.count("*").alias("n")).collect()  # at most as many numbers as the forest has leaves
+    salted = vectors.withColumn("salt", F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(1 << 30)))
+    placed = written(salted.mapInArrow(assign, f"id {kind}, v array<double>, salt bigint, leaves array<bigint>"), "placed")
+    sizes = placed.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.count("*").alias("n")).collect()  # at most as many numbers as the forest has leaves
     counts = np.zeros(n_leaves, dtype=np.int64)
     for r in sizes:
         counts[r["leaf"]] = r["n"]
-    blocks = np.maximum(1, -(-counts // block_rows))
-    enough = max(least_candidates, int(candidate_share * usual["n"]), 2 * (k + 1) * len(forest.trees))
-    most_counted = max(2 * leaf_rows, int(4 * counts.sum() / max(1, n_leaves)))
+    asking = vectors.where(queries)
+    if candidates is None:
+        candidates = candidates_needed(forest, placed, asking, counts, k, target_recall, tried, seed)
+    enough = max(candidates, len(forest.trees) * max(4 * leaf_rows, k + 1))
 
+    blocks = np.maximum(1, -(-counts // cell_rows))
+    cells = np.concatenate([[0], np.cumsum(blocks)])  # number of a leaf's first cell
     n_buckets = max(1, int(-(-counts.sum() // bucket_rows)))
-    n_groups = max(1, -(-vectors.where(queries).count() // query_rows))
-    group = F.pmod(F.xxhash64("id", F.lit(seed + 2)), F.lit(n_groups))
-    cells = np.concatenate([[0], np.cumsum(blocks)])  # number of a leaf's first block
-
-    def bucket_of(cell: np.ndarray) -> np.ndarray:
-        return ((cell.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % n_buckets
-
-    def deal(batches):
-        for batch in batches:
-            leaf, salt = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            cell = cells[leaf] + salt % blocks[leaf]
-            yield pa.RecordBatch.from_arrays([pa.array(bucket_of(cell)), pa.array(cell), batch.column(2), batch.column(3)], names=["bucket", "cell", "id", "v"])
+    rows_before = np.concatenate([[0], np.cumsum(np.repeat(counts / blocks, blocks))])[:-1]
+    bucket_of = np.minimum(n_buckets - 1, (rows_before / max(1.0, counts.sum() / n_buckets)).astype(np.int64))
 
     def probe(batches):
         for batch in batches:
-            x, row, bucket, own = matrix(batch.column(1)), [], [], []
-            for i in range(len(x)):
-                leaves = np.array(forest.probe(x[i], counts, enough, most_counted), dtype=np.int64)
-                cell = np.concatenate([np.arange(cells[a], cells[a + 1]) for a in leaves])
-                of = bucket_of(cell)
-                for b in np.unique(of):
-                    row.append(i)
-                    bucket.append(b)
-                    own.append(cell[of == b])
+            row, bucket, own = [], [], []
+            for i, order in enumerate(forest.queue(matrix(batch.column(1)))):
+                leaves = order[: int(np.searchsorted(np.cumsum(counts[order]), enough)) + 1]
+                leaves = np.sort(leaves[counts[leaves] > 0])
+                n = blocks[leaves]
+                cell = np.repeat(cells[leaves] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                of = bucket_of[cell]
+                starts = np.flatnonzero(np.diff(of, prepend=-1))
+                row += [i] * len(starts)
+                bucket += of[starts].tolist()
+                own += np.split(cell, starts[1:])
             at = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(own, pa.list_(pa.int64())), batch.column(0).take(at), batch.column(1).take(at)], names=["bucket", "cells", "id", "v"])
 
-    def nearest(own: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
-        if not len(own) or not len(asking):
-            return pd.DataFrame({"query_id": asking["id"][:0], "id": own["id"][:0], "score": np.zeros(0)})
-        ids, first, who = np.unique(own["id"].to_numpy(), return_index=True, return_inverse=True)  # a vector has a row for each tree
-        x = np.stack(own["v"].to_numpy()[first])
-        names, cell = np.unique(own["cell"].to_numpy(), return_inverse=True)
-        q, q_ids, probed = np.stack(asking["v"].to_numpy()), asking["id"].to_numpy(), asking["cells"].to_numpy()
-        out = []
-        for i in range(0, len(q), 64):
-            near = q[i : i + 64] @ x.T
-            for j in range(len(near)):
-                there = np.zeros(len(names), dtype=bool)
-                at = np.searchsorted(names, probed[i + j])
-                at[at == len(names)] = 0
-                there[at[names[at] == probed[i + j]]] = True
-                reached = np.zeros(len(ids), dtype=bool)
-                reached[who[there[cell]]] = True
-                row = np.flatnonzero(reached & (ids != q_ids[i + j]))
-                if not len(row):
-                    continue
-                kth = np.partition(near[j, row], -k)[-k] if len(row) > k else -np.inf
-                row = row[near[j, row] >= kth - 1e-9 * max(1.0, abs(kth))] if np.isfinite(kth) else row
-                score = np.zeros(len(row))
-                for d in range(x.shape[1]):  # one after the other, so that equal vectors get equal scores
-                    score += q[i + j, d] * x[row, d]
-                best = np.lexsort((ids[row], -score))[:k]
-                out.append((np.full(len(best), q_ids[i + j]), ids[row][best], score[best]))
-        parts = list(zip(*out)) if out else [[ids[:0]], [ids[:0]], [np.zeros(0)]]
-        return pd.DataFrame({"query_id": np.concatenate(parts[0]), "id": np.concatenate(parts[1]), "score": np.concatenate(parts[2])})
-
-    dealt = placed.select("leaf", F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(1 << 30)).alias("salt"), "id", "v").mapInArrow(deal, f"bucket bigint, cell bigint, id {kind}, v array<double>")
-    asked = vectors.where(queries).mapInArrow(probe, f"bucket bigint, cells array<bigint>, id {kind}, v array<double>")
-    dealt = dealt.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1)))).withColumn("group", F.col("group").cast("bigint"))
-    asked = asked.withColumn("group", group)
-    found = dealt.groupBy("bucket", "group").cogroup(asked.groupBy("bucket", "group")).applyInPandas(nearest, schema)
+    asked = written(asking.mapInArrow(probe, f"bucket bigint, cells array<bigint>, id {kind}, v array<double>"), "asked")
+    groups = np.zeros(n_buckets, dtype=np.int64)
+    for r in asked.groupBy("bucket").agg(F.count("*").alias("n")).collect():  # one number for each bucket
+        groups[r["bucket"]] = -(-r["n"] // query_rows)
+
+    def deal(batches):
+        for batch in batches:
+            leaves = matrix(batch.column(3)).astype(np.int64)
+            salt = batch.column(2).to_numpy(zero_copy_only=False)
+            cell = (cells[leaves] + salt[:, None] % blocks[leaves]).ravel()
+            bucket, row = bucket_of[cell], np.repeat(np.arange(batch.num_rows), leaves.shape[1])
+            again = groups[bucket]  # a copy for each group of queries; none where nobody asks
+            group = np.arange(again.sum()) - np.repeat(np.cumsum(again) - again, again)
+            at = pa.array(np.repeat(row, again))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(bucket, again)), pa.array(group), pa.array(np.repeat(cell, again)), batch.column(0).take(at), batch.column(1).take(at)], names=["bucket", "group", "cell", "id", "v"])
+
+    def regroup(batches):
+        for batch in batches:
+            bucket, salt = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(salt % np.maximum(1, groups[bucket])), *batch.columns[2:]], names=["bucket", "group", "cells", "id", "v"])
+
+    def nearest(own: pa.Table, asking: pa.Table) -> pa.Table:
+        if not own.num_rows or not asking.num_rows:
+            return pa.table([asking.column("id")[:0], own.column("id")[:0], pa.array([], pa.float64())], names=["query_id", "id", "score"])
+        coded = own.column("id").combine_chunks().dictionary_encode()
+        turn = pc.sort_indices(coded.dictionary)  # rows in the order of their ids, each once
+        names = coded.dictionary.take(turn)
+        place = np.empty(len(names), dtype=np.int64)
+        place[turn.to_numpy()] = np.arange(len(names))
+        who = place[coded.indices.to_numpy(zero_copy_only=False)]
+        v, x = matrix(own.column("v")), np.zeros((len(names), usual["d"]))
+        x[who] = v
+        cell = own.column("cell").to_numpy()
+        by_cell = np.argsort(cell, kind="stable")
+        cell, who = cell[by_cell], who[by_cell]
+        lists = asking.column("cells").combine_chunks()
+        probed, asker = lists.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(asking.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        by_cell = np.argsort(probed, kind="stable")
+        probed, asker = probed[by_cell], asker[by_cell]
+        self_at = pc.fill_null(pc.index_in(asking.column("id").combine_chunks(), value_set=names), -1).to_numpy(zero_copy_only=False)
+        best = Best(matrix(asking.column("v")), x, self_at, k)
+        at = np.concatenate([[0], np.flatnonzero(np.diff(cell)) + 1])
+        for c, i, j in zip(cell[at], at, [*at[1:], len(cell)]):
+            mine = asker[np.searchsorted(probed, c) : np.searchsorted(probed, c, side="right")]
+            for q in range(0, len(mine), 1024):
+                best.offer(mine[q : q + 1024], who[i:j])
+        best.settle()
+        query, row, score = best.kept
+        return pa.table([asking.column("id").combine_chunks().take(pa.array(query)), names.take(pa.array(row)), pa.array(score)], names=["query_id", "id", "score"])
+
+    dealt = placed.mapInArrow(deal, f"bucket bigint, group bigint, cell bigint, id {kind}, v array<double>")
+    asked = asked.select("bucket", F.pmod(F.xxhash64("id", F.lit(seed + 2)), F.lit(1 << 30)).alias("salt"), "cells", "id", "v").mapInArrow(regroup, f"bucket bigint, group bigint, cells array<bigint>, id {kind}, v array<double>")
+    found = dealt.groupBy("bucket", "group").cogroup(asked.groupBy("bucket", "group")).applyInArrow(nearest, schema)
     found = found.groupBy("query_id", "id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
