@@ -180,38 +180,47 @@ class Best:
         self.q, self.x, self.own, self.k = q, x, own, k  # own: the row that is the query itself, or -1
         self.kth = np.full(len(q), -np.inf)
         self.kept = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))
-        self.new: list[tuple[np.ndarray, np.ndarray]] = []
+        self.new: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.waiting = 0
 
     def offer(self, queries: np.ndarray, rows: np.ndarray) -> None:
         """All pairs of some queries and candidate rows; those that may be among the best are looked at again."""
         near = self.q[queries] @ self.x[rows].T
-        i, j = np.nonzero(near >= (self.kth[queries] - 1e-9 * np.maximum(1.0, np.abs(self.kth[queries])))[:, None]) if len(rows) else (np.zeros(0, dtype=np.int64),) * 2
-        self.new.append((queries[i], rows[j]))
+        i, j = np.nonzero(near >= _about(self.kth[queries])[:, None])
+        self.new.append((queries[i], rows[j], near[i, j]))
         self.waiting += len(i)
-        if self.waiting > 1 << 19:
+        if self.waiting > 1 << 18:
             self.settle()
 
     def settle(self) -> None:
         if not self.new:
             return
-        query, row = (np.concatenate(c) for c in zip(*self.new))
+        query, row, near = (np.concatenate(c) for c in zip(*self.new))
         self.new, self.waiting = [], 0
-        pair = np.unique(query * len(self.x) + row)
-        pair = pair[~np.isin(pair, self.kept[0] * len(self.x) + self.kept[1])]
-        query, row = pair // len(self.x), pair % len(self.x)
+        pair, at = np.unique(query * len(self.x) + row, return_index=True)
+        fresh = ~np.isin(pair, self.kept[0] * len(self.x) + self.kept[1], assume_unique=True)
+        query, row, near = query[at[fresh]], row[at[fresh]], near[at[fresh]]
         other = row != self.own[query]
-        query, row = query[other], row[other]
-        score = np.concatenate([self.kept[2], exact_scores(self.q[query], self.x[row])])
+        query, row, near = query[other], row[other], near[other]
+        turn = np.lexsort((-near, query))
+        query, row, near = query[turn], row[turn], near[turn]
+        rank = np.arange(len(query)) - np.searchsorted(query, query)
+        kth = np.full(len(self.q), -np.inf)
+        kth[query[rank == self.k - 1]] = near[rank == self.k - 1]
+        close = near >= _about(kth[query])  # only these are scored in one order of summing
+        query, row = query[close], row[close]
+        score = np.concatenate([self.kept[2], *(exact_scores(self.q[query[i : i + 65536]], self.x[row[i : i + 65536]]) for i in range(0, len(query), 65536))])
         query, row = np.concatenate([self.kept[0], query]), np.concatenate([self.kept[1], row])
         turn = np.lexsort((row, -score, query))
         query, row, score = query[turn], row[turn], score[turn]
-        first = np.searchsorted(query, query)
-        rank = np.arange(len(query)) - first
-        kth = rank == self.k - 1
-        self.kth[query[kth]] = score[kth]
-        keep = rank < self.k
-        self.kept = query[keep], row[keep], score[keep]
+        rank = np.arange(len(query)) - np.searchsorted(query, query)
+        self.kth[query[rank == self.k - 1]] = score[rank == self.k - 1]
+        self.kept = query[rank < self.k], row[rank < self.k], score[rank < self.k]
+
+
+def _about(score: np.ndarray) -> np.ndarray:
+    """A little less, by more than the order of summing makes."""
+    return score - 1e-9 * np.maximum(1.0, np.where(np.isfinite(score), np.abs(score), 1.0))
 
 
 def candidates_needed(forest: Forest, placed: DataFrame, asking: DataFrame, counts: np.ndarray, k: int, target_recall: float, tried: int, seed: int) -> int:
@@ -284,7 +293,8 @@ def search(
     def assign(batches):
         for batch in batches:
             leaf = forest.leaves(matrix(batch.column(1)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(leaf), pa.list_(pa.int64()))], names=["id", "v", "salt", "leaves"])
+            leaf = pa.ListArray.from_arrays(pa.array(np.arange(len(leaf) + 1) * leaf.shape[1], pa.int32()), pa.array(leaf.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, leaf], names=["id", "v", "salt", "leaves"])
 
     salted = vectors.withColumn("salt", F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(1 << 30)))
     placed = written(salted.mapInArrow(assign, f"id {kind}, v array<double>, salt bigint, leaves array<bigint>"), "placed")
