@@ -17,9 +17,10 @@ def held_out(divisor: int, remainder: int):
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document is a file of its source's directory."""
+    """Each document is a file of its source's directory (ids divisible by 10) or of one of that directory's nine."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return licenses.scan(docs, "doc_id", F.concat_ws("/", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))))
+    inner = F.when(F.col("doc_id") % 10 != 0, (F.col("doc_id") % 10).cast("string"))
+    return licenses.scan(docs, "doc_id", F.concat_ws("/", "source", inner, F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
