@@ -13,37 +13,44 @@ WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
 
 
 def license_sql() -> str:
-    """Each line's cosine to each template, by joins of terms."""
-    idf, other, weights, _ = licenses.template_vectors()
-    values = lambda rows: ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else repr(x) + ("::double" if isinstance(x, float) else "") for x in r) + ")" for r in rows)
+    """Each passage's cosine to each template, by joins of terms; weights from the templates' own texts."""
+    text = lambda x: "'" + x.replace("'", "''") + "'"
+    templates = ", ".join(f"({t}, {text(name)}, {text(notice)})" for t, (name, notice) in enumerate(licenses.TEMPLATES))
     common = ", ".join(f"'{w}'" for w in sorted(licenses.COMMON))
-    names = [(t, name) for t, (name, _) in enumerate(licenses.TEMPLATES)]
+    blank, end = (x.replace("'", "''") for x in (licenses.BLANK, licenses.SENTENCE_END))
     return f"""
-WITH names(template, license) AS (VALUES {values(names)}
-), idf(word, idf) AS (VALUES {values(idf.items())}
-), weights(template, word, weight) AS (VALUES {values((t, w, x) for (t, w), x in weights.items())}
-), docs AS (SELECT doc_id, coalesce(source, '') AS dir, coalesce(source || '/', '') || doc_id || '.txt' AS path, text FROM documents
-), cut AS (SELECT doc_id, string_split(lower(text), chr(10)) AS lines FROM docs
-), lines AS (SELECT doc_id, unnest(range(len(lines))) AS pos, unnest(lines) AS line FROM cut
-), terms AS (SELECT doc_id, pos, regexp_extract_all(line, '[a-z0-9]+') AS words FROM lines
-), bags AS (SELECT doc_id, pos, len(words) AS n_terms, word, count(*) AS tf FROM (SELECT *, unnest(words) AS word FROM terms) WHERE word NOT IN ({common}) GROUP BY ALL
-), weighed AS (SELECT b.*, tf * coalesce(idf, {other!r}::double) AS x FROM bags b LEFT JOIN idf USING (word)
-), norms AS (SELECT doc_id, pos, sqrt(sum(x * x)) AS norm FROM weighed GROUP BY ALL
-), dots AS (SELECT doc_id, pos, any_value(n_terms) AS n_terms, template, sum(x * weight) AS dot FROM weighed JOIN weights USING (word) GROUP BY doc_id, pos, template
-), scored AS (SELECT d.*, round(dot / norm, 6) AS score FROM dots d JOIN norms USING (doc_id, pos) WHERE round(dot / norm, 6) >= {licenses.THRESHOLD}
-), best AS (SELECT doc_id, pos, n_terms, score, template FROM scored QUALIFY row_number() OVER (PARTITION BY doc_id, pos ORDER BY score DESC, template) = 1
-), own AS (
-  SELECT doc_id, sum(n_terms) OVER (PARTITION BY doc_id) AS licence_words, score, license FROM best JOIN names USING (template)
-  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, template) = 1
-), known AS (SELECT d.doc_id, d.path, d.dir, own.* EXCLUDE (doc_id), len({WORDS.format("d.text")}) AS n_words FROM docs d LEFT JOIN own USING (doc_id)
+WITH templates(template, license, notice) AS (VALUES {templates}
+), bag AS (SELECT template, word, count(*) AS tf FROM (SELECT template, unnest(regexp_extract_all(lower(notice), '[a-z0-9]+')) AS word FROM templates) WHERE word NOT IN ({common}) GROUP BY ALL
+), idf AS (SELECT word, ln((1 + (SELECT count(*) FROM templates)) / (1 + count(*))::double) + 1 AS idf FROM bag GROUP BY word
+), raw AS (SELECT template, word, tf * idf AS x FROM bag JOIN idf USING (word)
+), weights AS (SELECT template, word, x / sqrt(sum(x * x) OVER (PARTITION BY template)) AS weight FROM raw
+), docs AS (
+  SELECT doc_id, text, concat_ws('/', source, CASE WHEN doc_id % 10 <> 0 THEN (doc_id % 10)::varchar END) AS dir, coalesce(source, '') AS top FROM documents
+), passages AS (
+  SELECT doc_id, {licenses.LINE} AS kind, unnest(string_split(lower(text), chr(10))) AS passage FROM docs
+  UNION ALL SELECT doc_id, {licenses.SENTENCE}, unnest(string_split_regex(lower(text), '{end}')) FROM docs
+  UNION ALL SELECT * FROM (SELECT doc_id, {licenses.PARAGRAPH}, unnest(string_split_regex(lower(text), '{blank}')) AS passage FROM docs) WHERE contains(passage, chr(10))
+), terms AS (SELECT doc_id, kind, row_number() OVER () AS pos, regexp_extract_all(passage, '[a-z0-9]+') AS words FROM passages
+), bags AS (SELECT doc_id, kind, pos, len(words) AS n_terms, word, count(*) AS tf FROM (SELECT *, unnest(words) AS word FROM terms) WHERE word NOT IN ({common}) GROUP BY ALL
+), weighed AS (SELECT b.*, tf * coalesce(idf, ln(1 + (SELECT count(*) FROM templates)::double) + 1) AS x FROM bags b LEFT JOIN idf USING (word)
+), norms AS (SELECT pos, sqrt(sum(x * x)) AS norm FROM weighed GROUP BY pos
+), dots AS (SELECT doc_id, kind, pos, any_value(n_terms) AS n_terms, template, sum(x * weight) AS dot FROM weighed JOIN weights USING (word) GROUP BY doc_id, kind, pos, template
+), scored AS (
+  SELECT d.*, round(dot / norm, 6) AS score, license, license = '{licenses.WEAK}' AS weak FROM dots d JOIN norms USING (pos) JOIN templates USING (template) WHERE round(dot / norm, 6) >= {licenses.THRESHOLD}
+), best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY pos ORDER BY weak, score DESC, template) = 1
+), own AS (SELECT doc_id, license, score FROM best QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY weak, score DESC, template) = 1
+), share AS (SELECT doc_id, max(n) AS licence_words FROM (SELECT doc_id, kind, sum(n_terms) AS n FROM best GROUP BY ALL) GROUP BY doc_id
+), known AS (
+  SELECT d.doc_id, d.dir, d.top, own.license, own.score, share.licence_words, len({WORDS.format("d.text")}) AS n_words FROM docs d LEFT JOIN own USING (doc_id) LEFT JOIN share USING (doc_id)
 ), dirs AS (
-  SELECT dir, score AS dir_score, license AS dir_license FROM known WHERE license IS NOT NULL AND licence_words >= {licenses.FILE_SHARE} * n_words
+  SELECT dir, score, license FROM known WHERE license IS NOT NULL AND licence_words >= {licenses.FILE_SHARE} * n_words
   QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, license DESC) = 1
 )
-SELECT doc_id, path, coalesce(license, dir_license) AS license, coalesce(score, dir_score) AS score,
-       CASE WHEN license IS NOT NULL THEN 'header' WHEN dir_license IS NOT NULL THEN 'inherited' END AS found,
-       CASE WHEN license IS NOT NULL OR dir_license IS NOT NULL THEN dir END AS license_dir
-FROM known LEFT JOIN dirs USING (dir)
+SELECT k.doc_id, concat_ws('/', nullif(k.dir, ''), k.doc_id || '.txt') AS path, coalesce(k.license, a.license, b.license, c.license) AS license,
+       CASE WHEN k.license IS NOT NULL THEN k.score WHEN a.license IS NOT NULL THEN a.score WHEN b.license IS NOT NULL THEN b.score ELSE c.score END AS score,
+       CASE WHEN k.license IS NOT NULL THEN 'header' WHEN coalesce(a.license, b.license, c.license) IS NOT NULL THEN 'inherited' END AS found,
+       CASE WHEN k.license IS NOT NULL OR a.license IS NOT NULL THEN k.dir WHEN b.license IS NOT NULL THEN k.top WHEN c.license IS NOT NULL THEN '' END AS license_dir
+FROM known k LEFT JOIN dirs a ON a.dir = k.dir LEFT JOIN dirs b ON b.dir = k.top LEFT JOIN dirs c ON c.dir = ''
 """
 
 
