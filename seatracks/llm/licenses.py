@@ -4,7 +4,7 @@ Passages are compared with templates of header size: notices, headers, titles an
 lines. A text's passages are its lines, its paragraphs of several lines (blank lines, or comment signs alone, part
 them), its sentences, and the whole text of files named like a licence; so a header is found wrapped, in one line, or
 inside a longer paragraph, and a licence file by its title or conditions. Only passages that hold an anchor word are
-scored: a template's anchors are its heaviest words, numbers last, so many that without any of them no passage reaches the
+scored: a template's anchors are its heaviest words, short ones and numbers last, so many that without any of them no passage reaches the
 threshold. Files whose words are mostly licence passages, or that are named like a licence, set the licence of their
 directory; a file without a licence of its own takes that of the nearest directory above it. DataFrame functions only.
 """
@@ -35,7 +35,6 @@ NOTICES = (
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0 Universal."),
     ("All-rights-reserved", "All rights reserved."),
-    ("MIT", "The MIT License (MIT)"),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
@@ -72,8 +71,8 @@ NOTICES = (
 )
 #: A reservation of rights says less than any licence: it counts where nothing else is found.
 WEAK = "All-rights-reserved"
-#: Each licence's SPDX line follows from its name.
-TEMPLATES = NOTICES + tuple((name, f"SPDX-License-Identifier: {name}") for name in dict.fromkeys(n for n, _ in NOTICES) if name != WEAK)
+#: Each licence's SPDX line follows from its name; the tag is named twice, so that a short name alone (MIT is a German word too) is no match.
+TEMPLATES = NOTICES + tuple((name, f"SPDX-License-Identifier: {name} (SPDX)") for name in dict.fromkeys(n for n, _ in NOTICES) if name != WEAK)
 # Words that are common in any text and count in no vector.
 COMMON = frozenset("a all an and any are as at be by for from in is it no not of on or that the this to under use was with without work".split())
 TERM = r"[a-z0-9]+"
@@ -103,7 +102,7 @@ def template_vectors(templates=TEMPLATES, threshold: float = THRESHOLD):
         unit = {w: x / norm for w, x in raw.items()}
         weights |= {(t, w): x for w, x in unit.items()}
         rest = 1.0
-        for w, x in sorted(unit.items(), key=lambda p: (p[0].isdigit(), -p[1], p[0])):
+        for w, x in sorted(unit.items(), key=lambda p: (p[0].isdigit(), len(p[0]) <= 3, -p[1], p[0])):
             if rest < (threshold - 1e-9) ** 2:
                 break
             anchors.add(w)
