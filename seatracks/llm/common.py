@@ -56,12 +56,6 @@ def free_name(taken, name: str) -> str:
     return name
 
 
-def numbered(df: DataFrame, name: str = "rows") -> tuple[DataFrame, str]:
-    """``df`` written with a number for each row, and the name of that column: tells rows apart, whatever their ids."""
-    rid = free_name(df.columns, "_rid")
-    return written(df.withColumn(rid, F.monotonically_increasing_id()), name), rid
-
-
 def give_back() -> None:
     """Return freed memory to the system: Python workers live on between tasks and would keep it."""
     pa.default_memory_pool().release_unused()

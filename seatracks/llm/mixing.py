@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, free_name, numbered, written
+from .common import WORD, free_name, written
 
 #: Weights by rank of the source, repeating.
 WEIGHTS = (5, 2, 1)
@@ -128,16 +128,32 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
 def sampled(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """The mix itself: rows of ``df`` as often as they are taken whole, and the leading words of a document taken in part.
 
-    Each row is taken by itself, whatever its id: rows may share an id or have none. Rows without words are in no mix.
-    A document taken in part keeps its white space. Otherwise as ``mix``; columns of ``df`` may have any names.
+    Rows are told apart by id, source and text: rows may share an id or have none, and of rows that share all three as
+    many are taken as often as ``mix`` says. Rows without words are in no mix. A document taken in part keeps its white
+    space. Otherwise as ``mix``; columns of ``df`` may have any names.
     """
-    base, rid = numbered(df, "mixing")
-    size, n, part = (free_name(base.columns, c) for c in ("_size", "_taken", "_part"))
-    taken = mix(base, id_col, text_col, source_col, keep=rid, **how).where("taken > 0").select(rid, F.col("size").alias(size), F.col("taken").alias(n))
-    joined = base.join(written(taken, "taken"), rid)
+    columns = df.columns
+    key, source, body, size, n, part = (free_name(columns, c) for c in ("_key", "_source", "_body", "_size", "_taken", "_part"))
+    hashed = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"), F.xxhash64(text_col).alias("body"))
+    taken = mix(hashed, "id", "text", "source", keep="body", **how)
+    each = taken.groupBy("id", "source", "body", "size").agg(F.sort_array(F.collect_list("taken"), asc=False).alias("each")).where("each[0] > 0")
+    each = written(each.select(F.col("id").alias(key), F.col("source").alias(source), F.col("body").alias(body), F.col("size").alias(size), F.col("each").alias(n)), "taken")
+    keyed = df.withColumn(body, F.xxhash64(text_col))
+
+    def joined(own: DataFrame) -> DataFrame:
+        met = keyed.join(own, keyed[id_col].eqNullSafe(own[key]) & keyed[source_col].eqNullSafe(own[source]) & (keyed[body] == own[body]))
+        return met.select(*(keyed[c] for c in columns), own[key], own[source], own[body], own[size], own[n])
+
+    alike = F.array_min(n) == F.array_max(n)
+    split = each.where(~alike)  # equal rows of which some are taken oftener: those at a source's limit, one set for each source
+    out = joined(each.where(alike).hint("merge")).withColumn(n, F.col(n)[0])  # as a broadcast would shuffle no texts in a small table only
+    if not split.isEmpty():
+        at = F.row_number().over(Window.partitionBy(key, source, body).orderBy(size))
+        out = out.unionByName(joined(split).withColumn(n, F.get(n, at - 1)))
+    joined = out.where(F.col(n) > 0)
     whole, rest = (F.col(n) / F.col(size)).cast("int"), (F.col(n) % F.col(size)).cast("int")
     parts = F.concat(F.array_repeat(F.col(size).cast("int"), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))
     rows = joined.withColumn(part, F.explode(parts))
     pieces = F.split(text_col, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")  # words, each with the white space before it
     cut = F.when(F.col(part) == F.col(size), F.col(text_col)).otherwise(F.array_join(F.slice(pieces, F.lit(1), F.col(part)), ""))
-    return rows.withColumn(text_col, cut).select(*df.columns)
+    return rows.withColumn(text_col, cut).select(*columns)

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, numbered, split_words, text_chunks, written
+from .common import free_name, split_words, text_chunks, written
 
 SYMBOLS = b"#*$%&|<>"
 WHITE = b" \t\n\x0b\x0c\r"
@@ -149,15 +149,20 @@ def judged(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_c
 def cleaned(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **limits) -> DataFrame:
     """The rows of ``df`` that are kept, their boilerplate lines removed.
 
-    Each row is judged by itself, whatever its id: rows may share an id or have none. Otherwise as ``judged``; columns
-    of ``df`` may have any names.
+    A verdict follows from text and host, so rows are told apart by these and the id: rows may share an id or have
+    none. Otherwise as ``judged``; columns of ``df`` may have any names.
     """
-    base, rid = numbered(df, "quality")
-    verdicts, removed = judged(base, rid, text_col, host_col, **limits)
-    cut = free_name(base.columns, "_cut")
-    plan = written(verdicts.where("kept").select(rid).join(removed.withColumnRenamed("hashes", cut), rid, "left"), "plan")
     columns = df.columns
-    joined = base.join(plan, rid).select(*columns, cut)
+    key, host, body, cut = (free_name(columns, c) for c in ("_key", "_host", "_body", "_cut"))
+    row = F.struct(F.col(id_col).alias("id"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), F.xxhash64(text_col).alias("body"))
+    verdicts, removed = judged(df.select(row.alias("row"), F.col(text_col).alias("text"), F.col(host_col).alias("source")), "row", "text", "source", **limits)
+    fields = [F.col("row.id").alias(key), F.col("row.host").alias(host), F.col("row.body").alias(body)]
+    cuts = removed.groupBy("row").agg(F.max(F.array_sort("hashes")).alias(cut))  # equal rows have equal lists
+    plan = verdicts.where("kept").select("row").distinct().join(cuts, "row", "left").select(*fields, cut)
+    keyed = df.withColumns({host: F.coalesce(F.col(host_col).cast("string"), F.lit("")), body: F.xxhash64(text_col)})
+    plan = written(plan, "plan").hint("merge")  # as a broadcast would shuffle no texts in a small table only
+    joined = keyed.join(plan, keyed[id_col].eqNullSafe(plan[key]) & (keyed[host] == plan[host]) & (keyed[body] == plan[body]))
+    joined = joined.select(*(keyed[c] for c in columns), plan[cut])
     at = columns.index(text_col)
 
     def run(batches):

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered, text_chunks, written
+from .common import free_name, text_chunks, written
 
 #: Generator polynomial of the binary Golay code: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1 (fixed value).
 GOLAY_POLYNOMIAL = 0b110001110101
@@ -202,12 +202,16 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3) -> DataFrame:
     """One row of each group of near-duplicates: that with the smallest id; ids that are null come last.
 
-    Rows are told apart whatever their ids: rows that share an id with different texts are documents of their own, of
-    equal rows one stays. Null and blank texts are one group; whole texts count; columns of ``df`` may have any names; an
-    empty table gives an empty result.
+    Rows are told apart by id and text: rows that share an id with different texts are documents of their own, of rows
+    that share both one stays. Null and blank texts are one group; whole texts count; columns of ``df`` may have any names;
+    an empty table gives an empty result.
     """
-    base, rid = numbered(df, "dedup")
-    key = F.struct(F.col(id_col).isNull().alias("unknown"), F.col(id_col).alias("id"), F.col(rid).alias("rid"))
-    groups = near_duplicates(base.select(key.alias("key"), F.col(text_col).alias("text")), "key", "text", shingle_words)
-    kept = written(groups.where("key.rid = component_id.rid").select(F.col("key.rid").alias(rid)), "kept")
-    return base.join(kept, rid, "left_semi").select(df.columns)
+    columns = df.columns
+    key, body = free_name(columns, "_key"), free_name(columns, "_body")
+    row = F.struct(F.col(id_col).isNull().alias("unknown"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("body"))
+    groups = near_duplicates(df.select(row.alias("row"), F.col(text_col).alias("text")), "row", "text", shingle_words)
+    kept = groups.where("row = component_id").select(F.col("row.id").alias(key), F.col("row.body").alias(body)).distinct()
+    kept = written(kept, "kept").hint("merge")  # as a broadcast would shuffle no texts in a small table only
+    keyed = df.withColumn(body, F.xxhash64(text_col))
+    left = keyed.join(kept, keyed[id_col].eqNullSafe(kept[key]) & (keyed[body] == kept[body]), "left_semi")
+    return left.dropDuplicates([id_col, body]).select(columns)
