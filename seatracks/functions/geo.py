@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -34,6 +36,11 @@ def from_enu_m(east: Column, north: Column, ref_lat: Column, ref_lon: Column) ->
     return F.struct((ref_lat + up).alias("lat"), (ref_lon + across).alias("lon"))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often ``use`` mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def step_distances(pred: Column, true: Column) -> Column:
     """Array of distances over the common length of two paths."""
     n = F.least(F.size(pred), F.size(true))

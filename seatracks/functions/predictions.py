@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .geo import path_ade_km, path_diagonal_km, path_fde_km, path_mse_km2, step_distances
+from .geo import bound, path_ade_km, path_diagonal_km, path_fde_km, path_mse_km2, step_distances
 from .geohash import geohash_decode, geohash_valid
 
 #: Fixed value: the cell that stands in when a prediction has no valid one.
@@ -74,4 +74,10 @@ def spatial_metrics(distances: Column) -> Column:
 
 
 def token_distances(pred: Column, true: Column) -> Column:
-    return step_distances(*decoded_paths(pred, true))
+    a, b = decoded_paths(pred, true)
+    return bound(F.struct(a.alias("p"), b.alias("t")), lambda s: step_distances(s["p"], s["t"]))
+
+
+def token_spatial_metrics(pred: Column, true: Column) -> Column:
+    """The spatial metrics of two token arrays; cells are decoded and distances worked out once."""
+    return bound(token_distances(pred, true), spatial_metrics)

@@ -120,12 +120,16 @@ def long_metrics(metrics: DataFrame, names=METRICS) -> DataFrame:
 
 
 def win_rate_table(metrics: DataFrame, model: str, baselines: list[str], names=METRICS) -> DataFrame:
-    """All configurations, gaps, baselines and metrics: the metrics are unpivoted once and paired in one join."""
-    long = long_metrics(metrics.where(F.col("model").isin(model, *baselines)), names)
-    keys = ["config", "gap_steps", "sample_id", "metric"]
-    mine = long.where(F.col("model") == model).select(*keys, F.col("value").alias("mine"))
-    base = long.where(F.col("model") != model).select(*keys, F.col("model").alias("baseline"), F.col("value").alias("base"))
-    return _wins(mine.join(base, keys), ["config", "gap_steps", "baseline", "metric"])
+    """All configurations, gaps, baselines and metrics, from one grouping by sample: no join, the input is read once."""
+    keys = ["config", "gap_steps", *(c for c in ("trajectory_id",) if c in metrics.columns), "sample_id"]  # with the track its partitioning serves
+    values, own = [_number(c).alias(c) for c in names], F.col("model") == model
+    per = metrics.where(F.col("model").isin(model, *baselines)).groupBy(*keys).agg(
+        F.max(F.when(own, F.struct(*values))).alias("mine"), F.collect_list(F.when(~own, F.struct(F.col("model").alias("baseline"), *values))).alias("others")
+    )
+    each = per.where(F.col("mine").isNotNull()).select("config", "gap_steps", "mine", F.explode("others").alias("base"))
+    pairs = F.array(*(F.struct(F.lit(c).alias("metric"), F.col(f"mine.{c}").alias("mine"), F.col(f"base.{c}").alias("base")) for c in names))
+    long = each.select("config", "gap_steps", F.col("base.baseline").alias("baseline"), F.explode(pairs).alias("p"))
+    return _wins(long.select("config", "gap_steps", "baseline", "p.metric", "p.mine", "p.base"), ["config", "gap_steps", "baseline", "metric"])
 
 
 def win_rate_pivot(table: DataFrame, gaps, metric: str = "ADE_km") -> DataFrame:

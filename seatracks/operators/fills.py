@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SCALED = ("latitude", "longitude", "SOG", "dt_min")
@@ -34,24 +34,37 @@ def _with_anchors(rows: DataFrame, prefix: int) -> DataFrame:
     return out.where("row_type = 'gap'").withColumn("gap_step", F.col("row_index_in_section"))
 
 
+def fill_positions() -> dict[str, tuple[Column, Column]]:
+    """Latitude and longitude that each fill gives a hidden row with its anchors."""
+    f = (F.col("gap_step") + 1.0) / (F.col("gap_steps") + 1.0)
+    line = lambda a, b: F.col(a) + (F.col(b) - F.col(a)) * f
+    return {"last_known": (F.col("lat0"), F.col("lon0")), "linear": (line("lat0", "lat1"), line("lon0", "lon1"))}
+
+
 def fill_last_known(rows: DataFrame, prefix: int = 60) -> DataFrame:
     """Step rows: each hidden step stays at the last visible position."""
-    return _steps(_with_anchors(rows, prefix), F.col("lat0"), F.col("lon0"))
+    return _steps(_with_anchors(rows, prefix), *fill_positions()["last_known"])
 
 
 def fill_linear(rows: DataFrame, prefix: int = 60) -> DataFrame:
     """Step rows on the straight line in latitude and longitude between the visible ends."""
-    f = (F.col("gap_step") + 1.0) / (F.col("gap_steps") + 1.0)
-    line = lambda a, b: F.col(a) + (F.col(b) - F.col(a)) * f
-    return _steps(_with_anchors(rows, prefix), line("lat0", "lat1"), line("lon0", "lon1"))
+    return _steps(_with_anchors(rows, prefix), *fill_positions()["linear"])
+
+
+def fill_all(rows: DataFrame, models: list[tuple[dict[str, str], Column, Column]], prefix: int = 60) -> DataFrame:
+    """Step rows of many models in one pass over the rows: for each its labels (as columns), latitude and longitude."""
+    each = [F.struct(lat.alias("lat"), lon.alias("lon"), *(F.lit(v).alias(k) for k, v in labels.items())) for labels, lat, lon in models]
+    hidden = _with_anchors(rows, prefix).withColumn("_f", F.explode(F.array(*each)))
+    labels = dict.fromkeys(k for own, _, _ in models for k in own)
+    return _steps(hidden, F.col("_f.lat"), F.col("_f.lon"), *(F.col(f"_f.{k}").alias(k) for k in labels))
 
 
 #: Fills by model name; a fill takes the rows of samples and returns step rows.
 FILLS: dict[str, Callable[[DataFrame], DataFrame]] = {"last_known": fill_last_known, "linear": fill_linear}
 
 
-def _steps(hidden: DataFrame, lat, lon) -> DataFrame:
-    return hidden.select("sample_id", "trajectory_id", "gap_steps", "gap_step", lat.alias("pred_lat"), lon.alias("pred_lon"), F.col("latitude").alias("true_lat"), F.col("longitude").alias("true_lon"))
+def _steps(hidden: DataFrame, lat: Column, lon: Column, *more: Column) -> DataFrame:
+    return hidden.select("sample_id", "trajectory_id", "gap_steps", "gap_step", lat.alias("pred_lat"), lon.alias("pred_lon"), F.col("latitude").alias("true_lat"), F.col("longitude").alias("true_lon"), *more)
 
 
 def step_predictions(predictions: DataFrame, rows: DataFrame) -> DataFrame:

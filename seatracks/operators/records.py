@@ -39,7 +39,7 @@ def scored_predictions(df: DataFrame, constrain: bool = True, dtw: bool = False)
     n = F.size("true_tokens")
     out = out.withColumn("raw_length_ok", P.raw_length_ok(F.col("raw_tokens"), n))
     out = out.withColumn("pred_tokens", P.constrain_n(F.col("raw_tokens"), n) if constrain else F.col("raw_tokens"))
-    out = out.withColumn("_m", P.token_metrics(F.col("pred_tokens"), F.col("true_tokens"))).withColumn("_s", P.spatial_metrics(P.token_distances(F.col("pred_tokens"), F.col("true_tokens"))))
+    out = out.withColumn("_m", P.token_metrics(F.col("pred_tokens"), F.col("true_tokens"))).withColumn("_s", P.token_spatial_metrics(F.col("pred_tokens"), F.col("true_tokens")))
     out = out.select(*(c for c in out.columns if c not in ("_m", "_s")), *(F.col(f"_m.{c}").alias(c) for c in TOKEN_METRICS), "_s.*")
     if dtw:
         pred, true = P.decoded_paths(F.col("pred_tokens"), F.col("true_tokens"))

@@ -41,21 +41,15 @@ def with_split(points: DataFrame) -> DataFrame:
 
 
 def steps(rows: DataFrame) -> DataFrame:
-    """Step rows of the models a, b, last_known and linear under the configurations x and y."""
-    gap = rows.where("row_type = 'gap'")
-    out = None
+    """Step rows of the models a, b, last_known and linear under the configurations x and y, in one pass over the rows."""
+    models = []
     for config, (scale, shift) in CONFIGS.items():
         for model, (p, q, size) in MODELS.items():
             i = F.col("event_id") + shift
             off = lambda m: (((i * m) % 101) - 50) * F.lit(size) * F.lit(scale)  # noqa: B023, E731
-            one = gap.select(
-                "sample_id", "trajectory_id", "gap_steps", F.col("row_index_in_section").alias("gap_step"), (F.col("latitude") + off(p)).alias("pred_lat"), (F.col("longitude") + off(q)).alias("pred_lon"),
-                F.col("latitude").alias("true_lat"), F.col("longitude").alias("true_lon"),
-            ).withColumns({"model": F.lit(model), "config": F.lit(config)})
-            out = one if out is None else out.unionByName(one)
-        for model, fill in fills.FILLS.items():
-            out = out.unionByName(fill(rows).withColumns({"model": F.lit(model), "config": F.lit(config)}))
-    return out
+            models.append(({"model": model, "config": config}, F.col("latitude") + off(p), F.col("longitude") + off(q)))
+        models += [({"model": model, "config": config}, *at) for model, at in fills.fill_positions().items()]
+    return fills.fill_all(rows, models)
 
 
 def with_missing(metrics: DataFrame) -> DataFrame:
