@@ -207,7 +207,7 @@ SELECTS = {
     "read_table_csv": "SELECT DISTINCT trajectory_id, split FROM points",
     "write_table_csv": f"SELECT {STEP_COLUMNS}, {_round(PLACES)}, model, config FROM steps",
     "read_sft_jsonl": "SELECT sample_id, trajectory_id, gap_steps, array_to_string(t, ' ') AS answer FROM said",
-    "write_gap_examples": "SELECT sample_id, global_row_index, row_type, geohash_7 FROM win WHERE split = 'val' AND gap_steps = 30",
+    "write_gap_examples": "SELECT split, gap_steps, sample_id, global_row_index, row_type, geohash_7 FROM win",
     "read_metrics_json": f"SELECT model, gap, {_round(METRICS)} FROM longtab WHERE model = 'linear'",
     "write_metrics_json": f"SELECT model, gap, {_round(METRICS)} FROM longtab WHERE model = 'linear'",
     "check_schema": "SELECT * FROM (VALUES ('MMSI', 'bigint', 'string'), ('SOG', 'double', NULL)) t(column_name, wanted, found)",
@@ -281,13 +281,13 @@ SELECTS = {
     "step_distances": "SELECT model, sample_id, gap_step, round(d_km, 6) AS d_km FROM away WHERE config = 'x'",
     **{k: f"SELECT model, sample_id, round({c}, 6) AS {c} FROM whole WHERE config = 'x'" for k, c in (("mse_km2", "MSE_km2"), ("mae_km", "MAE_km"), ("ade_km", "ADE_km"), ("fde_km", "FDE_km"))},
     "diagonal_sum_km": "SELECT model, sample_id, round(DTW_km, 6) AS diagonal_km FROM whole WHERE config = 'x'",
-    "dtw_km": f""", s AS (SELECT sample_id, gap_step, pred_lat, pred_lon, true_lat, true_lon FROM steps WHERE model = 'a' AND config = 'x'),
+    "dtw_km": f""", s AS (SELECT config || '/' || model || '/' || sample_id AS sample_id, gap_step, pred_lat, pred_lon, true_lat, true_lon FROM steps),
         cost AS (SELECT a.sample_id, a.gap_step AS i, list({km('a.pred_lat', 'a.pred_lon', 'b.true_lat', 'b.true_lon')} ORDER BY b.gap_step) AS c FROM s a JOIN s b USING (sample_id) GROUP BY ALL),
         sums AS (SELECT sample_id, i, list_transform(c, lambda x, j: list_sum(c[1:j])) AS t FROM cost),
         walk AS (SELECT sample_id, i, t AS best FROM sums WHERE i = 0
                  UNION ALL SELECT w.sample_id, n.i, list_transform(n.t, lambda x, j: x + list_min(list_transform(w.best[1:j], lambda y, k: least(y, CASE WHEN k > 1 THEN w.best[k - 1] ELSE y END) - CASE WHEN k > 1 THEN n.t[k - 1] ELSE 0 END)))
                  FROM walk w JOIN sums n ON n.sample_id = w.sample_id AND n.i = w.i + 1)
-        SELECT sample_id, round(best[-1], 6) AS DTW_km FROM walk QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY i DESC) = 1""",
+        SELECT split_part(sample_id, '/', 1) AS config, split_part(sample_id, '/', 2) AS model, split_part(sample_id, '/', 3) AS sample_id, round(best[-1], 6) AS DTW_km FROM walk w QUALIFY row_number() OVER (PARTITION BY w.sample_id ORDER BY i DESC) = 1""",
     "sample_metrics": f"SELECT config, model, trajectory_id, sample_id, gap_steps, {_round(METRICS)} FROM whole",
     "complete_samples": "SELECT sample_id, CASE WHEN any_value(v) % 10 = 4 THEN 0 ELSE count(*) END AS n_rows FROM test_win GROUP BY 1",
     "fill_last_known": f"SELECT {STEP_COLUMNS}, {_round(PLACES)} FROM steps WHERE model = 'last_known' AND config = 'x'",

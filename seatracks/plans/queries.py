@@ -121,7 +121,7 @@ def read_sft_jsonl(spark, d):
 def write_gap_examples(spark, d):
     path = _folder(spark)
     io.write_gap_examples(_rows(spark, d), path)
-    return spark.read.parquet(path).where("split = 'val' AND gap_steps = 30").select("sample_id", "global_row_index", "row_type", "geohash_7")
+    return spark.read.parquet(path).select("split", "gap_steps", "sample_id", "global_row_index", "row_type", "geohash_7")
 
 
 def _metrics_json(spark, d):
@@ -486,8 +486,7 @@ def diagonal_sum_km(spark, d):
 
 @query
 def dtw_km(spark, d):
-    s = _of(_steps(spark, d)).where("model = 'a'")
-    return _r6(C.sample_metrics(s, dtw="true").select("sample_id", "DTW_km"))
+    return _r6(C.sample_metrics(_steps(spark, d), dtw="true").select("config", "model", "sample_id", "DTW_km"))
 
 
 @query
