@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.geo import dtw_km, haversine_km
 
 METRICS = ("ADE_km", "FDE_km", "DTW_km", "MAE_km", "MSE_km2")
-TEXT_METRICS = ("exact_token_accuracy", "wrong_token_rate", "sequence_exact_match", "invalid_token_rate", "missing_token_rate", "extra_token_rate", "output_length_correct", "MSE_km2", "MAE_km", "ADE_km", "FDE_km")
+TEXT_METRICS = ("exact_token_accuracy", "wrong_token_rate", "sequence_exact_match", "invalid_token_rate", "missing_token_rate", "extra_token_rate", "output_length_correct", "MSE_km2", "MAE_km", "ADE_km", "FDE_km", "DTW_km")
 MINUTES_PER_STEP = 10
 
 

@@ -43,7 +43,8 @@ def scored_predictions(df: DataFrame, constrain: bool = True, dtw: bool = False)
     out = out.select(*(c for c in out.columns if c not in ("_m", "_s")), *(F.col(f"_m.{c}").alias(c) for c in TOKEN_METRICS), "_s.*")
     if dtw:
         pred, true = P.decoded_paths(F.col("pred_tokens"), F.col("true_tokens"))
-        return out.withColumn("DTW_km", path_dtw_km(pred, true))
+        out = out.withColumn("_p", F.struct(pred.alias("pred"), true.alias("true")))
+        return out.withColumn("DTW_km", path_dtw_km(F.col("_p.pred"), F.col("_p.true"))).drop("_p")
     return out.withColumn("DTW_km", F.lit(None).cast("double"))
 
 

@@ -9,7 +9,7 @@ from ..settings import DEFAULTS
 
 GAPS = DEFAULTS.gap_sizes
 METRICS = ("ADE_km", "FDE_km", "DTW_km", "MAE_km", "MSE_km2")
-TEXT_METRICS = ("exact_token_accuracy", "wrong_token_rate", "sequence_exact_match", "invalid_token_rate", "missing_token_rate", "extra_token_rate", "output_length_correct", "MSE_km2", "MAE_km", "ADE_km", "FDE_km")
+TEXT_METRICS = ("exact_token_accuracy", "wrong_token_rate", "sequence_exact_match", "invalid_token_rate", "missing_token_rate", "extra_token_rate", "output_length_correct", "MSE_km2", "MAE_km", "ADE_km", "FDE_km", "DTW_km")
 ALPHABET = "0123456789bcdefghjkmnpqrstuvwxyz"
 
 
@@ -60,6 +60,18 @@ _LATP, _LONP = decode("p")
 _LATT, _LONT = decode("t")
 VALID = "regexp_full_match({0}, '[0-9b-hjkmnp-z]{{7}}')"
 
+
+def dtw(paths: str) -> str:
+    """More common tables, at last warped(id, DTW_km): true DTW of the paths (id, step, pred_lat, pred_lon, true_lat, true_lon)."""
+    return f""", route AS ({paths}),
+        cost AS (SELECT a.id, a.step, list({km('a.pred_lat', 'a.pred_lon', 'b.true_lat', 'b.true_lon')} ORDER BY b.step) AS c FROM route a JOIN route b USING (id) GROUP BY ALL),
+        sums AS (SELECT id, step, list_transform(c, lambda x, j: list_sum(c[1:j])) AS t FROM cost),
+        walk AS (SELECT id, step, t AS best FROM sums WHERE step = 0
+                 UNION ALL SELECT w.id, n.step, list_transform(n.t, lambda x, j: x + list_min(list_transform(w.best[1:j], lambda y, k: least(y, CASE WHEN k > 1 THEN w.best[k - 1] ELSE y END) - CASE WHEN k > 1 THEN n.t[k - 1] ELSE 0 END)))
+                 FROM walk w JOIN sums n ON n.id = w.id AND n.step = w.step + 1),
+        warped AS (SELECT id, best[-1] AS DTW_km FROM walk QUALIFY row_number() OVER (PARTITION BY id ORDER BY step DESC) = 1)"""
+
+
 BASE = f"""
 WITH RECURSIVE points AS (
   SELECT 'traj_' || lpad((user_id // 3)::VARCHAR, 4, '0') AS trajectory_id, (200000000 + user_id // 3)::BIGINT AS MMSI, ts AS timestamp,
@@ -202,6 +214,8 @@ def _quantile_sog(variant: str) -> str:
 STEP_COLUMNS = "sample_id, trajectory_id, gap_steps, gap_step"
 PLACES = ("pred_lat", "pred_lon", "true_lat", "true_lon")
 
+_TEXT_DTW = dtw("SELECT kind || '/' || sample_id AS id, step, pred_lat, pred_lon, true_lat, true_lon FROM placed")
+
 SELECTS = {
     "read_points": "SELECT trajectory_id, MMSI, timestamp, latitude, longitude, SOG, COG FROM points",
     "read_table_csv": "SELECT DISTINCT trajectory_id, split FROM points",
@@ -271,23 +285,18 @@ SELECTS = {
     "constrain_n": "SELECT sample_id, array_to_string(fixed, ' ') AS tokens FROM forced",
     "raw_length_ok": "SELECT sample_id, len(raw) = len(t) AS raw_length_ok FROM parsed",
     "token_metrics": f"SELECT sample_id, {_round([c for c in TOKEN_METRICS if c.endswith(('rate', 'accuracy'))])}, sequence_exact_match, output_length_correct, n_true, n_pred FROM raws",
-    "token_spatial_metrics": f"SELECT sample_id, {_round(('MSE_km2', 'MAE_km', 'ADE_km', 'FDE_km', 'diagonal_km'))} FROM raws",
+    "token_spatial_metrics": f"""{_TEXT_DTW} SELECT sample_id, {_round(('MSE_km2', 'MAE_km', 'ADE_km', 'FDE_km', 'diagonal_km', 'DTW_km'))} FROM raws LEFT JOIN warped ON id = 'raw/' || sample_id""",
     "token_steps": f"SELECT sample_id, trajectory_id, gap_steps, step::INT AS gap_step, {_round(PLACES)} FROM placed WHERE kind = 'fixed'",
     "per_step_accuracy": ", g AS (SELECT DISTINCT gap_steps FROM texts), s AS (SELECT gap_steps, i::INT AS step FROM g, range(60) r(i) WHERE i < gap_steps) SELECT s.gap_steps, s.step, round(count(*) FILTER (said_cell = t) / nullif(count(t), 0)::double, 6) AS accuracy, count(t) AS n FROM s LEFT JOIN (SELECT * FROM pairs WHERE kind = 'raw') p ON p.gap_steps = s.gap_steps AND p.step = s.step GROUP BY ALL",
-    "prediction_table": f"SELECT sample_id, trajectory_id, gap_steps, array_to_string(p, ' ') AS predicted, array_to_string(t, ' ') AS true, n_true, n_pred, {_round(('exact_token_accuracy', 'ADE_km', 'FDE_km', 'MAE_km', 'MSE_km2'))}, sequence_exact_match FROM fx",
+    "prediction_table": f"""{_TEXT_DTW} SELECT sample_id, trajectory_id, gap_steps, array_to_string(p, ' ') AS predicted, array_to_string(t, ' ') AS true, n_true, n_pred, {_round(('exact_token_accuracy', 'ADE_km', 'FDE_km', 'DTW_km', 'MAE_km', 'MSE_km2'))}, sequence_exact_match FROM fx LEFT JOIN warped ON id = 'fixed/' || sample_id""",
     "haversine_km": f"SELECT event_id, round({km('latitude', 'longitude', '(latitude + SOG / 10)', '(-longitude)')}, 6) AS km FROM points",
     "to_enu_m": "SELECT event_id, round(radians(longitude - (longitude + COG / 1000)) * 6371000::double * cos(radians((latitude + (latitude - 0.25::double)) / 2)), 6) AS east_m, round(radians(latitude - (latitude - 0.25::double)) * 6371000::double, 6) AS north_m FROM points",
     "from_enu_m": "SELECT event_id, round(latitude + degrees(COG * 10 / 6371000::double), 6) AS lat, round(longitude + degrees(SOG * 100 / (6371000::double * cos(radians(latitude + degrees(COG * 10 / 6371000::double) / 2)))), 6) AS lon FROM points",
     "step_distances": "SELECT model, sample_id, gap_step, round(d_km, 6) AS d_km FROM away WHERE config = 'x'",
     **{k: f"SELECT model, sample_id, round({c}, 6) AS {c} FROM whole WHERE config = 'x'" for k, c in (("mse_km2", "MSE_km2"), ("mae_km", "MAE_km"), ("ade_km", "ADE_km"), ("fde_km", "FDE_km"))},
     "diagonal_sum_km": "SELECT model, sample_id, round(DTW_km, 6) AS diagonal_km FROM whole WHERE config = 'x'",
-    "dtw_km": f""", s AS (SELECT config || '/' || model || '/' || sample_id AS sample_id, gap_step, pred_lat, pred_lon, true_lat, true_lon FROM steps),
-        cost AS (SELECT a.sample_id, a.gap_step AS i, list({km('a.pred_lat', 'a.pred_lon', 'b.true_lat', 'b.true_lon')} ORDER BY b.gap_step) AS c FROM s a JOIN s b USING (sample_id) GROUP BY ALL),
-        sums AS (SELECT sample_id, i, list_transform(c, lambda x, j: list_sum(c[1:j])) AS t FROM cost),
-        walk AS (SELECT sample_id, i, t AS best FROM sums WHERE i = 0
-                 UNION ALL SELECT w.sample_id, n.i, list_transform(n.t, lambda x, j: x + list_min(list_transform(w.best[1:j], lambda y, k: least(y, CASE WHEN k > 1 THEN w.best[k - 1] ELSE y END) - CASE WHEN k > 1 THEN n.t[k - 1] ELSE 0 END)))
-                 FROM walk w JOIN sums n ON n.sample_id = w.sample_id AND n.i = w.i + 1)
-        SELECT split_part(sample_id, '/', 1) AS config, split_part(sample_id, '/', 2) AS model, split_part(sample_id, '/', 3) AS sample_id, round(best[-1], 6) AS DTW_km FROM walk w QUALIFY row_number() OVER (PARTITION BY w.sample_id ORDER BY i DESC) = 1""",
+    "dtw_km": f"""{dtw("SELECT config || '/' || model || '/' || sample_id AS id, gap_step AS step, pred_lat, pred_lon, true_lat, true_lon FROM steps")}
+        SELECT split_part(id, '/', 1) AS config, split_part(id, '/', 2) AS model, split_part(id, '/', 3) AS sample_id, round(DTW_km, 6) AS DTW_km FROM warped""",
     "sample_metrics": f"SELECT config, model, trajectory_id, sample_id, gap_steps, {_round(METRICS)} FROM whole",
     "complete_samples": "SELECT sample_id, CASE WHEN any_value(v) % 10 = 4 THEN 0 ELSE count(*) END AS n_rows FROM test_win GROUP BY 1",
     "fill_last_known": f"SELECT {STEP_COLUMNS}, {_round(PLACES)} FROM steps WHERE model = 'last_known' AND config = 'x'",
@@ -297,9 +306,10 @@ SELECTS = {
     "feature_rows": f"SELECT sample_id, global_row_index, {', '.join(f'round(f[{i + 1}]::double, 3) AS f{i}' for i in range(7))} FROM feats",
     "feature_sequences": "SELECT sample_id, count(*)::INT AS n_inputs, (count(*) FILTER (row_type = 'gap'))::INT AS n_target, round(sum(list_sum(list_transform(f, lambda x: x::double))), 2) AS input_sum, round(sum(sl::FLOAT::double + so::FLOAT::double) FILTER (row_type = 'gap'), 2) AS target_sum, (count(*) FILTER (row_type = 'prefix'))::INT AS n_prefix FROM feats GROUP BY 1",
     "denormalize": "SELECT sample_id, global_row_index, round(latitude, 6) AS pred_lat, round(longitude, 6) AS pred_lon FROM feats WHERE row_type = 'gap'",
-    "metrics_by_gap": f"SELECT gap_steps, count(*) AS num_examples, {', '.join(f'round(avg({c}), 6) AS {c}' for c in TEXT_METRICS)}, 'S1' AS sog_variant, 'C2' AS cog_variant FROM fx GROUP BY gap_steps",
-    "metrics_with_overall": f"SELECT CASE WHEN grouping(gap_steps) = 1 THEN 'overall' ELSE 'gap_' || gap_steps END AS gap, count(*) AS num_examples, {', '.join(f'round(avg({c}), 6) AS {c}' for c in TEXT_METRICS)} FROM fx GROUP BY GROUPING SETS ((gap_steps), ())",
-    "spatial_by_gap": f"SELECT model, gap_steps, n, {_round(METRICS)} FROM bygap",
+    "metrics_by_gap": f"""{_TEXT_DTW} SELECT gap_steps, count(*) AS num_examples, {', '.join(f'round(avg({c}), 6) AS {c}' for c in TEXT_METRICS)}, 'S1' AS sog_variant, 'C2' AS cog_variant FROM fx LEFT JOIN warped ON id = 'fixed/' || sample_id GROUP BY gap_steps""",
+    "metrics_with_overall": f"""{_TEXT_DTW} SELECT CASE WHEN grouping(gap_steps) = 1 THEN 'overall' ELSE 'gap_' || gap_steps END AS gap, count(*) AS num_examples, {', '.join(f'round(avg({c}), 6) AS {c}' for c in TEXT_METRICS)} FROM fx LEFT JOIN warped ON id = 'fixed/' || sample_id GROUP BY GROUPING SETS ((gap_steps), ())""",
+    "spatial_by_gap": f"""{dtw("SELECT model || '/' || sample_id AS id, gap_step AS step, pred_lat, pred_lon, true_lat, true_lon FROM steps WHERE config = 'x'")}
+        SELECT model, gap_steps, count(*) AS n, {', '.join(f'round(avg({c}), 6) AS {c}' for c in METRICS)} FROM (SELECT smx.* EXCLUDE (DTW_km), warped.DTW_km FROM smx JOIN warped ON id = model || '/' || sample_id) GROUP BY ALL""",
     "macro_overall": f"SELECT model, {_round(METRICS)} FROM macro",
     "model_gap_table": f"SELECT config, gap_steps, model, count(*) AS n, {', '.join(f'round(avg({c}), 6) AS {c}' for c in METRICS)}, gap_steps * 10 AS gap_minutes FROM sm GROUP BY config, gap_steps, model",
     "comparison_wide": f"SELECT b.model, {', '.join(f'round(max(b.{c}) FILTER (gap_steps = {g}), 6) AS gap_{g}_{c}' for g in GAPS for c in ('ADE_km', 'FDE_km'))}, round(any_value(m.ADE_km), 6) AS overall_ADE_km, round(any_value(m.FDE_km), 6) AS overall_FDE_km FROM bygap b JOIN macro m USING (model) GROUP BY b.model",

@@ -76,8 +76,8 @@ def _of(metrics: DataFrame, config: str = "x") -> DataFrame:
     return metrics.where(F.col("config") == config)
 
 
-def _scored(spark, d) -> DataFrame:
-    return R.scored_predictions(X.text_predictions(_test_rows(spark, d)))
+def _scored(spark, d, **how) -> DataFrame:
+    return R.scored_predictions(X.text_predictions(_test_rows(spark, d)), **how)
 
 
 def _r6(df: DataFrame, *skip: str) -> DataFrame:
@@ -420,8 +420,8 @@ def token_metrics(spark, d):
 
 @query
 def token_spatial_metrics(spark, d):
-    raw = R.scored_predictions(X.text_predictions(_test_rows(spark, d)), constrain=False)
-    return _r6(raw.select("sample_id", "MSE_km2", "MAE_km", "ADE_km", "FDE_km", "diagonal_km"))
+    raw = _scored(spark, d, constrain=False, dtw=True)
+    return _r6(raw.select("sample_id", "MSE_km2", "MAE_km", "ADE_km", "FDE_km", "diagonal_km", "DTW_km"))
 
 
 @query
@@ -436,7 +436,7 @@ def per_step_accuracy(spark, d):
 
 @query
 def prediction_table(spark, d):
-    return _r6(R.prediction_table(_scored(spark, d)).drop("DTW_km"))
+    return _r6(R.prediction_table(_scored(spark, d, dtw=True)))
 
 
 # Geometry and errors.
@@ -558,12 +558,12 @@ def denormalize(spark, d):
 
 @query
 def metrics_by_gap(spark, d):
-    return _r6(C.metrics_by_gap(_scored(spark, d)))
+    return _r6(C.metrics_by_gap(_scored(spark, d, dtw=True)))
 
 
 @query
 def metrics_with_overall(spark, d):
-    return _r6(C.metrics_with_overall(_scored(spark, d)))
+    return _r6(C.metrics_with_overall(_scored(spark, d, dtw=True)))
 
 
 def _by_gap(spark, d):
@@ -572,7 +572,9 @@ def _by_gap(spark, d):
 
 @query
 def spatial_by_gap(spark, d):
-    return _r6(_by_gap(spark, d))
+    """With true time warping, as the baselines are compared."""
+    metrics = X.with_missing(C.sample_metrics(_of(_steps(spark, d)), dtw="true"))
+    return _r6(C.spatial_by_gap(metrics))
 
 
 @query
