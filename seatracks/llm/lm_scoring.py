@@ -32,6 +32,8 @@ BITS = 16
 START = (1 << BITS) - 1
 #: Text of a chunk; a chunk is what a scoring task holds at a time.
 CHUNK_BYTES = 8 << 20
+#: Text that is tokenized at a time.
+SLICE_BYTES = 2 << 20
 #: Tokens whose n-grams are looked up at a time.
 SLICE = 1 << 19
 
@@ -75,7 +77,7 @@ def token_chunks(df: DataFrame, id_col: str, text_col: str, tokenizer: str, chun
             )
 
         for batch in batches:
-            for part in text_chunks(batch, "text"):
+            for part in text_chunks(batch, "text", SLICE_BYTES):
                 own, offsets = words.of_texts(part.column(2))
                 name = part.column(0)[0].as_py() if name is None else name
                 keys.append(part.column(1).take(pa.array(np.arange(part.num_rows))))  # a copy: a slice would keep the batch with its texts
