@@ -23,6 +23,8 @@ from .tokens import WordTokens, default_tokenizer
 
 CAPACITY = 4096
 END_ID = 1
+#: Characters of words that a task remembers the ids of.
+REMEMBER = 3_000_000
 
 
 def result_id(id_col: str) -> str:
@@ -34,10 +36,10 @@ def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
 
     An id column that is called like one of the result's gets an underscore before its name.
     """
-    path, name = tokenizer or default_tokenizer(), result_id(id_col)
+    path, name, remember = tokenizer or default_tokenizer(), result_id(id_col), REMEMBER
 
     def run(batches):
-        tokens = WordTokens(path)
+        tokens = WordTokens(path, remember)
         for batch in batches:
             for part in text_chunks(batch, "text"):
                 ids, offsets = tokens.of_texts(part.column(1))

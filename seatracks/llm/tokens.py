@@ -2,7 +2,8 @@
 
 Each distinct word of a block of texts is encoded once and the texts' ids are put together from the
 words'. That gives the ids of the whole texts, since the tokenizer drops white space and no token
-or normalisation step reaches across it.
+or normalisation step reaches across it. Words can be remembered from block to block: what is
+remembered saves work, never changes an id, and is forgotten when it holds too many characters.
 """
 
 from __future__ import annotations
@@ -23,7 +24,8 @@ def default_tokenizer() -> str:
 
 
 class WordTokens:
-    def __init__(self, path: str):
+    def __init__(self, path: str, remember: int = 0):
+        """``remember``: up to so many characters of words are kept from block to block (some 20 bytes each)."""
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -31,12 +33,38 @@ class WordTokens:
         self.closing = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)  # ids that end a word
         for token, i in self.tokenizer.get_vocab().items():
             self.closing[i] = token.endswith("</w>")
+        self.remember = remember
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.held = 0
+        self.ids = np.zeros(0, dtype=np.uint32)
+        self.starts = self.counts = np.zeros(0, dtype=np.int64)
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def of_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids, and where in them each word's own start and how many there are.
+        """Ids, and where in them the own ones of each of the distinct ``words`` start and how many there are."""
+        known = self.known
+        at = np.fromiter((known.get(w, -1) for w in words), dtype=np.int64, count=len(words))
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            fresh = [words[i] for i in new]
+            ids, starts, counts = self._encoded(fresh)
+            at[new] = np.arange(len(known), len(known) + len(new))
+            known.update(zip(fresh, at[new].tolist()))
+            self.held += sum(map(len, fresh))
+            self.starts, self.counts = np.concatenate([self.starts, starts + len(self.ids)]), np.concatenate([self.counts, counts])
+            self.ids = np.concatenate([self.ids, ids])
+        got = self.ids, self.starts[at], self.counts[at]
+        if self.held > self.remember:
+            self._forget()
+        return got
+
+    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As ``of_words``, with nothing remembered.
 
         Words of letters only are encoded many at a time and told apart by the ids that end a word.
         """

@@ -52,6 +52,21 @@ def test_exact_complements_are_used():
     assert P.make_plan({}, 10).n_sequences == 0
 
 
+@pytest.mark.parametrize("remember", [0, 40, 10_000])
+def test_remembered_words_keep_their_ids(remember):
+    import pyarrow as pa
+
+    rng = random.Random(remember)
+    plain, t = WordTokens(default_tokenizer()).tokenizer, WordTokens(default_tokenizer(), remember)
+    words = ["alpha", "Beta,", "3.5%", "été.", "中文", "don't", "<|endoftext|>", "İx", "y" * 50, *map(str, range(30))]
+    for _ in range(20):
+        texts = [" ".join(rng.choices(words, k=rng.randrange(12))) for _ in range(rng.randrange(4))] + [None]
+        ids, offsets = t.of_texts(pa.array(texts, pa.string()))
+        assert t.held <= remember and len(t.known) == len(t.starts)
+        for i, text in enumerate(texts):
+            assert ids[offsets[i] : offsets[i + 1]].tolist() == plain.encode(text or "", add_special_tokens=False).ids
+
+
 def test_tokens_of_words_are_those_of_texts():
     import pyarrow as pa
 
