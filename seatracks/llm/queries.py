@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, licenses, lm_scoring, mixing, neighbours, packing, quality_rules, simhash, sql, toxicity, warc
+from . import filter_audit, language_id, licenses, lm_scoring, mixing, neighbours, packing, quality_rules, simhash, sql, toxicity, warc
 from .common import table
 
 
@@ -64,6 +64,10 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = (
         op1_license_scan,
@@ -76,6 +80,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_lm_scoring,
         op9_toxicity,
         op10_neighbours,
+        op13_filter_audit,
     )
     return {f.__name__: f for f in ops}
 

@@ -112,5 +112,82 @@ FROM ordered
 """
 
 
+#: Lines as texts, their documents counted in one grouping.
+OP11_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)
+), keyed AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines
+), often AS (
+  SELECT key, max(doc_id) AS keeper FROM keyed WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+), marked AS (
+  SELECT k.*, o.key IS NOT NULL AND k.doc_id <> o.keeper AS dropped FROM keyed k LEFT JOIN often o ON k.key = o.key
+)
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE dropped)::BIGINT AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT dropped), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+#: Nodes are the lists of turns themselves; sums over subtrees go by each node's own prefixes.
+OP12_SQL = r"""
+WITH own AS (
+  SELECT conv_id, list(struct_pack(r := coalesce(role, ''), t := coalesce(text, '')) ORDER BY turn NULLS FIRST) AS turns FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), heads AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS donor, (CRC % 9)::BIGINT AS h, turns FROM own
+), built AS (
+  SELECT c.conv_id, list_concat(coalesce(d.turns[1:c.h], []), c.turns[c.h + 1:]) AS turns FROM heads c LEFT JOIN own d ON d.conv_id = c.donor
+), prefixes AS (
+  SELECT conv_id, d, turns[1:d] AS node, d = len(turns) AS ends FROM (SELECT *, unnest(range(0, len(turns) + 1)) AS d FROM built)
+), nodes AS (
+  SELECT node, d, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM prefixes GROUP BY node, d
+), children AS (
+  SELECT node[1:d - 1] AS node, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY 1
+), full_nodes AS (
+  SELECT n.*, coalesce(c.n_children, 0) AS n_children, CASE WHEN n.d > 0 THEN (n.n_convs - 1) * strlen(n.node[n.d].t) ELSE 0 END AS own_saved FROM nodes n LEFT JOIN children c ON n.node = c.node
+), sums AS (
+  SELECT node[1:k] AS node, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum(own_saved) AS saved_tokens FROM (SELECT *, unnest(range(0, d + 1)) AS k FROM full_nodes) GROUP BY 1
+)
+SELECT f.conv_id, f.d::BIGINT AS depth, p.conv_id AS parent_conv_id, f.n_convs::BIGINT AS n_convs, f.n_children::BIGINT AS n_children, s.n_leaves::BIGINT AS n_leaves,
+       s.saved_tokens::BIGINT AS saved_tokens, f.ends_sha256
+FROM full_nodes f JOIN sums s ON f.node = s.node LEFT JOIN nodes p ON f.d > 0 AND p.node = f.node[1:f.d - 1]
+"""
+
+#: Each order's steps from the rows' flags: a filter removes what fails it and none before it.
+OP13_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), said AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id
+), flags AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         CASE WHEN len(words) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 'B' ELSE '' END
+         || CASE WHEN 100 * len(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text) THEN 'C' ELSE '' END
+         || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN docs.doc_id > min(docs.doc_id) OVER (PARTITION BY text) THEN 'E' ELSE '' END AS fails
+  FROM docs LEFT JOIN said ON docs.doc_id = said.doc_id
+), cells AS (SELECT part, fails, sum(1) AS n, sum(good) AS good, sum(toxic) AS toxic FROM flags GROUP BY part, fails
+), letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x
+), orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), steps AS (SELECT filter_order, step, substr(filter_order, step, 1) AS letter, substr(filter_order, 1, step - 1) AS before FROM orders, range(1, 6) r(step)
+), tried AS (
+  SELECT c.*, s.*, contains(fails, letter) AS fails_here, length(translate(before, fails, '')) < length(before) AS gone FROM cells c, steps s
+), counted AS (
+  SELECT part, filter_order, step, letter,
+         coalesce(sum(n) FILTER (WHERE NOT gone AND NOT fails_here), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (WHERE NOT gone AND fails_here), 0)::BIGINT AS removed,
+         coalesce(sum(n) FILTER (WHERE gone AND fails_here), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (WHERE fails = letter), 0)::BIGINT AS unique_fails,
+         coalesce(sum(good) FILTER (WHERE NOT gone AND fails_here), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (WHERE NOT gone AND fails_here), 0)::BIGINT AS toxic_lost
+  FROM tried GROUP BY part, filter_order, step, letter
+)
+SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley FROM counted
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": license_sql(), "op5_quality_rules": OP5_SQL, "op7_mixing": OP7_SQL}
+    return {
+        "op1_license_scan": license_sql(),
+        "op5_quality_rules": OP5_SQL,
+        "op7_mixing": OP7_SQL,
+        "op13_filter_audit": OP13_SQL,
+    }
