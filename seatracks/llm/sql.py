@@ -112,6 +112,12 @@ FROM ordered
 """
 
 
+def crc32(text: str) -> str:
+    """CRC-32 of an ASCII text, bit by bit: 0xEDB88320 is the reversed polynomial."""
+    byte = "list_reduce(range(0, 8), lambda x, i: xor(x >> 1, (x & 1) * 3988292384), xor(c, b))"
+    return f"xor(4294967295::BIGINT, list_reduce(list_transform(string_split({text}, ''), lambda ch: ascii(ch)::BIGINT), lambda c, b: {byte}, 4294967295::BIGINT))"
+
+
 #: Lines as texts, their documents counted in one grouping.
 OP11_SQL = r"""
 WITH lines AS (
@@ -151,7 +157,7 @@ WITH own AS (
 SELECT f.conv_id, f.d::BIGINT AS depth, p.conv_id AS parent_conv_id, f.n_convs::BIGINT AS n_convs, f.n_children::BIGINT AS n_children, s.n_leaves::BIGINT AS n_leaves,
        s.saved_tokens::BIGINT AS saved_tokens, f.ends_sha256
 FROM full_nodes f JOIN sums s ON f.node = s.node LEFT JOIN nodes p ON f.d > 0 AND p.node = f.node[1:f.d - 1]
-"""
+""".replace("CRC", crc32("conv_id::VARCHAR"))
 
 #: Each order's steps from the rows' flags: a filter removes what fails it and none before it.
 OP13_SQL = r"""
@@ -189,5 +195,7 @@ def oracle_sql() -> dict[str, str]:
         "op1_license_scan": license_sql(),
         "op5_quality_rules": OP5_SQL,
         "op7_mixing": OP7_SQL,
+        "op11_line_dedup": OP11_SQL,
+        "op12_prefix_trie": OP12_SQL,
         "op13_filter_audit": OP13_SQL,
     }
