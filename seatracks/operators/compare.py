@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import dtw_km, haversine_km
+from ..sources.store import written
+from .quantiles import exact_quantiles
 
 METRICS = ("ADE_km", "FDE_km", "DTW_km", "MAE_km", "MSE_km2")
 TEXT_METRICS = ("exact_token_accuracy", "wrong_token_rate", "sequence_exact_match", "invalid_token_rate", "missing_token_rate", "extra_token_rate", "output_length_correct", "MSE_km2", "MAE_km", "ADE_km", "FDE_km", "DTW_km")
@@ -24,14 +26,14 @@ def with_distance(steps: DataFrame) -> DataFrame:
     return steps.withColumn("d_km", haversine_km(F.col("true_lat"), F.col("true_lon"), F.col("pred_lat"), F.col("pred_lon")))
 
 
-def sample_metrics(steps: DataFrame, dtw: str = "diagonal") -> DataFrame:
+def sample_metrics(steps: DataFrame, dtw: str = "diagonal", carry: tuple[str, ...] = ()) -> DataFrame:
     """One row with the five metrics for each (config, model,) sample of step rows.
 
-    dtw: ``diagonal`` (the sum of the pointwise distances) or ``true`` (dynamic time warping, in the vectorized helper).
+    carry: columns of the sample (equal in all its rows) that the result keeps; dtw: ``diagonal`` (the sum of the pointwise distances) or ``true`` (dynamic time warping, in the vectorized helper).
     """
     keys = [c for c in ("config", "model") if c in steps.columns] + ["trajectory_id", "sample_id", "gap_steps"]
     d = F.col("d_km")
-    aggs = [F.avg(d).alias("ADE_km"), F.max_by(d, "gap_step").alias("FDE_km"), F.sum(d).alias("DTW_km"), F.avg(d).alias("MAE_km"), F.avg(d * d).alias("MSE_km2")]
+    aggs = [F.avg(d).alias("ADE_km"), F.max_by(d, "gap_step").alias("FDE_km"), F.sum(d).alias("DTW_km"), F.avg(d).alias("MAE_km"), F.avg(d * d).alias("MSE_km2"), *(F.max(c).alias(c) for c in carry)]
     if dtw == "true":
         item = F.struct("gap_step", "pred_lat", "pred_lon", "true_lat", "true_lon")
         per = with_distance(steps).groupBy(*keys).agg(*aggs, F.array_sort(F.collect_list(item)).alias("_p"))
@@ -57,14 +59,14 @@ def metrics_with_overall(scored: DataFrame) -> DataFrame:
     return out.withColumn("gap", F.when(F.col("_all") == 1, "overall").otherwise(F.concat(F.lit("gap_"), F.col("gap_steps").cast("string")))).drop("_all", "gap_steps")
 
 
-def spatial_by_gap(metrics: DataFrame) -> DataFrame:
-    """(model, gap_steps, n, means of the five metrics)."""
-    return metrics.groupBy("model", "gap_steps").agg(F.count("*").alias("n"), *(F.avg(_number(c)).alias(c) for c in METRICS))
+def spatial_by_gap(metrics: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(model, gap_steps, n, means of the five metrics); here and below ``by`` names more columns to keep apart, such as the configuration."""
+    return metrics.groupBy(*by, "model", "gap_steps").agg(F.count("*").alias("n"), *(F.avg(_number(c)).alias(c) for c in METRICS))
 
 
-def macro_overall(by_gap: DataFrame) -> DataFrame:
+def macro_overall(by_gap: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Mean of the per-gap means of each model."""
-    return by_gap.groupBy("model").agg(*(F.avg(_number(c)).alias(c) for c in METRICS))
+    return by_gap.groupBy(*by, "model").agg(*(F.avg(_number(c)).alias(c) for c in METRICS))
 
 
 def _rounded(means: DataFrame) -> DataFrame:
@@ -77,27 +79,26 @@ def model_gap_table(metrics: DataFrame) -> DataFrame:
     return _rounded(out).withColumn("gap_minutes", F.col("gap_steps") * MINUTES_PER_STEP)
 
 
-def comparison_wide(by_gap: DataFrame, gaps, metrics=("ADE_km", "FDE_km")) -> DataFrame:
-    """One row for each model: a column for each gap and metric, and the overall ones. The gaps are given, so no job looks for them."""
-    wide = by_gap.groupBy("model").pivot("gap_steps", list(gaps)).agg(*(F.first(c).alias(c) for c in metrics))
-    wide = wide.select("model", *(F.col(f"{g}_{c}").alias(f"gap_{g}_{c}") for g in gaps for c in metrics))
-    overall = macro_overall(by_gap).select("model", *(F.col(c).alias(f"overall_{c}") for c in metrics))
-    return wide.join(overall, "model")
+def comparison_wide(by_gap: DataFrame, gaps, metrics=METRICS, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each model: a column for each gap and metric, and the overall ones. The gaps are given: one grouping, no job to look for them."""
+    of = lambda g, c: F.max(F.when(F.col("gap_steps") == g, _number(c)))
+    wide = [of(g, c).alias(f"gap_{g}_{c}") for g in gaps for c in metrics]
+    return by_gap.groupBy(*by, "model").agg(*wide, *(F.avg(_number(c)).alias(f"overall_{c}") for c in metrics))
 
 
-def comparison_long(by_gap: DataFrame) -> DataFrame:
+def comparison_long(by_gap: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(model, gap, means): numeric gaps in order, then ``overall``."""
-    rows = by_gap.select("model", F.col("gap_steps").cast("string").alias("gap"), *METRICS, F.col("gap_steps").alias("_o"))
-    total = macro_overall(by_gap).select("model", F.lit("overall").alias("gap"), *METRICS, F.lit(1 << 30).alias("_o"))
-    return rows.unionByName(total).orderBy("_o", "model").drop("_o")
+    rows = by_gap.select(*by, "model", F.col("gap_steps").cast("string").alias("gap"), *METRICS, F.col("gap_steps").alias("_o"))
+    total = macro_overall(by_gap, by).select(*by, "model", F.lit("overall").alias("gap"), *METRICS, F.lit(1 << 30).alias("_o"))
+    return rows.unionByName(total).orderBy(*by, "_o", "model").drop("_o")
 
 
-def best_model(by_gap: DataFrame, order: list[str]) -> DataFrame:
+def best_model(by_gap: DataFrame, order: list[str], by: tuple[str, ...] = ()) -> DataFrame:
     """(gap, model, ADE_km): the lowest mean for each gap and overall; ties go to the model that comes first in ``order``."""
     place = F.array_position(F.array(*map(F.lit, order)), F.col("model"))
-    long = comparison_long(by_gap).where(_number("ADE_km").isNotNull())
-    best = long.groupBy("gap").agg(F.min(F.struct("ADE_km", place.alias("place"), "model")).alias("b"))
-    return best.select("gap", "b.model", "b.ADE_km")
+    long = comparison_long(by_gap, by).where(_number("ADE_km").isNotNull())
+    best = long.groupBy(*by, "gap").agg(F.min(F.struct("ADE_km", place.alias("place"), "model")).alias("b"))
+    return best.select(*by, "gap", "b.model", "b.ADE_km")
 
 
 def _wins(pairs: DataFrame, keys: list[str]) -> DataFrame:
@@ -106,10 +107,10 @@ def _wins(pairs: DataFrame, keys: list[str]) -> DataFrame:
     return out.withColumn("win_percent", F.bround(100.0 * F.col("wins") / F.col("total"), 1))
 
 
-def win_rate(metrics: DataFrame, model: str, baseline: str, metric: str = "ADE_km") -> DataFrame:
+def win_rate(metrics: DataFrame, model: str, baseline: str, metric: str = "ADE_km", by: tuple[str, ...] = ()) -> DataFrame:
     """(gap_steps, wins, total, win_percent) over common samples; only a strictly lower value wins."""
-    side = lambda name, as_: metrics.where(F.col("model") == name).select("gap_steps", "sample_id", _number(metric).alias(as_))
-    return _wins(side(model, "mine").join(side(baseline, "base"), ["gap_steps", "sample_id"]), ["gap_steps"])
+    side = lambda name, as_: metrics.where(F.col("model") == name).select(*by, "gap_steps", "sample_id", _number(metric).alias(as_))
+    return _wins(side(model, "mine").join(side(baseline, "base"), [*by, "gap_steps", "sample_id"]), [*by, "gap_steps"])
 
 
 def long_metrics(metrics: DataFrame, names=METRICS) -> DataFrame:
@@ -152,13 +153,27 @@ def gap_duration_stats(metadata: DataFrame) -> DataFrame:
     )
 
 
-def behaviour_join(metrics: DataFrame, metadata: DataFrame, model: str, baseline: str, fast_minutes: float = 10.0) -> DataFrame:
-    """The model's and the baseline's errors with the sample's durations, whether the model wins, and whether sampling is fast."""
-    keys = ["sample_id", "gap_steps"]
-    mine = metrics.where(F.col("model") == model).select(*keys, _number("ADE_km").alias("ADE_km"), _number("FDE_km").alias("FDE_km"))
-    base = metrics.where(F.col("model") == baseline).select(*keys, _number("ADE_km").alias("base_ADE_km"), _number("FDE_km").alias("base_FDE_km"))
-    about = metadata.select(*keys, "observable_gap_duration_min", "mean_dt_inside_window_min", "hidden_internal_duration_min", "max_dt_inside_window_min")
-    out = mine.join(about, keys).join(base, keys)
+DURATIONS = ("observable_gap_duration_min", "mean_dt_inside_window_min", "hidden_internal_duration_min", "max_dt_inside_window_min")
+
+
+def behaviour_join(metrics: DataFrame, metadata: DataFrame | None, model: str, baseline: str, fast_minutes: float = 10.0) -> DataFrame:
+    """The model's and the baseline's errors with the sample's durations, whether the model wins, and whether sampling is fast.
+
+    Both sides and the durations come from one grouping by track and sample, however many models there are. Without
+    ``metadata`` the metrics carry the durations themselves (see ``windows.with_durations``), and nothing is shuffled for it.
+    """
+    keys = ["trajectory_id", "sample_id", "gap_steps"]
+    errors = F.struct(_number("ADE_km").alias("ADE_km"), _number("FDE_km").alias("FDE_km"))
+    side = lambda name: F.max(F.when(F.col("model") == name, errors))
+    about = F.struct(*DURATIONS)
+    rows = metrics.where(F.col("model").isin(model, baseline))
+    if metadata is None:
+        rows = rows.select(*keys, "model", "ADE_km", "FDE_km", about.alias("about"))
+    else:
+        rows = rows.select(*keys, "model", "ADE_km", "FDE_km").unionByName(metadata.select(*keys, about.alias("about")), allowMissingColumns=True)
+    per = rows.groupBy(*keys).agg(side(model).alias("m"), side(baseline).alias("b"), F.max("about").alias("a"))
+    per = per.where("m IS NOT NULL AND b IS NOT NULL AND a IS NOT NULL")
+    out = per.select("sample_id", "gap_steps", "m.ADE_km", "m.FDE_km", *(F.col(f"a.{c}").alias(c) for c in DURATIONS), F.col("b.ADE_km").alias("base_ADE_km"), F.col("b.FDE_km").alias("base_FDE_km"))
     return out.withColumns({"wins": F.coalesce(F.col("ADE_km") < F.col("base_ADE_km"), F.lit(False)), "fast_sampling": F.col("mean_dt_inside_window_min") < fast_minutes})
 
 
@@ -173,18 +188,19 @@ def win_by_sampling(behaviour: DataFrame) -> DataFrame:
 
 def win_by_duration_quartile(behaviour: DataFrame) -> DataFrame:
     """(gap_steps, quartile, win_percent, n): quartiles of the observable gap over all samples, right-closed, the minimum in the
-    first; all cells are listed. Equal quartile edges raise an error when the query runs."""
+    first; all cells of each gap size are listed. The table is written once: its edges are found by rank selection and its cells in one
+    grouping. Equal quartile edges are an error."""
     value = "observable_gap_duration_min"
-    edges = behaviour.agg(F.percentile(value, F.array(*(F.lit(q) for q in (0.0, 0.25, 0.5, 0.75, 1.0)))).alias("e"))
-    e = F.col("e")
-    sound = F.forall(F.sequence(F.lit(1), F.lit(4)), lambda i: F.get(e, i - 1) < F.get(e, i))
-    edges = edges.select(F.when(e.isNull() | sound, e).otherwise(F.raise_error(F.lit("quartile edges are not distinct")).cast("array<double>")).alias("e"))
-    v = F.col(value)
-    quartile = F.when(v <= F.get("e", F.lit(1)), 1).when(v <= F.get("e", F.lit(2)), 2).when(v <= F.get("e", F.lit(3)), 3).otherwise(4)
-    per = behaviour.crossJoin(F.broadcast(edges)).groupBy("gap_steps", quartile.alias("quartile")).agg(F.count_if("wins").alias("wins"), F.count("*").alias("n"))  # one row of edges
-    grid = behaviour.select("gap_steps").distinct().select("gap_steps", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("quartile"))
-    out = grid.join(per, ["gap_steps", "quartile"], "left")
-    return out.select("gap_steps", "quartile", F.bround(100.0 * F.col("wins") / F.col("n"), 1).alias("win_percent"), F.coalesce("n", F.lit(0)).alias("n"))
+    stored = written(behaviour.select("gap_steps", value, "wins"), "behaviour")
+    edges = exact_quantiles(stored, value, [0.0, 0.25, 0.5, 0.75, 1.0], stored=True).first()["q"]  # five numbers
+    if any(low is not None and not low < high for low, high in zip(edges, edges[1:])):
+        raise ValueError("quartile edges are not distinct")
+    v, cells = F.col(value), []
+    for k in range(4):
+        inside = (v <= F.lit(edges[k + 1])) & (F.lit(True) if k == 0 else v > F.lit(edges[k]))
+        cells.append(F.struct(F.lit(k + 1).alias("quartile"), F.count_if(inside & F.col("wins")).alias("wins"), F.count_if(inside).alias("n")))
+    per = stored.groupBy("gap_steps").agg(F.array(*cells).alias("cells")).select("gap_steps", F.inline("cells"))
+    return per.select("gap_steps", "quartile", F.bround(F.try_divide(100.0 * F.col("wins"), F.col("n")), 1).alias("win_percent"), "n")
 
 
 def full_summary(*configs: DataFrame) -> DataFrame:
@@ -201,17 +217,26 @@ def token_accuracy_summary(scored: DataFrame, gaps) -> DataFrame:
     return wide.select("config", *(F.col(f"{g}_{c}").alias(f"gap_{g}_{c}") for g in gaps for c in ("accuracy", "exact")))
 
 
-def sized_subset_table(metrics: DataFrame, gaps) -> DataFrame:
-    """The model table of a set with its own gap sizes."""
-    return model_gap_table(gap_filter(metrics, gaps))
+def sized_subset_table(metrics: DataFrame, gaps, model: str | None = None, baselines: list[str] | None = None, metric: str = "ADE_km") -> DataFrame:
+    """The model table of a set with its own gap sizes; with ``model``, each baseline's row also has how often the model beats it
+    (wins, total, win_percent; null in the model's own row and where no sample is common)."""
+    own = gap_filter(metrics, gaps)
+    table = model_gap_table(own)
+    if model is None:
+        return table
+    rates = win_rate_table(own, model, baselines or [], (metric,)).withColumnRenamed("baseline", "model").drop("metric")
+    return table.join(rates, ["config", "gap_steps", "model"], "left")
 
 
 def metric_distribution(metrics: DataFrame, metric: str = "ADE_km") -> DataFrame:
-    """(config, gap_steps, model, n, quartiles, whiskers): the whiskers reach the farthest values within 1.5 interquartile ranges."""
+    """(config, gap_steps, model, n, quartiles, whiskers): the whiskers reach the farthest values within 1.5 interquartile ranges.
+
+    The values are written once; quartiles are found by rank selection, so a group may be of any size."""
     keys = ["config", "gap_steps", "model"]
-    of = metrics.select(*keys, _number(metric).alias("v")).where("v IS NOT NULL")
-    q = of.groupBy(*keys).agg(F.count("*").alias("n"), F.min("v").alias("min"), F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.max("v").alias("max"))
+    of = written(metrics.select(*keys, _number(metric).alias("v")).where("v IS NOT NULL"), "values")
+    q = exact_quantiles(of, "v", [0.25, 0.5, 0.75], tuple(keys), stored=True)
     q = q.select(*keys, "n", "min", F.get("q", F.lit(0)).alias("q1"), F.get("q", F.lit(1)).alias("median"), F.get("q", F.lit(2)).alias("q3"), "max")
+    q = written(q, "quartiles")
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = of.join(q.select(*keys, (F.col("q1") - reach).alias("lo"), (F.col("q3") + reach).alias("hi")), keys).where("v BETWEEN lo AND hi")
     ends = inside.groupBy(*keys).agg(F.min("v").alias("whisker_low"), F.max("v").alias("whisker_high"))
@@ -227,16 +252,23 @@ def paired_metric(metrics: DataFrame, model: str, config: str, against: str, met
     return pairs.join(F.broadcast(counts), "gap_steps")  # one row for each gap size
 
 
-def step_alignment(steps: DataFrame, models: list[str]) -> DataFrame:
-    """Truth and the models' positions side by side for each (sample, step) that all models have, with the true start and end point."""
-    keys = ["sample_id", "gap_steps", "gap_step"]
-    out = None
-    for m in models:
-        own = steps.where(F.col("model") == m).select(*keys, *(["true_lat", "true_lon"] if out is None else []), F.col("pred_lat").alias(f"{m}_lat"), F.col("pred_lon").alias(f"{m}_lon"))
-        out = own if out is None else out.join(own, keys)
-    w = Window.partitionBy("sample_id", "gap_steps")
+def step_alignment(steps: DataFrame, models: list[str], by: tuple[str, ...] = ()) -> DataFrame:
+    """Truth and the models' positions side by side for each (sample, step) that all models have, with the true start and end point.
+
+    One conditional grouping with the track in its key: no join, and no more shuffles for more models.
+    """
+    keys = [*by, "trajectory_id", "sample_id", "gap_steps", "gap_step"]
+    place = F.struct("pred_lat", "pred_lon")
+    truth = F.max(F.when(F.col("model") == models[0], F.struct("true_lat", "true_lon"))).alias("_t")
+    sides = [F.max(F.when(F.col("model") == m, place)).alias(f"_{i}") for i, m in enumerate(models)]
+    per = steps.where(F.col("model").isin(*models)).groupBy(*keys).agg(truth, *sides)
+    for i in range(len(models)):
+        per = per.where(F.col(f"_{i}").isNotNull())
+    own = [F.col(f"_{i}.pred_{c}").alias(f"{m}_{c}") for i, m in enumerate(models) for c in ("lat", "lon")]
+    out = per.select(*keys, F.col("_t.true_lat").alias("true_lat"), F.col("_t.true_lon").alias("true_lon"), *own)
+    w = Window.partitionBy(*by, "trajectory_id", "sample_id", "gap_steps")
     ends = {f"{name}_{c}": f(f"true_{c}", "gap_step").over(w) for name, f in (("start", F.min_by), ("end", F.max_by)) for c in ("lat", "lon")}
-    return out.withColumns(ends)
+    return out.withColumns(ends).drop("trajectory_id")
 
 
 def first_k_samples(metrics: DataFrame, k: int) -> DataFrame:

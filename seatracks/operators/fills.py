@@ -11,17 +11,27 @@ SCALED = ("latitude", "longitude", "SOG", "dt_min")
 STEP_COLUMNS = ("sample_id", "trajectory_id", "gap_steps", "gap_step", "pred_lat", "pred_lon", "true_lat", "true_lon")
 
 
+def _complete(prefix: int, suffix: int, over) -> Column:
+    """Whether the sample's sections are full; ``over`` makes a window function or an aggregate of each count."""
+    n = lambda kind: over(F.count_if(F.col("row_type") == kind))
+    return (n("prefix") == prefix) & (n("suffix") == suffix) & (n("gap") == over(F.max("gap_steps")))
+
+
 def section_counts(rows: DataFrame, prefix: int = 60, suffix: int = 60) -> DataFrame:
-    """(sample_id, complete) of each sample."""
-    n = lambda kind: F.count_if(F.col("row_type") == kind)
-    fine = (n("prefix") == prefix) & (n("suffix") == suffix) & (n("gap") == F.first("gap_steps"))
-    return rows.groupBy("sample_id").agg(fine.alias("complete"))
+    """(trajectory_id, sample_id, complete) of each sample; the track in the key keeps the windows' partitioning."""
+    return rows.groupBy("trajectory_id", "sample_id").agg(_complete(prefix, suffix, lambda c: c).alias("complete"))
+
+
+def mark_complete(rows: DataFrame, prefix: int = 60, suffix: int = 60) -> DataFrame:
+    """Adds ``complete`` to each row, worked out beside the sample's rows: no join, no shuffle after the windows' own."""
+    own = Window.partitionBy("trajectory_id", "sample_id")
+    return rows.withColumn("complete", _complete(prefix, suffix, lambda c: c.over(own)))
 
 
 def complete_samples(rows: DataFrame, prefix: int = 60, suffix: int = 60) -> tuple[DataFrame, DataFrame]:
     """(rows of the samples with full sections, ids of the dropped samples)."""
-    state = section_counts(rows, prefix, suffix)
-    return rows.join(state.where("complete"), "sample_id", "left_semi"), state.where("NOT complete").select("sample_id")
+    kept = mark_complete(rows, prefix, suffix).where("complete").drop("complete")
+    return kept, section_counts(rows, prefix, suffix).where("NOT complete").select("sample_id")
 
 
 def _with_anchors(rows: DataFrame, prefix: int) -> DataFrame:
@@ -51,12 +61,12 @@ def fill_linear(rows: DataFrame, prefix: int = 60) -> DataFrame:
     return _steps(_with_anchors(rows, prefix), *fill_positions()["linear"])
 
 
-def fill_all(rows: DataFrame, models: list[tuple[dict[str, str], Column, Column]], prefix: int = 60) -> DataFrame:
-    """Step rows of many models in one pass over the rows: for each its labels (as columns), latitude and longitude."""
+def fill_all(rows: DataFrame, models: list[tuple[dict[str, str], Column, Column]], prefix: int = 60, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Step rows of many models in one pass over the rows: for each its labels (as columns), latitude and longitude. ``carry``: more columns to keep."""
     each = [F.struct(lat.alias("lat"), lon.alias("lon"), *(F.lit(v).alias(k) for k, v in labels.items())) for labels, lat, lon in models]
     hidden = _with_anchors(rows, prefix).withColumn("_f", F.explode(F.array(*each)))
     labels = dict.fromkeys(k for own, _, _ in models for k in own)
-    return _steps(hidden, F.col("_f.lat"), F.col("_f.lon"), *(F.col(f"_f.{k}").alias(k) for k in labels))
+    return _steps(hidden, F.col("_f.lat"), F.col("_f.lon"), *(F.col(f"_f.{k}").alias(k) for k in labels), *carry)
 
 
 #: Fills by model name; a fill takes the rows of samples and returns step rows.
@@ -70,7 +80,8 @@ def _steps(hidden: DataFrame, lat: Column, lon: Column, *more: Column) -> DataFr
 def step_predictions(predictions: DataFrame, rows: DataFrame) -> DataFrame:
     """Step rows: (sample_id, gap_step, pred_lat, pred_lon) joined to the truth of the hidden rows."""
     truth = rows.where("row_type = 'gap'").select("sample_id", "trajectory_id", "gap_steps", F.col("row_index_in_section").alias("gap_step"), F.col("latitude").alias("true_lat"), F.col("longitude").alias("true_lon"))
-    return predictions.select("sample_id", "gap_step", "pred_lat", "pred_lon").join(truth, ["sample_id", "gap_step"]).select(*STEP_COLUMNS)
+    labels = [c for c in ("config", "model") if c in predictions.columns]
+    return predictions.select(*labels, "sample_id", "gap_step", "pred_lat", "pred_lon").join(truth, ["sample_id", "gap_step"]).select(*labels, *STEP_COLUMNS)
 
 
 def norm_stats(rows: DataFrame) -> DataFrame:

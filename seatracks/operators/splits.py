@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -45,6 +47,37 @@ def attach_split(points: DataFrame, splits: DataFrame) -> DataFrame:
     return points.join(splits.select("trajectory_id", "split"), "trajectory_id")
 
 
+def bloom_filter(ids: DataFrame, column: str, bits: int = 1 << 23, hashes: int = 4) -> Callable[[Column], Column]:
+    """A test that is true for every id of ``ids`` and false for most others: a Bloom filter of ``bits`` bits.
+
+    The bits are gathered by Spark into bitmaps of 4 KB; at most bits / 32,768 of them reach the driver (1 MB by
+    default) and go with the plan, however many ids there are. More ids only let more others pass.
+    """
+    places = lambda c: [F.pmod(F.xxhash64(F.lit(i), c), F.lit(bits)) + 1 for i in range(hashes)]
+    spread = ids.select(F.explode(F.array(*places(F.col(column)))).alias("p"))
+    maps = spread.groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m"))
+    found = {r["b"]: bytes(r["m"]) for r in maps.collect()}
+    every = F.array(*(F.lit(found.get(b + 1)).cast("binary") for b in range(-(-bits // 32_768))))
+
+    def has(p: Column) -> Column:
+        bit = F.bitmap_bit_position(p)
+        byte = F.substring(F.get(every, (F.bitmap_bucket_number(p) - 1).cast("int")), F.floor(bit / 8).cast("int") + 1, F.lit(1))
+        value = F.conv(F.hex(byte), 16, 10).cast("int")
+        return F.coalesce(F.getbit(value, F.pmod(bit, F.lit(8)).cast("int")) == 1, F.lit(False))
+
+    return lambda c: reduce(Column.__and__, map(has, places(c)))
+
+
+def points_of_split(points: DataFrame, splits: DataFrame, split: str, bits: int = 1 << 23) -> DataFrame:
+    """The points of one split's tracks with their split, for splits of any size.
+
+    A Bloom filter of the wanted ids drops nearly all other points in the scan; the join that follows is exact and shuffles
+    what is left.
+    """
+    wanted = filter_split(splits, split).select("trajectory_id", "split")
+    return points.where(bloom_filter(wanted, "trajectory_id", bits)(F.col("trajectory_id"))).join(wanted, "trajectory_id")
+
+
 def split_counts(splits: DataFrame) -> DataFrame:
     return splits.groupBy("split").agg(F.count("*").alias("n_tracks"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.bins import FIXED_EDGES, QUANTILE_BINS, SpeedBins, cog_labels, cog_token, sog_token
 from ..functions.geohash import geohash_encode
+from .quantiles import exact_quantiles
 
 #: Declared: tokens outside the speed and course bins that a vocabulary also lists.
 SPECIAL_TOKENS = ("<GAP>", "<PREFIX>", "<SUFFIX>")
@@ -20,8 +21,8 @@ def fit_sog_quantiles(points: DataFrame, variant: str, approx: bool = False) ->
     n = QUANTILE_BINS[variant]
     fractions = [i / n for i in range(1, n)]
     rows = points.where((F.col("split") == "train") & (F.col("SOG") >= FIXED_EDGES[-1]) & ~F.isnan("SOG"))
-    cuts = F.percentile_approx("SOG", fractions, 100_000) if approx else F.percentile("SOG", F.array(*map(F.lit, fractions)))
-    return rows.agg(cuts.alias("cuts")).select(F.posexplode("cuts").alias("bin", "cut")).withColumn("bin", F.col("bin") + 1)
+    found = rows.agg(F.percentile_approx("SOG", fractions, 100_000).alias("cuts")) if approx else exact_quantiles(rows, "SOG", fractions).select(F.col("q").alias("cuts"))
+    return found.select(F.posexplode("cuts").alias("bin", "cut")).withColumn("bin", F.col("bin") + 1)
 
 
 def token_vocabulary(spark: SparkSession, bins: SpeedBins, cog_variant: str) -> DataFrame:

@@ -9,8 +9,13 @@ from ..settings import DEFAULTS, Settings
 from .summary import minutes_between
 
 
-def track_index(points: DataFrame) -> DataFrame:
-    """Adds position (from 0), track_length, MMSI of the first point and step_min (minutes since the point before)."""
+def track_index(points: DataFrame, block_minutes: float | None = None) -> DataFrame:
+    """Adds position (from 0), track_length, MMSI of the first point and step_min (minutes since the point before).
+
+    With ``block_minutes`` no task gets a track whole: see ``track_index_by_blocks``.
+    """
+    if block_minutes is not None:
+        return track_index_by_blocks(points, block_minutes)
     order = Window.partitionBy("trajectory_id").orderBy("timestamp")
     whole = Window.partitionBy("trajectory_id")
     return points.withColumns(
@@ -23,6 +28,42 @@ def track_index(points: DataFrame) -> DataFrame:
     )
 
 
+def time_blocks(block_minutes: float) -> Column:
+    """Number of the block of time that a timestamp lies in; null timestamps come before all blocks."""
+    return F.coalesce(F.floor(F.unix_micros("timestamp") / (block_minutes * 60_000_000.0)), F.lit(-(1 << 62)))
+
+
+def track_index_by_blocks(points: DataFrame, block_minutes: float) -> DataFrame:
+    """The same columns for tracks of any length: points are ranked inside (track, block of time) and go on from the blocks before.
+
+    What a block hands on is one row (its number of points, last timestamp and first MMSI), so the frames over a whole
+    track run over its blocks only; those rows are dealt out again by track and block, where the points already are.
+    """
+    by_block = ["trajectory_id", "_block"]
+    rows = points.withColumn("_block", time_blocks(block_minutes))
+    inside = Window.partitionBy(*by_block).orderBy("timestamp")
+    ranked = rows.withColumns({"_rank": F.row_number().over(inside), "_prior": F.lag("timestamp").over(inside)})
+    edges = rows.groupBy(*by_block).agg(F.count("*").alias("_n"), F.max("timestamp").alias("_last"), F.min(F.struct("timestamp", "MMSI")).alias("_first"))
+    before = Window.partitionBy("trajectory_id").orderBy("_block")
+    earlier, blocks = before.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("trajectory_id")
+    edges = edges.select(
+        *by_block,
+        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"),
+        F.sum("_n").over(blocks).cast("int").alias("track_length"),
+        F.lag("_last").over(before).alias("_carried"),
+        F.first(F.col("_first.MMSI")).over(before).alias("_mmsi"),
+    )
+    joined = ranked.join(edges, by_block)
+    out = joined.withColumns(
+        {
+            "position": (F.col("_offset") + F.col("_rank") - 1).cast("int"),
+            "step_min": minutes_between(F.col("timestamp"), F.when(F.col("_rank") > 1, F.col("_prior")).otherwise(F.col("_carried"))),
+            "MMSI": F.col("_mmsi"),
+        }
+    )
+    return out.select(*points.columns, "position", "track_length", "step_min")
+
+
 def window_starts(length: Column, required: int, n: int) -> Column:
     """Array of start positions: none for a short track, the centre for one window, else evenly spread and half-even rounded."""
     last = length - F.lit(required)
@@ -61,12 +102,13 @@ def row_sections(offset: Column, gap: Column, prefix: int) -> tuple[Column, Colu
     return kind, index.cast("int")
 
 
-def gap_windows(points: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+def gap_windows(points: DataFrame, settings: Settings = DEFAULTS, block_minutes: float | None = None) -> DataFrame:
     """Rows of all samples: each point once for each window that covers it. ``points`` needs a split column.
 
-    The windows are tested by position inside an array before it is exploded: a range join without a join.
+    The windows are tested by position inside an array before it is exploded: a range join without a join. With
+    ``block_minutes`` tracks are indexed by blocks of time, and a sample's rows are all that later groupings bring together.
     """
-    indexed = track_index(points)
+    indexed = track_index(points, block_minutes)
     size = F.lit(settings.prefix_steps + settings.suffix_steps)
     covering = F.filter(_windows_at(settings), lambda w: (w["start"] <= F.col("position")) & (F.col("position") < w["start"] + size + w["gap_steps"]))
     rows = indexed.withColumn("_w", F.explode(covering)).select("*", "_w.gap_steps", "_w.window", F.col("_w.start").alias("window_start_index"))
@@ -128,6 +170,21 @@ def gap_metadata(rows: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     )
 
 
+def with_durations(rows: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """Adds the four durations of ``gap_metadata`` that say how a sample was observed, beside its rows and in their partitioning."""
+    own, i, gap = Window.partitionBy("trajectory_id", "sample_id"), F.col("global_row_index"), F.col("gap_steps")
+    at = lambda place: F.max(F.when(i == place, F.col("timestamp"))).over(own)
+    inner, prefix = F.when(i > 0, F.col("dt_min")), settings.prefix_steps
+    return rows.withColumns(
+        {
+            "hidden_internal_duration_min": F.bround(minutes_between(at(prefix + gap - 1), at(prefix)), 4),
+            "observable_gap_duration_min": F.bround(minutes_between(at(prefix + gap), at(prefix - 1)), 4),
+            "max_dt_inside_window_min": F.bround(F.max(inner).over(own), 4),
+            "mean_dt_inside_window_min": F.bround(F.avg(inner).over(own), 4),
+        }
+    )
+
+
 def window_outcomes(points: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """(gap_steps, created, skipped): samples made and tracks that are too short. ``points`` needs a split column."""
     tracks = points.groupBy("trajectory_id", "split").agg(F.count("*").cast("int").alias("track_length"))

@@ -119,18 +119,18 @@ WITH RECURSIVE points AS (
 ), ends AS (
   SELECT sample_id, max(latitude) FILTER (global_row_index = 59) AS lat0, max(longitude) FILTER (global_row_index = 59) AS lon0,
          max(latitude) FILTER (global_row_index = 60 + gap_steps) AS lat1, max(longitude) FILTER (global_row_index = 60 + gap_steps) AS lon1
-  FROM test_win GROUP BY 1
+  FROM win GROUP BY 1
 ), hidden AS (
-  SELECT sample_id, trajectory_id, gap_steps, row_index_in_section AS gap_step, latitude, longitude, event_id, v, geohash_7 FROM test_win WHERE row_type = 'gap'
+  SELECT sample_id, trajectory_id, gap_steps, split, row_index_in_section AS gap_step, latitude, longitude, event_id, v, geohash_7 FROM win WHERE row_type = 'gap'
 ), known AS (SELECT h.*, lat0, lon0, lat1, lon1, (gap_step + 1) / (gap_steps + 1)::double AS f FROM hidden h JOIN ends USING (sample_id)
 ), configs(config, scale, shift) AS (VALUES ('x', 1::double, 0), ('y', 0.9::double, 5)
 ), made(model, p, q, size) AS (VALUES ('a', 17, 29, 0.0004::double), ('b', 31, 43, 0.0006::double)
 ), steps AS (
   SELECT sample_id, trajectory_id, gap_steps, gap_step, latitude + (((event_id + shift) * p) % 101 - 50) * size * scale AS pred_lat,
          longitude + (((event_id + shift) * q) % 101 - 50) * size * scale AS pred_lon, latitude AS true_lat, longitude AS true_lon, model, config
-  FROM hidden, configs, made
-  UNION ALL SELECT sample_id, trajectory_id, gap_steps, gap_step, lat0, lon0, latitude, longitude, 'last_known', config FROM known, configs
-  UNION ALL SELECT sample_id, trajectory_id, gap_steps, gap_step, lat0 + (lat1 - lat0) * f, lon0 + (lon1 - lon0) * f, latitude, longitude, 'linear', config FROM known, configs
+  FROM hidden, configs, made WHERE split = 'test'
+  UNION ALL SELECT sample_id, trajectory_id, gap_steps, gap_step, lat0, lon0, latitude, longitude, 'last_known', config FROM known, configs WHERE split = 'test'
+  UNION ALL SELECT sample_id, trajectory_id, gap_steps, gap_step, lat0 + (lat1 - lat0) * f, lon0 + (lon1 - lon0) * f, latitude, longitude, 'linear', config FROM known, configs WHERE split = 'test'
 ), away AS (SELECT *, {km('true_lat', 'true_lon', 'pred_lat', 'pred_lon')} AS d_km FROM steps
 ), whole AS (
   SELECT config, model, trajectory_id, sample_id, gap_steps, avg(d_km) AS ADE_km, arg_max(d_km, gap_step) AS FDE_km, sum(d_km) AS DTW_km, avg(d_km) AS MAE_km, avg(d_km * d_km) AS MSE_km2
@@ -139,15 +139,12 @@ WITH RECURSIVE points AS (
   SELECT * REPLACE (CASE WHEN model = 'b' AND substr(trajectory_id, 6)::INT % 10 = 9 THEN NULL ELSE ADE_km END AS ADE_km) FROM whole
 ), smx AS (SELECT * FROM sm WHERE config = 'x'
 ), bygap AS (SELECT model, gap_steps, count(*) AS n, {', '.join(f'avg({c}) AS {c}' for c in METRICS)} FROM smx GROUP BY ALL
-), macro AS (SELECT model, {', '.join(f'avg({c}) AS {c}' for c in METRICS)} FROM bygap GROUP BY ALL
-), longtab AS (
-  SELECT model, gap_steps::VARCHAR AS gap, {', '.join(METRICS)} FROM bygap UNION ALL SELECT model, 'overall', {', '.join(METRICS)} FROM macro
 ), said AS (
-  SELECT sample_id, trajectory_id, gap_steps, v, list(CASE WHEN gap_step % 7 = 6 THEN 'bad!' WHEN gap_step % 3 = 1 THEN {encode('(latitude + 0.01::double)', 'longitude')} ELSE geohash_7 END ORDER BY gap_step) AS p,
+  SELECT sample_id, trajectory_id, gap_steps, split, v, list(CASE WHEN gap_step % 7 = 6 THEN 'bad!' WHEN gap_step % 3 = 1 THEN {encode('(latitude + 0.01::double)', 'longitude')} ELSE geohash_7 END ORDER BY gap_step) AS p,
          list(geohash_7 ORDER BY gap_step) AS t
   FROM hidden GROUP BY ALL
 ), texts AS (
-  SELECT sample_id, trajectory_id, gap_steps, t, CASE WHEN v % 25 = 24 THEN '' WHEN (v + gap_steps) % 4 = 1 THEN array_to_string(p[1:len(p) - 2], ' ')
+  SELECT sample_id, trajectory_id, gap_steps, split, t, CASE WHEN v % 25 = 24 THEN '' WHEN (v + gap_steps) % 4 = 1 THEN array_to_string(p[1:len(p) - 2], ' ')
          WHEN (v + gap_steps) % 4 = 2 THEN array_to_string(p, ' ') || ' s000000' WHEN (v + gap_steps) % 4 = 3 THEN array_to_string(p, ', ') ELSE array_to_string(p, ' ') END AS predicted
   FROM said
 ), parsed AS (
@@ -157,9 +154,9 @@ WITH RECURSIVE points AS (
 ), forced AS (
   SELECT *, CASE WHEN len(ok) = 0 THEN list_transform(t, lambda x: 'zzzzzzz') ELSE list_resize(ok, len(t), ok[-1]) END AS fixed FROM fine
 ), tried AS (
-  SELECT 'fixed' AS kind, sample_id, trajectory_id, gap_steps, fixed AS p, t FROM forced UNION ALL SELECT 'raw', sample_id, trajectory_id, gap_steps, raw, t FROM forced
+  SELECT 'fixed' AS kind, sample_id, trajectory_id, gap_steps, split, fixed AS p, t FROM forced UNION ALL SELECT 'raw', sample_id, trajectory_id, gap_steps, split, raw, t FROM forced
 ), pairs AS (
-  SELECT kind, sample_id, trajectory_id, gap_steps, i - 1 AS step, p[i] AS said_cell, CASE WHEN {VALID.format('p[i]')} THEN p[i] ELSE t[i] END AS p, t[i] AS t
+  SELECT kind, sample_id, trajectory_id, gap_steps, split, i - 1 AS step, p[i] AS said_cell, CASE WHEN {VALID.format('p[i]')} THEN p[i] ELSE t[i] END AS p, t[i] AS t
   FROM tried, range(1, 61) r(i) WHERE i <= least(len(p), len(t))
 ), placed AS (SELECT *, {_LATP} AS pred_lat, {_LONP} AS pred_lon, {_LATT} AS true_lat, {_LONT} AS true_lon FROM pairs
 ), far AS (SELECT *, {km('true_lat', 'true_lon', 'pred_lat', 'pred_lon')} AS d FROM placed
@@ -172,8 +169,8 @@ WITH RECURSIVE points AS (
          greatest(0, len(t.t) - len(t.p)) / len(t.t)::double AS missing_token_rate, greatest(0, len(t.p) - len(t.t)) / len(t.t)::double AS extra_token_rate,
          (len(t.p) = len(t.t))::INT AS output_length_correct, MSE_km2, MAE_km, ADE_km, FDE_km, diagonal_km
   FROM tried t LEFT JOIN path USING (kind, sample_id)
-), fx AS (SELECT * FROM scored WHERE kind = 'fixed'
-), raws AS (SELECT * FROM scored WHERE kind = 'raw'
+), fx AS (SELECT * FROM scored WHERE kind = 'fixed' AND split = 'test'
+), raws AS (SELECT * FROM scored WHERE kind = 'raw' AND split = 'test'
 ), norm AS (
   SELECT {', '.join(f'avg({c}) AS mean_{c}, stddev_samp({c}) + 1e-8::double AS std_{c}' for c in ('latitude', 'longitude', 'SOG', 'dt_min'))} FROM win WHERE split = 'train' AND row_type <> 'gap'
 ), feats AS (
@@ -181,7 +178,7 @@ WITH RECURSIVE points AS (
          [CASE WHEN row_type = 'gap' THEN 0 ELSE (latitude - mean_latitude) / std_latitude END::FLOAT, CASE WHEN row_type = 'gap' THEN 0 ELSE (longitude - mean_longitude) / std_longitude END::FLOAT,
           CASE WHEN row_type = 'gap' THEN 0 ELSE (SOG - mean_SOG) / std_SOG END::FLOAT, CASE WHEN row_type = 'gap' THEN 0 ELSE sin(radians(COG % 360::double)) END::FLOAT,
           CASE WHEN row_type = 'gap' THEN 0 ELSE cos(radians(COG % 360::double)) END::FLOAT, ((dt_min - mean_dt_min) / std_dt_min)::FLOAT, CASE WHEN row_type = 'gap' THEN 0 ELSE 1 END::FLOAT] AS f
-  FROM test_win, norm
+  FROM win, norm
 ), tmeta AS (SELECT * FROM meta WHERE split = 'test'
 ), behave AS (
   SELECT a.sample_id, a.gap_steps, a.ADE_km, a.FDE_km, observable_gap_duration_min, mean_dt_inside_window_min, hidden_internal_duration_min, max_dt_inside_window_min,
@@ -196,7 +193,9 @@ WITH RECURSIVE points AS (
 
 
 def _round(names, digits=6, how="round") -> str:
-    return ", ".join(f"{how}({c}, {digits}) AS {c}" for c in names)
+    """Columns by name, or expressions by name."""
+    of = names if isinstance(names, dict) else {c: c for c in names}
+    return ", ".join(f"{how}({e}, {digits}) AS {c}" for c, e in of.items())
 
 
 def _wins(source: str, keys: str, mine: str = "mine", base: str = "base") -> str:
@@ -214,7 +213,16 @@ def _quantile_sog(variant: str) -> str:
 STEP_COLUMNS = "sample_id, trajectory_id, gap_steps, gap_step"
 PLACES = ("pred_lat", "pred_lon", "true_lat", "true_lon")
 
-_TEXT_DTW = dtw("SELECT kind || '/' || sample_id AS id, step, pred_lat, pred_lon, true_lat, true_lon FROM placed")
+_TEXT_DTW = dtw("SELECT kind || '/' || sample_id AS id, step, pred_lat, pred_lon, true_lat, true_lon FROM placed WHERE split = 'test'")
+
+_TRUE = (
+    dtw("SELECT config || '/' || model || '/' || sample_id AS id, gap_step AS step, pred_lat, pred_lon, true_lat, true_lon FROM steps")
+    + f""", tsm AS (SELECT sm.* EXCLUDE (DTW_km), warped.DTW_km FROM sm JOIN warped ON id = config || '/' || model || '/' || sample_id),
+        tgap AS (SELECT config, model, gap_steps, count(*) AS n, {', '.join(f'avg({c}) AS {c}' for c in METRICS)} FROM tsm GROUP BY ALL),
+        tall AS (SELECT config, model, {', '.join(f'avg({c}) AS {c}' for c in METRICS)} FROM tgap GROUP BY ALL),
+        tlong AS (SELECT config, model, gap_steps::VARCHAR AS gap, {', '.join(METRICS)} FROM tgap UNION ALL SELECT config, model, 'overall', {', '.join(METRICS)} FROM tall)
+        """
+)
 
 SELECTS = {
     "read_points": "SELECT trajectory_id, MMSI, timestamp, latitude, longitude, SOG, COG FROM points",
@@ -222,8 +230,17 @@ SELECTS = {
     "write_table_csv": f"SELECT {STEP_COLUMNS}, {_round(PLACES)}, model, config FROM steps",
     "read_sft_jsonl": "SELECT sample_id, trajectory_id, gap_steps, array_to_string(t, ' ') AS answer FROM said",
     "write_gap_examples": "SELECT split, gap_steps, sample_id, global_row_index, row_type, geohash_7 FROM win",
-    "read_metrics_json": f"SELECT model, gap, {_round(METRICS)} FROM longtab WHERE model = 'linear'",
-    "write_metrics_json": f"SELECT model, gap, {_round(METRICS)} FROM longtab WHERE model = 'linear'",
+    "read_metrics_json": f"{_TRUE} SELECT model, gap, {_round(METRICS)} FROM tlong WHERE model = 'linear' AND config = 'x'",
+    "write_metrics_json": f"{_TRUE} SELECT config || '/' || model AS model, gap, {_round(METRICS)} FROM tlong",
+    "gap_examples_by_track": "SELECT trajectory_id, count(*) AS n_rows, count(DISTINCT sample_id) AS n_samples FROM win GROUP BY 1",
+    "read_table_csv_checked": """SELECT CASE WHEN event_id % 7 = 0 OR event_id % 11 = 0 THEN 'violation' ELSE 'row' END AS kind,
+        CASE WHEN event_id % 7 = 0 OR event_id % 11 = 0 THEN event_id || ',' || CASE WHEN event_id % 7 = 0 THEN 'fast' ELSE floor(SOG)::BIGINT::VARCHAR END || CASE WHEN event_id % 11 = 0 THEN ',more' ELSE '' END ELSE event_id::VARCHAR END AS record FROM points""",
+    "read_sft_jsonl_checked": """, k AS (SELECT CASE WHEN gap_steps = 45 OR MMSI % 7 = 3 THEN 'violation' ELSE 'row' END AS kind,
+        CASE WHEN gap_steps = 45 THEN substr('{"sample_id":"' || sample_id, 1, 20) WHEN MMSI % 7 = 3 THEN '{"sample_id":"' || sample_id || '","gap_steps":"many"}' ELSE sample_id END AS record FROM meta)
+        SELECT kind, count(*) AS n, min(record) AS first_record FROM k GROUP BY 1""",
+    "read_points_checked": """SELECT trajectory_id, '' AS column_name, count(*) AS n FROM points WHERE event_id % 13 <> 0 AND event_id % 17 <> 0 GROUP BY 1
+        UNION ALL SELECT '', 'timestamp', count(*) FROM points WHERE event_id % 13 = 0 UNION ALL SELECT '', 'SOG', count(*) FROM points WHERE event_id % 17 = 0""",
+    "points_of_split": "SELECT event_id, trajectory_id, split FROM points WHERE split = 'test'",
     "check_schema": "SELECT * FROM (VALUES ('MMSI', 'bigint', 'string'), ('SOG', 'double', NULL)) t(column_name, wanted, found)",
     "check_nulls": "SELECT 'trajectory_id' AS column_name, count(*) FILTER (trajectory_id IS NULL) AS n_nulls FROM points UNION ALL SELECT 'timestamp', count(*) FILTER (timestamp IS NULL) FROM points UNION ALL SELECT 'SOG', count(*) FILTER (SOG IS NULL OR event_id % 50 IN (0, 1)) FROM points UNION ALL SELECT 'COG', count(*) FILTER (COG IS NULL) FROM points",
     "check_timestamps": "SELECT event_id, 'no time' AS timestamp FROM points WHERE event_id % 97 = 0",
@@ -240,10 +257,9 @@ SELECTS = {
         UNION ALL SELECT trajectory_id, 'listed_twice' FROM a GROUP BY 1 HAVING count(*) > count(DISTINCT split)
         UNION ALL SELECT split, 'split_size' FROM a GROUP BY 1 HAVING count(DISTINCT trajectory_id) <> CASE split WHEN 'train' THEN 800 ELSE 100 END""",
     "check_unassigned": "SELECT trajectory_id, count(*) AS n_points FROM points WHERE split = 'val' GROUP BY 1",
-    "check_samples": """, s AS (SELECT DISTINCT sample_id, v % 25 AS r FROM test_win)
-        SELECT sample_id, unnest(CASE r WHEN 4 THEN CASE WHEN gap_steps <= 10 THEN ['window_length', 'suffix_length', 'not_contiguous'] ELSE ['window_length', 'gap_length', 'not_contiguous'] END
+    "check_samples": """ SELECT sample_id, unnest(CASE r WHEN 4 THEN CASE WHEN gap_steps <= 10 THEN ['window_length', 'suffix_length', 'not_contiguous'] ELSE ['window_length', 'gap_length', 'not_contiguous'] END
                WHEN 9 THEN ['null_token'] WHEN 14 THEN ['invalid_token'] WHEN 19 THEN ['not_increasing'] WHEN 24 THEN ['null_timestamp'] END) AS reason
-        FROM (SELECT DISTINCT sample_id, gap_steps, v % 25 AS r FROM test_win)""",
+        FROM (SELECT DISTINCT sample_id, gap_steps, v % 25 AS r FROM win)""",
     "input_counts": "SELECT count(*) AS n_rows, count(DISTINCT trajectory_id) AS n_tracks, min(SOG) AS min_sog, max(SOG) AS max_sog, min(COG) AS min_cog, max(COG) AS max_cog FROM points",
     "interval_stats": "SELECT round(min(step_min), 6) AS min_minutes, round(avg(step_min), 6) AS mean_minutes, round(quantile_cont(step_min, 0.5), 6) AS median_minutes, round(max(step_min), 6) AS max_minutes FROM idx WHERE step_min IS NOT NULL",
     "length_stats": "SELECT min(n) AS min_points, max(n) AS max_points, round(avg(n), 6) AS mean_points, round(quantile_cont(n, 0.5)::double, 6) AS median_points FROM lengths",
@@ -266,6 +282,8 @@ SELECTS = {
     "split_counts": "SELECT split, count(*) AS n_tracks FROM lengths GROUP BY 1",
     "filter_split": "SELECT event_id, trajectory_id FROM points WHERE split = 'val'",
     "track_index": "SELECT event_id, trajectory_id, position::INT AS position, track_length::INT AS track_length, MMSI FROM idx",
+    "track_index_blocks": "SELECT event_id, trajectory_id, position::INT AS position, track_length::INT AS track_length, MMSI, round(step_min, 6) AS step_min FROM idx",
+    "gap_windows_blocks": "SELECT sample_id, split, gap_steps, event_id, global_row_index, row_type, round(dt_min, 6) AS dt_min FROM win",
     "window_starts": """, w AS (SELECT trajectory_id, gap_steps::INT AS gap_steps, k::INT AS asked, n - 120 - gap_steps AS room FROM lengths, gaps, (VALUES (1), (3), (4)) t(k)),
         s AS (SELECT DISTINCT trajectory_id, gap_steps, asked, CASE WHEN asked = 1 THEN room // 2 ELSE round_even(room * i / (asked - 1)::double, 0)::INT END AS start FROM w, range(4) r(i) WHERE room >= 0 AND i < asked)
         SELECT w.trajectory_id, w.gap_steps, w.asked, coalesce(string_agg(start::VARCHAR, ',' ORDER BY start), '') AS starts FROM w LEFT JOIN s USING (trajectory_id, gap_steps, asked) GROUP BY ALL""",
@@ -279,12 +297,12 @@ SELECTS = {
     "sft_records": f"""SELECT w.sample_id, w.trajectory_id, w.gap_steps, 'system' AS first_role,
         'PREFIX: ' || string_agg(geohash_7 || ' ' || sog_token || ' ' || cog_token || ' ' || printf('%.1f', round(dt_min, 1)), '; ' ORDER BY global_row_index) FILTER (row_type = 'prefix') || chr(10) || 'HIDDEN STEPS: ' || w.gap_steps || chr(10) ||
         'SUFFIX: ' || string_agg(geohash_7 || ' ' || sog_token || ' ' || cog_token || ' ' || printf('%.1f', round(dt_min, 1)), '; ' ORDER BY global_row_index) FILTER (row_type = 'suffix') AS user,
-        string_agg(geohash_7, ' ' ORDER BY global_row_index) FILTER (row_type = 'gap') AS answer FROM test_win w GROUP BY w.sample_id, w.trajectory_id, w.gap_steps""",
+        string_agg(geohash_7, ' ' ORDER BY global_row_index) FILTER (row_type = 'gap') AS answer FROM win w GROUP BY w.sample_id, w.trajectory_id, w.gap_steps""",
     "truth_tokens": "SELECT sample_id, len(t)::INT AS n, t[-1] AS last_token FROM said",
     "parse_tokens": "SELECT sample_id, len(raw)::INT AS n, array_to_string(raw, '|') AS tokens FROM parsed",
     "constrain_n": "SELECT sample_id, array_to_string(fixed, ' ') AS tokens FROM forced",
     "raw_length_ok": "SELECT sample_id, len(raw) = len(t) AS raw_length_ok FROM parsed",
-    "token_metrics": f"SELECT sample_id, {_round([c for c in TOKEN_METRICS if c.endswith(('rate', 'accuracy'))])}, sequence_exact_match, output_length_correct, n_true, n_pred FROM raws",
+    "token_metrics": f"SELECT sample_id, {_round([c for c in TOKEN_METRICS if c.endswith(('rate', 'accuracy'))])}, sequence_exact_match, output_length_correct, n_true, n_pred FROM scored WHERE kind = 'raw'",
     "token_spatial_metrics": f"""{_TEXT_DTW} SELECT sample_id, {_round(('MSE_km2', 'MAE_km', 'ADE_km', 'FDE_km', 'diagonal_km', 'DTW_km'))} FROM raws LEFT JOIN warped ON id = 'raw/' || sample_id""",
     "token_steps": f"SELECT sample_id, trajectory_id, gap_steps, step::INT AS gap_step, {_round(PLACES)} FROM placed WHERE kind = 'fixed'",
     "per_step_accuracy": ", g AS (SELECT DISTINCT gap_steps FROM texts), s AS (SELECT gap_steps, i::INT AS step FROM g, range(60) r(i) WHERE i < gap_steps) SELECT s.gap_steps, s.step, round(count(*) FILTER (said_cell = t) / nullif(count(t), 0)::double, 6) AS accuracy, count(t) AS n FROM s LEFT JOIN (SELECT * FROM pairs WHERE kind = 'raw') p ON p.gap_steps = s.gap_steps AND p.step = s.step GROUP BY ALL",
@@ -292,47 +310,49 @@ SELECTS = {
     "haversine_km": f"SELECT event_id, round({km('latitude', 'longitude', '(latitude + SOG / 10)', '(-longitude)')}, 6) AS km FROM points",
     "to_enu_m": "SELECT event_id, round(radians(longitude - (longitude + COG / 1000)) * 6371000::double * cos(radians((latitude + (latitude - 0.25::double)) / 2)), 6) AS east_m, round(radians(latitude - (latitude - 0.25::double)) * 6371000::double, 6) AS north_m FROM points",
     "from_enu_m": "SELECT event_id, round(latitude + degrees(COG * 10 / 6371000::double), 6) AS lat, round(longitude + degrees(SOG * 100 / (6371000::double * cos(radians(latitude + degrees(COG * 10 / 6371000::double) / 2)))), 6) AS lon FROM points",
-    "step_distances": "SELECT model, sample_id, gap_step, round(d_km, 6) AS d_km FROM away WHERE config = 'x'",
-    **{k: f"SELECT model, sample_id, round({c}, 6) AS {c} FROM whole WHERE config = 'x'" for k, c in (("mse_km2", "MSE_km2"), ("mae_km", "MAE_km"), ("ade_km", "ADE_km"), ("fde_km", "FDE_km"))},
-    "diagonal_sum_km": "SELECT model, sample_id, round(DTW_km, 6) AS diagonal_km FROM whole WHERE config = 'x'",
+    "step_distances": "SELECT config, model, sample_id, gap_step, round(d_km, 6) AS d_km FROM away",
+    **{k: f"SELECT config, model, sample_id, round({c}, 6) AS {c} FROM whole" for k, c in (("mse_km2", "MSE_km2"), ("mae_km", "MAE_km"), ("ade_km", "ADE_km"), ("fde_km", "FDE_km"))},
+    "diagonal_sum_km": "SELECT config, model, sample_id, round(DTW_km, 6) AS diagonal_km FROM whole",
     "dtw_km": f"""{dtw("SELECT config || '/' || model || '/' || sample_id AS id, gap_step AS step, pred_lat, pred_lon, true_lat, true_lon FROM steps")}
         SELECT split_part(id, '/', 1) AS config, split_part(id, '/', 2) AS model, split_part(id, '/', 3) AS sample_id, round(DTW_km, 6) AS DTW_km FROM warped""",
     "sample_metrics": f"SELECT config, model, trajectory_id, sample_id, gap_steps, {_round(METRICS)} FROM whole",
-    "complete_samples": "SELECT sample_id, CASE WHEN any_value(v) % 10 = 4 THEN 0 ELSE count(*) END AS n_rows FROM test_win GROUP BY 1",
-    "fill_last_known": f"SELECT {STEP_COLUMNS}, {_round(PLACES)} FROM steps WHERE model = 'last_known' AND config = 'x'",
-    "fill_linear": f"SELECT {STEP_COLUMNS}, {_round(PLACES)} FROM steps WHERE model = 'linear' AND config = 'x'",
-    "step_predictions": f"SELECT {STEP_COLUMNS}, {_round(PLACES)} FROM steps WHERE model = 'b' AND config = 'x'",
+    "complete_samples": "SELECT sample_id, CASE WHEN any_value(v) % 10 = 4 THEN 0 ELSE count(*) END AS n_rows FROM win GROUP BY 1",
+    "fill_last_known": f"SELECT {STEP_COLUMNS}, {_round({'pred_lat': 'lat0', 'pred_lon': 'lon0', 'true_lat': 'latitude', 'true_lon': 'longitude'})} FROM known",
+    "fill_linear": f"SELECT {STEP_COLUMNS}, {_round({'pred_lat': 'lat0 + (lat1 - lat0) * f', 'pred_lon': 'lon0 + (lon1 - lon0) * f', 'true_lat': 'latitude', 'true_lon': 'longitude'})} FROM known",
+    "step_predictions": f"SELECT config, model, {STEP_COLUMNS}, {_round(PLACES)} FROM steps WHERE model IN ('a', 'b')",
     "norm_stats": f"SELECT {_round([f'{k}_{c}' for c in ('latitude', 'longitude', 'SOG', 'dt_min') for k in ('mean', 'std')])} FROM norm",
     "feature_rows": f"SELECT sample_id, global_row_index, {', '.join(f'round(f[{i + 1}]::double, 3) AS f{i}' for i in range(7))} FROM feats",
     "feature_sequences": "SELECT sample_id, count(*)::INT AS n_inputs, (count(*) FILTER (row_type = 'gap'))::INT AS n_target, round(sum(list_sum(list_transform(f, lambda x: x::double))), 2) AS input_sum, round(sum(sl::FLOAT::double + so::FLOAT::double) FILTER (row_type = 'gap'), 2) AS target_sum, (count(*) FILTER (row_type = 'prefix'))::INT AS n_prefix FROM feats GROUP BY 1",
     "denormalize": "SELECT sample_id, global_row_index, round(latitude, 6) AS pred_lat, round(longitude, 6) AS pred_lon FROM feats WHERE row_type = 'gap'",
     "metrics_by_gap": f"""{_TEXT_DTW} SELECT gap_steps, count(*) AS num_examples, {', '.join(f'round(avg({c}), 6) AS {c}' for c in TEXT_METRICS)}, 'S1' AS sog_variant, 'C2' AS cog_variant FROM fx LEFT JOIN warped ON id = 'fixed/' || sample_id GROUP BY gap_steps""",
     "metrics_with_overall": f"""{_TEXT_DTW} SELECT CASE WHEN grouping(gap_steps) = 1 THEN 'overall' ELSE 'gap_' || gap_steps END AS gap, count(*) AS num_examples, {', '.join(f'round(avg({c}), 6) AS {c}' for c in TEXT_METRICS)} FROM fx LEFT JOIN warped ON id = 'fixed/' || sample_id GROUP BY GROUPING SETS ((gap_steps), ())""",
-    "spatial_by_gap": f"""{dtw("SELECT model || '/' || sample_id AS id, gap_step AS step, pred_lat, pred_lon, true_lat, true_lon FROM steps WHERE config = 'x'")}
-        SELECT model, gap_steps, count(*) AS n, {', '.join(f'round(avg({c}), 6) AS {c}' for c in METRICS)} FROM (SELECT smx.* EXCLUDE (DTW_km), warped.DTW_km FROM smx JOIN warped ON id = model || '/' || sample_id) GROUP BY ALL""",
-    "macro_overall": f"SELECT model, {_round(METRICS)} FROM macro",
+    "spatial_by_gap": f"{_TRUE} SELECT config, model, gap_steps, n, {_round(METRICS)} FROM tgap",
+    "macro_overall": f"{_TRUE} SELECT config, model, {_round(METRICS)} FROM tall",
     "model_gap_table": f"SELECT config, gap_steps, model, count(*) AS n, {', '.join(f'round(avg({c}), 6) AS {c}' for c in METRICS)}, gap_steps * 10 AS gap_minutes FROM sm GROUP BY config, gap_steps, model",
-    "comparison_wide": f"SELECT b.model, {', '.join(f'round(max(b.{c}) FILTER (gap_steps = {g}), 6) AS gap_{g}_{c}' for g in GAPS for c in ('ADE_km', 'FDE_km'))}, round(any_value(m.ADE_km), 6) AS overall_ADE_km, round(any_value(m.FDE_km), 6) AS overall_FDE_km FROM bygap b JOIN macro m USING (model) GROUP BY b.model",
-    "comparison_long": f"SELECT model, gap, {_round(METRICS)} FROM longtab",
-    "best_model": "SELECT gap, model FROM longtab WHERE ADE_km IS NOT NULL QUALIFY row_number() OVER (PARTITION BY gap ORDER BY ADE_km, model) = 1",
-    "win_rate": _wins("(SELECT a.gap_steps, a.ADE_km AS mine, b.ADE_km AS base FROM smx a JOIN smx b USING (gap_steps, sample_id) WHERE a.model = 'b' AND b.model = 'linear')", "gap_steps"),
+    "comparison_wide": f"{_TRUE} SELECT b.config, b.model, {', '.join(f'round(max(b.{c}) FILTER (gap_steps = {g}), 6) AS gap_{g}_{c}' for g in GAPS for c in METRICS)}, {', '.join(f'round(any_value(m.{c}), 6) AS overall_{c}' for c in METRICS)} FROM tgap b JOIN tall m USING (config, model) GROUP BY b.config, b.model",
+    "comparison_long": f"{_TRUE} SELECT config, model, gap, {_round(METRICS)} FROM tlong",
+    "best_model": _TRUE + "SELECT config, gap, model FROM tlong WHERE ADE_km IS NOT NULL QUALIFY row_number() OVER (PARTITION BY config, gap ORDER BY ADE_km, model) = 1",
+    "win_rate": _wins("(SELECT a.config, a.gap_steps, a.ADE_km AS mine, b.ADE_km AS base FROM sm a JOIN sm b USING (config, gap_steps, sample_id) WHERE a.model = 'b' AND b.model = 'linear')", "config, gap_steps"),
     "win_rate_table": _wins("duels", "config, gap_steps, baseline, metric"),
+    "win_rates_from_files": _wins("duels", "config, gap_steps, baseline, metric"),
     "win_rate_pivot": ", w AS (" + _wins("(SELECT * FROM duels WHERE metric = 'ADE_km')", "config, gap_steps, baseline") + f") SELECT config, baseline, {', '.join(f'max(win_percent) FILTER (gap_steps = {g}) AS gap_{g}' for g in GAPS)} FROM w GROUP BY ALL",
     "config_win_rate": _wins("(SELECT a.gap_steps, a.ADE_km AS mine, b.ADE_km AS base FROM sm a JOIN sm b USING (gap_steps, sample_id, model) WHERE a.model = 'b' AND a.config = 'y' AND b.config = 'x')", "gap_steps"),
-    "gap_duration_stats": "SELECT gap_steps, round(avg(observable_gap_duration_min), 6) AS mean_gap_min, round(min(observable_gap_duration_min), 6) AS min_gap_min, round(max(observable_gap_duration_min), 6) AS max_gap_min, round(avg(mean_dt_inside_window_min), 6) AS mean_dt_min, round(stddev_samp(mean_dt_inside_window_min), 6) AS std_dt_min FROM tmeta GROUP BY 1",
+    "gap_duration_stats": "SELECT gap_steps, round(avg(observable_gap_duration_min), 6) AS mean_gap_min, round(min(observable_gap_duration_min), 6) AS min_gap_min, round(max(observable_gap_duration_min), 6) AS max_gap_min, round(avg(mean_dt_inside_window_min), 6) AS mean_dt_min, round(stddev_samp(mean_dt_inside_window_min), 6) AS std_dt_min FROM meta GROUP BY 1",
     "behaviour_join": f"SELECT sample_id, gap_steps, {_round(('ADE_km', 'FDE_km', 'observable_gap_duration_min', 'mean_dt_inside_window_min', 'hidden_internal_duration_min', 'max_dt_inside_window_min', 'base_ADE_km', 'base_FDE_km'))}, wins, fast_sampling FROM behave",
     "win_by_sampling": ", k AS (SELECT gap_steps, 'all' AS sampling, wins FROM behave UNION ALL SELECT gap_steps, CASE WHEN fast_sampling THEN 'fast' ELSE 'slow' END, wins FROM behave) SELECT gap_steps, sampling, round(100::double * count(*) FILTER (wins) / count(*), 6) AS win_percent, count(*) FILTER (wins) AS wins, count(*) AS n FROM k GROUP BY gap_steps, sampling",
     "win_by_duration_quartile": """, q AS (SELECT quantile_cont(observable_gap_duration_min, [0.25, 0.5, 0.75]) AS e FROM behave), b AS (SELECT gap_steps, wins, 1 + len(list_filter(e, lambda x: x < observable_gap_duration_min)) AS quartile FROM behave, q)
         SELECT g.gap_steps, g.quartile::INT AS quartile, round_even(100::double * count(*) FILTER (wins) / nullif(count(wins), 0), 1) AS win_percent, count(wins) AS n FROM (SELECT DISTINCT gap_steps, unnest([1, 2, 3, 4]) AS quartile FROM behave) g LEFT JOIN b USING (gap_steps, quartile) GROUP BY ALL""",
     "full_summary": f"SELECT gap_steps, gap_steps * 10 AS gap_minutes, config, model, count(*) AS n, {', '.join(f'round_even(avg({c}), 3) AS {c}' for c in METRICS)} FROM sm GROUP BY config, gap_steps, model",
-    "token_accuracy_summary": f"SELECT CASE kind WHEN 'fixed' THEN 'x' ELSE 'y' END AS config, {', '.join(f'round(avg({c}) FILTER (gap_steps = {g}), 6) AS gap_{g}_{n}' for g in GAPS for n, c in (('accuracy', 'exact_token_accuracy'), ('exact', 'sequence_exact_match')))} FROM scored GROUP BY kind",
-    "sized_subset_table": "SELECT config, gap_steps, model, count(*) AS n, round(avg(ADE_km), 6) AS ADE_km, round(avg(FDE_km), 6) AS FDE_km, round(avg(DTW_km), 6) AS DTW_km FROM sm WHERE gap_steps IN (30, 45) GROUP BY ALL",
+    "token_accuracy_summary": f"SELECT CASE kind WHEN 'fixed' THEN 'x' ELSE 'y' END AS config, {', '.join(f'round(avg({c}) FILTER (gap_steps = {g}), 6) AS gap_{g}_{n}' for g in GAPS for n, c in (('accuracy', 'exact_token_accuracy'), ('exact', 'sequence_exact_match')))} FROM scored WHERE split = 'test' GROUP BY kind",
+    "sized_subset_table": ", w AS (" + _wins("(SELECT * FROM duels WHERE metric = 'ADE_km' AND gap_steps IN (30, 45))", "config, gap_steps, baseline") + """), m AS (
+        SELECT config, gap_steps, model, count(*) AS n, round(avg(ADE_km), 6) AS ADE_km, round(avg(FDE_km), 6) AS FDE_km, round(avg(DTW_km), 6) AS DTW_km FROM sm WHERE gap_steps IN (30, 45) GROUP BY ALL)
+        SELECT m.*, wins, total, win_percent FROM m LEFT JOIN w ON w.config = m.config AND w.gap_steps = m.gap_steps AND w.baseline = m.model""",
     "metric_distribution": """, q AS (SELECT config, gap_steps, model, count(ADE_km) AS n, min(ADE_km) AS min, quantile_cont(ADE_km, 0.25) AS q1, quantile_cont(ADE_km, 0.5) AS median, quantile_cont(ADE_km, 0.75) AS q3, max(ADE_km) AS max FROM sm GROUP BY ALL)
         SELECT q.config, q.gap_steps, q.model, any_value(n) AS n, round(any_value(q.min), 6) AS min, round(any_value(q1), 6) AS q1, round(any_value(median), 6) AS median, round(any_value(q3), 6) AS q3, round(any_value(q.max), 6) AS max,
                round(min(ADE_km), 6) AS whisker_low, round(max(ADE_km), 6) AS whisker_high FROM q JOIN sm USING (config, gap_steps, model) WHERE ADE_km BETWEEN q1 - 1.5::double * (q3 - q1) AND q3 + 1.5::double * (q3 - q1) GROUP BY q.config, q.gap_steps, q.model""",
     "paired_metric": ", p AS (SELECT a.gap_steps, a.sample_id, a.ADE_km AS first, b.ADE_km AS second, coalesce(b.ADE_km < a.ADE_km, false) AS second_better FROM sm a JOIN sm b USING (gap_steps, sample_id, model) WHERE a.model = 'b' AND a.config = 'x' AND b.config = 'y') SELECT gap_steps, sample_id, round(first, 6) AS first, round(second, 6) AS second, second_better, count(*) FILTER (second_better) OVER (PARTITION BY gap_steps) AS n_second_better FROM p",
-    "step_alignment": f""", k AS (SELECT * FROM steps WHERE config = 'x' AND trajectory_id NOT LIKE '%9'), e AS (SELECT sample_id, arg_min(true_lat, gap_step) AS start_lat, arg_min(true_lon, gap_step) AS start_lon, arg_max(true_lat, gap_step) AS end_lat, arg_max(true_lon, gap_step) AS end_lon FROM k WHERE model = 'a' GROUP BY 1)
-        SELECT sample_id, gap_steps, gap_step, round(any_value(true_lat), 6) AS true_lat, round(any_value(true_lon), 6) AS true_lon, {', '.join(f"round(max(pred_{c}) FILTER (model = '{m}'), 6) AS {m}_{c}" for m in ('linear', 'a', 'b') for c in ('lat', 'lon'))},
+    "step_alignment": f""", k AS (SELECT * FROM steps WHERE trajectory_id NOT LIKE '%9'), e AS (SELECT sample_id, arg_min(true_lat, gap_step) AS start_lat, arg_min(true_lon, gap_step) AS start_lon, arg_max(true_lat, gap_step) AS end_lat, arg_max(true_lon, gap_step) AS end_lon FROM k WHERE model = 'a' AND config = 'x' GROUP BY 1)
+        SELECT config, sample_id, gap_steps, gap_step, round(any_value(true_lat), 6) AS true_lat, round(any_value(true_lon), 6) AS true_lon, {', '.join(f"round(max(pred_{c}) FILTER (model = '{m}'), 6) AS {m}_{c}" for m in ('linear', 'a', 'b') for c in ('lat', 'lon'))},
                {', '.join(f'round(any_value({n}), 6) AS {n}' for n in ('start_lat', 'start_lon', 'end_lat', 'end_lon'))} FROM k JOIN e USING (sample_id) GROUP BY ALL""",
     "first_k_samples": "SELECT DISTINCT gap_steps, sample_id FROM sm QUALIFY dense_rank() OVER (PARTITION BY gap_steps ORDER BY sample_id) <= 3",
     "gap_filter": "SELECT config, model, sample_id, gap_steps FROM sm WHERE gap_steps IN (5, 10, 30, 45)",

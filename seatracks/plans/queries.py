@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,10 +22,12 @@ from ..operators import windows as W
 from ..settings import DEFAULTS
 from ..sources import fixtures as X
 from ..sources import io
+from ..sources.store import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 MODELS = ["a", "b", "last_known", "linear"]
 GAPS = DEFAULTS.gap_sizes
+WEEK = 7 * 24 * 60.0
 
 
 def query(f):
@@ -35,15 +35,6 @@ def query(f):
     return f
 
 
-def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith(("local[", "local ")) and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a shared folder")
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/tracks-{uuid.uuid4().hex}"
-
-
 def _points(spark, d) -> DataFrame:
     return X.points(spark, d)
 
@@ -77,9 +68,14 @@ def _of(metrics: DataFrame, config: str = "x") -> DataFrame:
 
 
 def _scored(spark, d, **how) -> DataFrame:
+    """Predictions for the test tracks, which models are compared on."""
     return R.scored_predictions(X.text_predictions(_test_rows(spark, d)), **how)
 
 
+def _scored_all(spark, d, **how) -> DataFrame:
+    return R.scored_predictions(X.text_predictions(_rows(spark, d)), **how)
+
+
 def _r6(df: DataFrame, *skip: str) -> DataFrame:
     real = {n for n, t in df.dtypes if t == "double" and n not in skip}
     return df.select(*(F.round(c, 6).alias(c) if c in real else F.col(c) for c in df.columns))
@@ -90,7 +86,7 @@ def _r6(df: DataFrame, *skip: str) -> DataFrame:
 
 @query
 def read_points(spark, d):
-    path = _folder(spark)
+    path = shared_folder(spark)
     p = _points(spark, d).drop("v", "event_id")
     p.withColumn("timestamp", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss.SSSSSS")).write.parquet(path)
     return io.read_points(spark, path)
@@ -98,49 +94,110 @@ def read_points(spark, d):
 
 @query
 def read_table_csv(spark, d):
-    path = _folder(spark)
+    path = shared_folder(spark)
     io.write_table_csv(X.splits(_points(spark, d)), path)
     return io.read_table_csv(spark, path, io.SPLITS)
 
 
 @query
 def write_table_csv(spark, d):
-    path = _folder(spark)
+    path = shared_folder(spark)
     io.write_table_csv(_steps(spark, d).select(*L.STEP_COLUMNS, "model", "config"), path)
     return _r6(io.read_table_csv(spark, path, io.STEPS + ", model string, config string"))
 
 
 @query
 def read_sft_jsonl(spark, d):
-    path = _folder(spark)
-    R.sft_records(_test_rows(spark, d)).write.json(path)
+    path = shared_folder(spark)
+    R.sft_records(_rows(spark, d)).write.json(path)
     return io.read_sft_jsonl(spark, path).select("sample_id", "trajectory_id", "gap_steps", F.col("messages")[2]["content"].alias("answer"))
 
 
 @query
 def write_gap_examples(spark, d):
-    path = _folder(spark)
+    path = shared_folder(spark)
     io.write_gap_examples(_rows(spark, d), path)
     return spark.read.parquet(path).select("split", "gap_steps", "sample_id", "global_row_index", "row_type", "geohash_7")
 
 
-def _metrics_json(spark, d):
-    path = _folder(spark)
-    by_gap = C.spatial_by_gap(_of(_metrics(spark, d))).where("model = 'linear'")
-    table = C.comparison_long(by_gap).withColumn("gap", F.when(F.col("gap") == "overall", "overall").otherwise(F.concat(F.lit("gap_"), "gap")))
+@query
+def gap_examples_by_track(spark, d):
+    """The windows as a table bucketed by track; grouping it by track shuffles nothing."""
+    path = shared_folder(spark)
+    table = io.write_gap_examples_by_track(_rows(spark, d), f"windows_{path.rsplit('-', 1)[1]}", path)
+    return table.groupBy("trajectory_id").agg(F.count("*").alias("n_rows"), F.count_distinct("sample_id").alias("n_samples"))
+
+
+@query
+def read_metrics_json(spark, d):
+    """One model's file in the layout by gap."""
+    path = shared_folder(spark)
+    table = C.comparison_long(_by_gap(spark, d).where("model = 'linear' AND config = 'x'").drop("config"))
+    table = table.withColumn("gap", F.when(F.col("gap") == "overall", "overall").otherwise(F.concat(F.lit("gap_"), "gap")))
     io.write_metrics_json(table.drop("model"), path)
     rows = io.read_metrics_json(spark, path, "linear")
     return rows.select("model", "gap", *(F.round(F.col("metrics")[c], 6).alias(c) for c in C.METRICS))
 
 
 @query
-def read_metrics_json(spark, d):
-    return _metrics_json(spark, d)
+def write_metrics_json(spark, d):
+    """All models of both configurations in one file, by model and gap."""
+    path = shared_folder(spark)
+    table = C.comparison_long(_by_gap(spark, d), by=CONFIG).withColumn("model", F.concat_ws("/", "config", "model")).drop("config")
+    io.write_metrics_json(table, path, model_col="model")
+    rows = io.read_metrics_json(spark, path)
+    return rows.select("model", "gap", *(F.round(F.col("metrics")[c], 6).alias(c) for c in C.METRICS))
 
 
 @query
-def write_metrics_json(spark, d):
-    return _metrics_json(spark, d)
+def win_rates_from_files(spark, d):
+    """From a prediction file of each model and configuration to the win rates."""
+    steps, paths = _steps(spark, d), {}
+    for config in ("x", "y"):
+        for model in MODELS:
+            paths[config, model] = shared_folder(spark, f"{config}-{model}")
+    io.write_predictions(steps, paths)
+    metrics = X.with_missing(C.sample_metrics(io.read_predictions(spark, paths)))
+    return C.win_rate_table(metrics, "a", ["b", "last_known", "linear"])
+
+
+def _kinds(rows, violations, key, record):
+    return rows.select(F.lit("row").alias("kind"), key.alias("record")).unionByName(violations.select(F.lit("violation").alias("kind"), record.alias("record")))
+
+
+@query
+def read_table_csv_checked(spark, d):
+    """Every seventh line has a speed that is no number, every eleventh a cell too many."""
+    path, i = shared_folder(spark), F.col("event_id")
+    line = F.concat_ws(",", i.cast("string"), F.when(i % 7 == 0, "fast").otherwise(F.floor("SOG").cast("string")), F.when(i % 11 == 0, "more"))
+    _points(spark, d).select(line.alias("value")).write.text(path)
+    rows, bad = io.read_table_csv_checked(spark, path, "event_id bigint, speed bigint", header=False)
+    return _kinds(rows, bad, F.col("event_id").cast("string"), F.col("record"))
+
+
+@query
+def read_sft_jsonl_checked(spark, d):
+    """The gap size of every seventh track is a text, and samples of gap 45 are cut off."""
+    path = shared_folder(spark)
+    text = F.to_json(F.struct("sample_id", F.when(F.col("MMSI") % 7 == 3, F.lit("many")).otherwise(F.col("gap_steps").cast("string")).alias("gap_steps")))
+    text = F.regexp_replace(text, '"([0-9]+)"', "$1")
+    _meta(spark, d).select(F.when(F.col("gap_steps") == 45, F.substring(text, 1, 20)).otherwise(text).alias("value")).write.text(path)
+    rows, bad = io.read_sft_jsonl_checked(spark, path)
+    return _kinds(rows, bad, F.col("sample_id"), F.col("record")).groupBy("kind").agg(F.count("*").alias("n"), F.min("record").alias("first_record"))
+
+
+@query
+def read_points_checked(spark, d):
+    """Points as text columns, some of them unreadable: each bad cell is told, no other point is lost."""
+    path, i = shared_folder(spark), F.col("event_id")
+    p = _points(spark, d).select(
+        "trajectory_id", F.col("MMSI").cast("string").alias("MMSI"), F.when(i % 13 == 0, "noon").otherwise(F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss")).alias("timestamp"),
+        "latitude", "longitude", F.when(i % 17 == 0, "fast").otherwise(F.col("SOG").cast("string")).alias("SOG"), F.when(i % 19 == 0, None).otherwise(F.col("COG")).alias("COG"),
+    )
+    p.write.parquet(path)
+    rows, bad = io.read_points_checked(spark, path)
+    good = rows.groupBy("trajectory_id").agg(F.count("*").alias("n")).select("trajectory_id", F.lit("").alias("column_name"), "n")
+    return good.unionByName(bad.groupBy("column_name").agg(F.count("*").alias("n")).select(F.lit("").alias("trajectory_id"), "column_name", "n"))
 
 
 # Validation.
@@ -201,7 +258,7 @@ def check_unassigned(spark, d):
 
 @query
 def check_samples(spark, d):
-    rows, i = _test_rows(spark, d), F.col("global_row_index")
+    rows, i = _rows(spark, d), F.col("global_row_index")
     meta = W.gap_metadata(rows)
     v = F.col("v") % 25
     bad = rows.where(~((v == 4) & (i == 70))).withColumns(
@@ -326,6 +383,13 @@ def split_counts(spark, d):
     return S.split_counts(X.splits(_points(spark, d)))
 
 
+@query
+def points_of_split(spark, d):
+    """The points of one split, the others dropped by a Bloom filter before the join shuffles."""
+    p = _points(spark, d)
+    return S.points_of_split(p, X.splits(p), "test").select("event_id", "trajectory_id", "split")
+
+
 @query
 def filter_split(spark, d):
     return S.filter_split(X.with_split(_points(spark, d)), "val").select("event_id", "trajectory_id")
@@ -339,6 +403,18 @@ def track_index(spark, d):
     return W.track_index(_points(spark, d)).select("event_id", "trajectory_id", "position", "track_length", "MMSI")
 
 
+@query
+def track_index_blocks(spark, d):
+    """Tracks of any length: indexed by weeks, no track whole in a task."""
+    return W.track_index(_points(spark, d), WEEK).select("event_id", "trajectory_id", "position", "track_length", "MMSI", F.round("step_min", 6).alias("step_min"))
+
+
+@query
+def gap_windows_blocks(spark, d):
+    rows = W.gap_windows(_tokens(spark, d), block_minutes=WEEK)
+    return _r6(rows.select("sample_id", "split", "gap_steps", "event_id", "global_row_index", "row_type", "dt_min"))
+
+
 @query
 def window_starts(spark, d):
     n = _points(spark, d).groupBy("trajectory_id").agg(F.count("*").cast("int").alias("n"))
@@ -387,35 +463,34 @@ def sample_counts(spark, d):
 @query
 def sft_records(spark, d):
     m = F.col("messages")
-    return R.sft_records(_test_rows(spark, d)).select("sample_id", "trajectory_id", "gap_steps", m[0]["role"].alias("first_role"), m[1]["content"].alias("user"), m[2]["content"].alias("answer"))
+    return R.sft_records(_rows(spark, d)).select("sample_id", "trajectory_id", "gap_steps", m[0]["role"].alias("first_role"), m[1]["content"].alias("user"), m[2]["content"].alias("answer"))
 
 
 @query
 def truth_tokens(spark, d):
     t = P.truth_tokens(F.col("messages"))
-    return R.sft_records(_test_rows(spark, d)).select("sample_id", F.size(t).alias("n"), F.element_at(t, -1).alias("last_token"))
+    return R.sft_records(_rows(spark, d)).select("sample_id", F.size(t).alias("n"), F.element_at(t, -1).alias("last_token"))
 
 
 @query
 def parse_tokens(spark, d):
     t = P.parse_tokens(F.col("predicted"))
-    return X.text_predictions(_test_rows(spark, d)).select("sample_id", F.size(t).alias("n"), F.array_join(t, "|").alias("tokens"))
+    return X.text_predictions(_rows(spark, d)).select("sample_id", F.size(t).alias("n"), F.array_join(t, "|").alias("tokens"))
 
 
 @query
 def constrain_n(spark, d):
-    return _scored(spark, d).select("sample_id", F.array_join("pred_tokens", " ").alias("tokens"))
+    return _scored_all(spark, d).select("sample_id", F.array_join("pred_tokens", " ").alias("tokens"))
 
 
 @query
 def raw_length_ok(spark, d):
-    return _scored(spark, d).select("sample_id", "raw_length_ok")
+    return _scored_all(spark, d).select("sample_id", "raw_length_ok")
 
 
 @query
 def token_metrics(spark, d):
-    raw = R.scored_predictions(X.text_predictions(_test_rows(spark, d)), constrain=False)
-    return _r6(raw.select("sample_id", *R.TOKEN_METRICS))
+    return _r6(_scored_all(spark, d, constrain=False).select("sample_id", *R.TOKEN_METRICS))
 
 
 @query
@@ -426,12 +501,12 @@ def token_spatial_metrics(spark, d):
 
 @query
 def token_steps(spark, d):
-    return _r6(R.token_steps(_scored(spark, d)))
+    return _r6(R.token_steps(_scored_all(spark, d)))
 
 
 @query
 def per_step_accuracy(spark, d):
-    return _r6(R.per_step_accuracy(R.scored_predictions(X.text_predictions(_test_rows(spark, d)), constrain=False)))
+    return _r6(R.per_step_accuracy(_scored_all(spark, d, constrain=False)))
 
 
 @query
@@ -465,12 +540,12 @@ def from_enu_m(spark, d):
 
 @query
 def step_distances(spark, d):
-    s = C.with_distance(_of(_steps(spark, d)))
-    return _r6(s.select("model", "sample_id", "gap_step", "d_km"))
+    s = C.with_distance(_steps(spark, d))
+    return _r6(s.select("config", "model", "sample_id", "gap_step", "d_km"))
 
 
 def _one_metric(*names):
-    return lambda spark, d: _r6(C.sample_metrics(_of(_steps(spark, d))).select("model", "sample_id", *names))
+    return lambda spark, d: _r6(C.sample_metrics(_steps(spark, d)).select("config", "model", "sample_id", *names))
 
 
 QUERIES["mse_km2"] = _one_metric("MSE_km2")
@@ -481,7 +556,7 @@ QUERIES["fde_km"] = _one_metric("FDE_km")
 
 @query
 def diagonal_sum_km(spark, d):
-    return _r6(C.sample_metrics(_of(_steps(spark, d))).select("model", "sample_id", F.col("DTW_km").alias("diagonal_km")))
+    return _r6(C.sample_metrics(_steps(spark, d)).select("config", "model", "sample_id", F.col("DTW_km").alias("diagonal_km")))
 
 
 @query
@@ -499,25 +574,25 @@ def sample_metrics(spark, d):
 
 @query
 def complete_samples(spark, d):
-    rows = _test_rows(spark, d).where(~((F.col("v") % 10 == 4) & (F.col("row_type") == "suffix") & (F.col("row_index_in_section") == 7)))
+    rows = _rows(spark, d).where(~((F.col("v") % 10 == 4) & (F.col("row_type") == "suffix") & (F.col("row_index_in_section") == 7)))
     kept, dropped = L.complete_samples(rows)
     return kept.groupBy("sample_id").agg(F.count("*").alias("n_rows")).unionByName(dropped.withColumn("n_rows", F.lit(0).cast("bigint")))
 
 
 @query
 def fill_last_known(spark, d):
-    return _r6(L.fill_last_known(_test_rows(spark, d)))
+    return _r6(L.fill_last_known(_rows(spark, d)))
 
 
 @query
 def fill_linear(spark, d):
-    return _r6(L.fill_linear(_test_rows(spark, d)))
+    return _r6(L.fill_linear(_rows(spark, d)))
 
 
 @query
 def step_predictions(spark, d):
     rows = _test_rows(spark, d)
-    made = _of(X.steps(rows)).where("model = 'b'").select("sample_id", "gap_step", "pred_lat", "pred_lon")
+    made = X.steps(rows).where("model IN ('a', 'b')").select("config", "model", "sample_id", "gap_step", "pred_lat", "pred_lon")
     return _r6(L.step_predictions(made, rows))
 
 
@@ -529,7 +604,7 @@ def norm_stats(spark, d):
 def _features(spark, d):
     rows = _rows(spark, d)
     stats = L.norm_stats(rows)
-    return L.feature_rows(S.filter_split(rows, "test"), stats), stats
+    return L.feature_rows(rows, stats), stats
 
 
 @query
@@ -566,20 +641,22 @@ def metrics_with_overall(spark, d):
     return _r6(C.metrics_with_overall(_scored(spark, d, dtw=True)))
 
 
+CONFIG = ("config",)
+
+
 def _by_gap(spark, d):
-    return C.spatial_by_gap(_of(_metrics(spark, d)))
+    """Means by gap of both configurations with true time warping, as the baselines are compared."""
+    return C.spatial_by_gap(X.with_missing(C.sample_metrics(_steps(spark, d), dtw="true")), by=CONFIG)
 
 
 @query
 def spatial_by_gap(spark, d):
-    """With true time warping, as the baselines are compared."""
-    metrics = X.with_missing(C.sample_metrics(_of(_steps(spark, d)), dtw="true"))
-    return _r6(C.spatial_by_gap(metrics))
+    return _r6(_by_gap(spark, d))
 
 
 @query
 def macro_overall(spark, d):
-    return _r6(C.macro_overall(_by_gap(spark, d)))
+    return _r6(C.macro_overall(_by_gap(spark, d), by=CONFIG))
 
 
 @query
@@ -590,22 +667,22 @@ def model_gap_table(spark, d):
 
 @query
 def comparison_wide(spark, d):
-    return _r6(C.comparison_wide(_by_gap(spark, d), GAPS))
+    return _r6(C.comparison_wide(_by_gap(spark, d), GAPS, by=CONFIG))
 
 
 @query
 def comparison_long(spark, d):
-    return _r6(C.comparison_long(_by_gap(spark, d)))
+    return _r6(C.comparison_long(_by_gap(spark, d), by=CONFIG))
 
 
 @query
 def best_model(spark, d):
-    return C.best_model(_by_gap(spark, d), MODELS).select("gap", "model")
+    return C.best_model(_by_gap(spark, d), MODELS, by=CONFIG).select("config", "gap", "model")
 
 
 @query
 def win_rate(spark, d):
-    return C.win_rate(_of(_metrics(spark, d)), "b", "linear")
+    return C.win_rate(_metrics(spark, d), "b", "linear", by=CONFIG)
 
 
 @query
@@ -625,11 +702,14 @@ def config_win_rate(spark, d):
 
 @query
 def gap_duration_stats(spark, d):
-    return _r6(C.gap_duration_stats(W.gap_metadata(_test_rows(spark, d))))
+    return _r6(C.gap_duration_stats(_meta(spark, d)))
 
 
 def _behaviour(spark, d):
-    return C.behaviour_join(_of(_metrics(spark, d)), W.gap_metadata(_test_rows(spark, d)), "b", "linear", 150.0)
+    """The durations come along with the steps: the events are read once."""
+    rows = W.with_durations(_test_rows(spark, d))
+    metrics = X.with_missing(C.sample_metrics(_of(X.steps(rows, C.DURATIONS)), carry=C.DURATIONS))
+    return C.behaviour_join(metrics, None, "b", "linear", 150.0)
 
 
 @query
@@ -662,7 +742,8 @@ def token_accuracy_summary(spark, d):
 
 @query
 def sized_subset_table(spark, d):
-    return _r6(C.sized_subset_table(_metrics(spark, d), (30, 45)).select("config", "gap_steps", "model", "n", "ADE_km", "FDE_km", "DTW_km"))
+    t = C.sized_subset_table(_metrics(spark, d), (30, 45), "a", ["b", "last_known", "linear"])
+    return _r6(t.select("config", "gap_steps", "model", "n", "ADE_km", "FDE_km", "DTW_km", "wins", "total", "win_percent"))
 
 
 @query
@@ -677,7 +758,7 @@ def paired_metric(spark, d):
 
 @query
 def step_alignment(spark, d):
-    return _r6(C.step_alignment(_of(_steps(spark, d)).where("model <> 'b' OR trajectory_id NOT LIKE '%9'"), ["linear", "a", "b"]))
+    return _r6(C.step_alignment(_steps(spark, d).where("model <> 'b' OR trajectory_id NOT LIKE '%9'"), ["linear", "a", "b"], by=CONFIG))
 
 
 @query

@@ -40,7 +40,7 @@ def with_split(points: DataFrame) -> DataFrame:
     return points.withColumn("split", F.when(r < 3, "train").when(r == 3, "val").otherwise("test"))
 
 
-def steps(rows: DataFrame) -> DataFrame:
+def steps(rows: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """Step rows of the models a, b, last_known and linear under the configurations x and y, in one pass over the rows."""
     models = []
     for config, (scale, shift) in CONFIGS.items():
@@ -49,7 +49,7 @@ def steps(rows: DataFrame) -> DataFrame:
             off = lambda m: (((i * m) % 101) - 50) * F.lit(size) * F.lit(scale)  # noqa: B023, E731
             models.append(({"model": model, "config": config}, F.col("latitude") + off(p), F.col("longitude") + off(q)))
         models += [({"model": model, "config": config}, *at) for model, at in fills.fill_positions().items()]
-    return fills.fill_all(rows, models)
+    return fills.fill_all(rows, models, carry=carry)
 
 
 def with_missing(metrics: DataFrame) -> DataFrame:
