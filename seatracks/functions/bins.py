@@ -87,4 +87,4 @@ def cog_token(cog: Column, variant: str = "C2", centred: bool | None = None) ->
         centred = variant in ("C0", "C1")
     turned = F.pmod(cog_normalize(cog) + F.lit(width / 2 if centred else 0.0), F.lit(360.0))
     at = F.floor(turned / F.lit(width)).cast("int")
-    return F.when(cog.isNotNull() & ~F.isnan(cog.cast("double")), F.element_at(F.array(*map(F.lit, labels)), at + 1))
+    return F.when(cog.isNotNull() & ~F.isnan(cog.cast("double")), F.element_at(F.expr("array(" + ", ".join(f"'{x}'" for x in labels) + ")"), at + 1))

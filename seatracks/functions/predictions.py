@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .geo import bound, path_ade_km, path_diagonal_km, path_fde_km, path_mse_km2, step_distances
-from .geohash import geohash_decode, geohash_valid
+from .geohash import decode_all, geohash_valid
 
 #: Fixed value: the cell that stands in when a prediction has no valid one.
 FALLBACK_CELL = "zzzzzzz"
@@ -62,7 +62,7 @@ def decoded_paths(pred: Column, true: Column) -> tuple[Column, Column]:
     common = F.least(F.size(pred), F.size(true))
     truth = F.slice(true, F.lit(1), common)
     filled = F.zip_with(F.slice(pred, F.lit(1), common), truth, lambda p, t: F.when(geohash_valid(p), p).otherwise(t))
-    return F.transform(filled, lambda c: geohash_decode(c)), F.transform(truth, lambda c: geohash_decode(c))
+    return decode_all(filled), decode_all(truth)
 
 
 def spatial_metrics(distances: Column) -> Column:

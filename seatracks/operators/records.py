@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import predictions as P
-from ..functions.geo import path_dtw_km
+from ..functions.geo import bound, path_dtw_km, step_distances
 
 #: Our wording.
 SYSTEM_TEXT = "You restore hidden ship positions. Answer with one cell for each hidden step, separated by spaces."
@@ -35,17 +35,16 @@ def scored_predictions(df: DataFrame, constrain: bool = True, dtw: bool = False)
     ``df`` has sample_id, trajectory_id, gap_steps, predicted and true texts. With ``constrain`` the prediction is brought to
     exactly as many valid cells as the truth has; with ``dtw`` DTW_km is the true one (the vectorized helper), else null.
     """
-    out = df.withColumn("raw_tokens", P.parse_tokens(F.col("predicted"))).withColumn("true_tokens", P.parse_tokens(F.col("true")))
-    n = F.size("true_tokens")
-    out = out.withColumn("raw_length_ok", P.raw_length_ok(F.col("raw_tokens"), n))
-    out = out.withColumn("pred_tokens", P.constrain_n(F.col("raw_tokens"), n) if constrain else F.col("raw_tokens"))
-    out = out.withColumn("_m", P.token_metrics(F.col("pred_tokens"), F.col("true_tokens"))).withColumn("_s", P.token_spatial_metrics(F.col("pred_tokens"), F.col("true_tokens")))
-    out = out.select(*(c for c in out.columns if c not in ("_m", "_s")), *(F.col(f"_m.{c}").alias(c) for c in TOKEN_METRICS), "_s.*")
-    if dtw:
-        pred, true = P.decoded_paths(F.col("pred_tokens"), F.col("true_tokens"))
-        out = out.withColumn("_p", F.struct(pred.alias("pred"), true.alias("true")))
-        return out.withColumn("DTW_km", path_dtw_km(F.col("_p.pred"), F.col("_p.true"))).drop("_p")
-    return out.withColumn("DTW_km", F.lit(None).cast("double"))
+    out = df.withColumns({"raw_tokens": P.parse_tokens(F.col("predicted")), "true_tokens": P.parse_tokens(F.col("true"))})
+    n, raw = F.size("true_tokens"), F.col("raw_tokens")
+    out = out.withColumns({"raw_length_ok": P.raw_length_ok(raw, n), "pred_tokens": P.constrain_n(raw, n) if constrain else raw})
+    pred, true = P.decoded_paths(F.col("pred_tokens"), F.col("true_tokens"))
+    kept = out.columns
+    out = out.withColumns({"_m": P.token_metrics(F.col("pred_tokens"), F.col("true_tokens")), "_p": F.struct(pred.alias("pred"), true.alias("true"))})
+    distances = step_distances(F.col("_p.pred"), F.col("_p.true"))
+    warped = path_dtw_km(F.col("_p.pred"), F.col("_p.true")) if dtw else F.lit(None).cast("double")
+    out = out.select(*kept, "_m.*", bound(distances, P.spatial_metrics).alias("_s"), warped.alias("DTW_km"))
+    return out.select(*kept, *TOKEN_METRICS, "_s.*", "DTW_km")
 
 
 def token_steps(scored: DataFrame) -> DataFrame:

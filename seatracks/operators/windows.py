@@ -74,19 +74,21 @@ def window_starts(length: Column, required: int, n: int) -> Column:
     return F.when(last >= 0, starts).otherwise(F.array().cast("array<int>"))
 
 
-def _numbered(starts: Column, gap: int) -> Column:
-    return F.transform(starts, lambda s, i: F.struct(F.lit(gap).alias("gap_steps"), i.alias("window"), s.alias("start")))
+def _starts_sql(required: int, n: int) -> str:
+    """``window_starts`` as SQL over the column track_length."""
+    last = f"(track_length - {required})"
+    places = [f"CAST(floor({last} / 2) AS INT)"] if n == 1 else [f"CAST(bround({last} * {float(i)}D / {float(n - 1)}D, 0) AS INT)" for i in range(n)]
+    return f"CASE WHEN {last} >= 0 THEN array_distinct(array({', '.join(places)})) ELSE CAST(array() AS ARRAY<INT>) END"
 
 
-def _windows_at(settings: Settings) -> Column:
-    """Array of struct(gap_steps, window, start) of all windows of the row's track."""
+def _windows_sql(settings: Settings) -> str:
+    """Array of struct(gap_steps, window, start) of all windows of the row's track; one text instead of hundreds of calls."""
     parts = []
     for gap in settings.gap_sizes:
         required = settings.required(gap)
-        many, one = window_starts(F.col("track_length"), required, settings.train_windows), window_starts(F.col("track_length"), required, 1)
-        starts = F.when(F.col("split") == "train", many).otherwise(one)
-        parts.append(_numbered(starts, gap))
-    return F.concat(*parts)
+        starts = f"CASE WHEN split = 'train' THEN {_starts_sql(required, settings.train_windows)} ELSE {_starts_sql(required, 1)} END"
+        parts.append(f"transform({starts}, (s, i) -> named_struct('gap_steps', {gap}, 'window', i, 'start', s))")
+    return f"concat({', '.join(parts)})"
 
 
 def sample_id(track: Column, gap: Column, window: Column, several: Column) -> Column:
@@ -109,9 +111,9 @@ def gap_windows(points: DataFrame, settings: Settings = DEFAULTS, block_minutes:
     ``block_minutes`` tracks are indexed by blocks of time, and a sample's rows are all that later groupings bring together.
     """
     indexed = track_index(points, block_minutes)
-    size = F.lit(settings.prefix_steps + settings.suffix_steps)
-    covering = F.filter(_windows_at(settings), lambda w: (w["start"] <= F.col("position")) & (F.col("position") < w["start"] + size + w["gap_steps"]))
-    rows = indexed.withColumn("_w", F.explode(covering)).select("*", "_w.gap_steps", "_w.window", F.col("_w.start").alias("window_start_index"))
+    size = settings.prefix_steps + settings.suffix_steps
+    covering = F.expr(f"filter({_windows_sql(settings)}, w -> w.start <= position AND position < w.start + {size} + w.gap_steps)")
+    rows = indexed.select("*", F.explode(covering).alias("_w")).select("*", "_w.gap_steps", "_w.window", F.col("_w.start").alias("window_start_index"))
     offset = (F.col("position") - F.col("window_start_index")).cast("int")
     kind, index = row_sections(offset, F.col("gap_steps"), settings.prefix_steps)
     several = (F.col("split") == "train") & F.lit(settings.train_windows > 1)
