@@ -175,9 +175,9 @@ WITH RECURSIVE points AS (
   SELECT {', '.join(f'avg({c}) AS mean_{c}, stddev_samp({c}) + 1e-8::double AS std_{c}' for c in ('latitude', 'longitude', 'SOG', 'dt_min'))} FROM win WHERE split = 'train' AND row_type <> 'gap'
 ), feats AS (
   SELECT sample_id, gap_steps, row_type, global_row_index, latitude, longitude, (latitude - mean_latitude) / std_latitude AS sl, (longitude - mean_longitude) / std_longitude AS so,
-         [CASE WHEN row_type = 'gap' THEN 0 ELSE (latitude - mean_latitude) / std_latitude END::FLOAT, CASE WHEN row_type = 'gap' THEN 0 ELSE (longitude - mean_longitude) / std_longitude END::FLOAT,
-          CASE WHEN row_type = 'gap' THEN 0 ELSE (SOG - mean_SOG) / std_SOG END::FLOAT, CASE WHEN row_type = 'gap' THEN 0 ELSE sin(radians(COG % 360::double)) END::FLOAT,
-          CASE WHEN row_type = 'gap' THEN 0 ELSE cos(radians(COG % 360::double)) END::FLOAT, ((dt_min - mean_dt_min) / std_dt_min)::FLOAT, CASE WHEN row_type = 'gap' THEN 0 ELSE 1 END::FLOAT] AS f
+         CASE WHEN row_type = 'gap' THEN 0 ELSE (latitude - mean_latitude) / std_latitude END::FLOAT AS f0, CASE WHEN row_type = 'gap' THEN 0 ELSE (longitude - mean_longitude) / std_longitude END::FLOAT AS f1,
+         CASE WHEN row_type = 'gap' THEN 0 ELSE (SOG - mean_SOG) / std_SOG END::FLOAT AS f2, CASE WHEN row_type = 'gap' THEN 0 ELSE sin(radians(COG % 360::double)) END::FLOAT AS f3,
+         CASE WHEN row_type = 'gap' THEN 0 ELSE cos(radians(COG % 360::double)) END::FLOAT AS f4, ((dt_min - mean_dt_min) / std_dt_min)::FLOAT AS f5, CASE WHEN row_type = 'gap' THEN 0 ELSE 1 END::FLOAT AS f6
   FROM win, norm
 ), tmeta AS (SELECT * FROM meta WHERE split = 'test'
 ), behave AS (
@@ -321,8 +321,8 @@ SELECTS = {
     "fill_linear": f"SELECT {STEP_COLUMNS}, {_round({'pred_lat': 'lat0 + (lat1 - lat0) * f', 'pred_lon': 'lon0 + (lon1 - lon0) * f', 'true_lat': 'latitude', 'true_lon': 'longitude'})} FROM known",
     "step_predictions": f"SELECT config, model, {STEP_COLUMNS}, {_round(PLACES)} FROM steps WHERE model IN ('a', 'b')",
     "norm_stats": f"SELECT {_round([f'{k}_{c}' for c in ('latitude', 'longitude', 'SOG', 'dt_min') for k in ('mean', 'std')])} FROM norm",
-    "feature_rows": f"SELECT sample_id, global_row_index, {', '.join(f'round(f[{i + 1}]::double, 3) AS f{i}' for i in range(7))} FROM feats",
-    "feature_sequences": "SELECT sample_id, count(*)::INT AS n_inputs, (count(*) FILTER (row_type = 'gap'))::INT AS n_target, round(sum(list_sum(list_transform(f, lambda x: x::double))), 2) AS input_sum, round(sum(sl::FLOAT::double + so::FLOAT::double) FILTER (row_type = 'gap'), 2) AS target_sum, (count(*) FILTER (row_type = 'prefix'))::INT AS n_prefix FROM feats GROUP BY 1",
+    "feature_rows": f"SELECT sample_id, global_row_index, {', '.join(f'round(f{i}::double, 3) AS f{i}' for i in range(7))} FROM feats",
+    "feature_sequences": "SELECT sample_id, count(*)::INT AS n_inputs, (count(*) FILTER (row_type = 'gap'))::INT AS n_target, round(sum(f0::double + f1::double + f2::double + f3::double + f4::double + f5::double + f6::double), 2) AS input_sum, round(sum(sl::FLOAT::double + so::FLOAT::double) FILTER (row_type = 'gap'), 2) AS target_sum, (count(*) FILTER (row_type = 'prefix'))::INT AS n_prefix FROM feats GROUP BY 1",
     "denormalize": "SELECT sample_id, global_row_index, round(latitude, 6) AS pred_lat, round(longitude, 6) AS pred_lon FROM feats WHERE row_type = 'gap'",
     "metrics_by_gap": f"""{_TEXT_DTW} SELECT gap_steps, count(*) AS num_examples, {', '.join(f'round(avg({c}), 6) AS {c}' for c in TEXT_METRICS)}, 'S1' AS sog_variant, 'C2' AS cog_variant FROM fx LEFT JOIN warped ON id = 'fixed/' || sample_id GROUP BY gap_steps""",
     "metrics_with_overall": f"""{_TEXT_DTW} SELECT CASE WHEN grouping(gap_steps) = 1 THEN 'overall' ELSE 'gap_' || gap_steps END AS gap, count(*) AS num_examples, {', '.join(f'round(avg({c}), 6) AS {c}' for c in TEXT_METRICS)} FROM fx LEFT JOIN warped ON id = 'fixed/' || sample_id GROUP BY GROUPING SETS ((gap_steps), ())""",
