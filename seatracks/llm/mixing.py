@@ -23,9 +23,9 @@ WEIGHTS = (5, 2, 1)
 MIX_SHARE = 1.5
 MAX_EPOCHS = 2.0
 #: Lengths of the prefixes of a document's place in the order at which the cut is settled: of the md5 of its id first, and
-#: where many documents share that (they share the id or have none), of the hash of its text that follows.
-PREFIXES, MORE_PREFIXES = (2, 4, 6), tuple(range(32, 49, 2))
-#: Documents at the cut of a source that are ordered one by one without settling it further.
+#: where many documents share that (they share the id or have none), of the hash of its text and of the row's number that follow.
+PREFIXES, MORE_PREFIXES = (2, 4, 6), tuple(range(32, 65, 4))
+#: Documents at the cut of a source that are ordered one by one without settling it further; the order is the same either way.
 EDGE_ROWS = 20_000
 SEED = 17
 
@@ -92,8 +92,8 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     """(id_col, size, source, source_size, target, taken[, keep]) for each row of ``df``.
 
     A null text has size 0, a null source is a source of its own and ranks last, a source of size 0
-    has target 0. Rows that share source and hash of the id are taken in order of id and size, and if these are equal too,
-    of their texts' hash; repeated rows and null ids count each. Whole texts count, however long. Other columns of ``df``
+    has target 0. Rows that share source and hash of the id are taken in the order of their texts' hashes; equal rows and null
+    ids count each, and of equal rows as many are taken as the cut leaves room for, whichever. Whole texts count, however long. Other columns of ``df``
     do not matter; an id column that is called like one of the result's gets an underscore before its name. An empty
     table gives an empty result.
     """
@@ -101,7 +101,8 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     docs = df.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), size(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("_text"), *more)
     order = F.concat(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("_id").cast("string"), F.lit(""))).cast("binary")), F.lower(F.lpad(F.hex("_text"), 16, "0")))
     skey = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
-    docs = written(docs.withColumn("skey", skey).withColumn("order", order), "sizes")
+    number = F.lower(F.lpad(F.hex(F.monotonically_increasing_id()), 16, "0"))  # tells equal rows apart; fixed once the table is written
+    docs = written(docs.withColumn("skey", skey).withColumn("order", F.concat(order, number)), "sizes")
     sources = written(docs.groupBy("skey", "source").agg(F.sum("size").alias("source_size")), "sources")
     sources = water_fill(written(ranked_weights(sources, weights), "weights"), mix_share, max_epochs)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
@@ -116,7 +117,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
         joined = docs.join(_prefix_cut(docs, cuts, MORE_PREFIXES), "skey")
     prefix = F.substring("order", 1, digits)
     edge = written(joined.where(prefix == F.col("cut")), "edge")
-    to = F.sum("size").over(Window.partitionBy("skey").orderBy(F.substring("order", 1, 32), "_id", "size", "order").rowsBetween(Window.unboundedPreceding, 0))
+    to = F.sum("size").over(Window.partitionBy("skey").orderBy("order").rowsBetween(Window.unboundedPreceding, 0))
     edge = edge.withColumn("part", F.least(F.col("size"), F.greatest(F.lit(0), F.col("left") - (to - F.col("size")))))
     rest = joined.where(prefix != F.col("cut")).withColumn("part", F.when(prefix < F.col("cut"), F.col("size")).otherwise(0))
     both = rest.unionByName(edge)
@@ -125,6 +126,25 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     return both.select(F.col("_id").alias(free_name(names, id_col)), "size", "source", "source_size", "target", taken, *([F.col("_keep").alias(free_name([*names, id_col], keep))] if keep else []))
 
 
+def _by_rank(rows: DataFrame, group: tuple[str, ...], ways: str) -> DataFrame:
+    """Turns ``ways``, an array of (taken, n) that a group's rows share, into one number: the first n rows are taken so, and so on.
+
+    Rows are numbered inside the partitions of a written table and go on from the partitions before, so a
+    large group is in no single task.
+    """
+    place, row, before = (free_name(rows.columns, c) for c in ("_place", "_row", "_before"))
+    rows = written(rows.withColumns({place: F.spark_partition_id(), row: F.monotonically_increasing_id()}), "equal")
+    per = rows.groupBy(*group, place).agg(F.count("*").alias("n"))
+    earlier = F.coalesce(F.sum("n").over(Window.partitionBy(*group).orderBy(place).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = per.select(*(F.col(c).alias(f"{before}{i}") for i, c in enumerate((*group, place))), earlier.alias(before))
+    met = [F.col(c).eqNullSafe(F.col(f"{before}{i}")) for i, c in enumerate((*group, place))]
+    rank = F.col(before) + F.row_number().over(Window.partitionBy(*group, place).orderBy(row))
+    ranked = rows.join(offsets, met).withColumn(row, rank)
+    upto = F.transform(F.sequence(F.lit(1), F.size(ways)), lambda i: F.struct(F.aggregate(F.slice(ways, F.lit(1), i), F.lit(0).cast("bigint"), lambda a, w: a + w["n"]).alias("to"), F.get(ways, i - 1)["taken"].alias("taken")))
+    taken = F.get(F.filter(upto, lambda u: F.col(row) <= u["to"]), F.lit(0))["taken"]
+    return ranked.withColumn(ways, taken).select(*(c for c in rows.columns if c not in (place, row)))
+
+
 def sampled(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """The mix itself: rows of ``df`` as often as they are taken whole, and the leading words of a document taken in part.
 
@@ -136,7 +156,8 @@ def sampled(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     key, source, body, size, n, part = (free_name(columns, c) for c in ("_key", "_source", "_body", "_size", "_taken", "_part"))
     hashed = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"), F.xxhash64(text_col).alias("body"))
     taken = mix(hashed, "id", "text", "source", keep="body", **how)
-    each = taken.groupBy("id", "source", "body", "size").agg(F.sort_array(F.collect_list("taken"), asc=False).alias("each")).where("each[0] > 0")
+    each = taken.groupBy("id", "source", "body", "size", "taken").agg(F.count("*").alias("n"))  # equal rows are taken in three ways at most: fully, in part, not at the cut
+    each = each.groupBy("id", "source", "body", "size").agg(F.sort_array(F.collect_list(F.struct("taken", "n")), asc=False).alias("each")).where("each[0].taken > 0")
     each = written(each.select(F.col("id").alias(key), F.col("source").alias(source), F.col("body").alias(body), F.col("size").alias(size), F.col("each").alias(n)), "taken")
     keyed = df.withColumn(body, F.xxhash64(text_col))
 
@@ -144,12 +165,11 @@ def sampled(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
         met = keyed.join(own, keyed[id_col].eqNullSafe(own[key]) & keyed[source_col].eqNullSafe(own[source]) & (keyed[body] == own[body]))
         return met.select(*(keyed[c] for c in columns), own[key], own[source], own[body], own[size], own[n])
 
-    alike = F.array_min(n) == F.array_max(n)
+    alike = F.size(n) == 1
     split = each.where(~alike)  # equal rows of which some are taken oftener: those at a source's limit, one set for each source
-    out = joined(each.where(alike).hint("merge")).withColumn(n, F.col(n)[0])  # as a broadcast would shuffle no texts in a small table only
+    out = joined(each.where(alike).hint("merge")).withColumn(n, F.col(n)[0]["taken"])  # as a broadcast would shuffle no texts in a small table only
     if not split.isEmpty():
-        at = F.row_number().over(Window.partitionBy(key, source, body).orderBy(size))
-        out = out.unionByName(joined(split).withColumn(n, F.get(n, at - 1)))
+        out = out.unionByName(_by_rank(joined(split), (key, source, body), n))
     joined = out.where(F.col(n) > 0)
     whole, rest = (F.col(n) / F.col(size)).cast("int"), (F.col(n) % F.col(size)).cast("int")
     parts = F.concat(F.array_repeat(F.col(size).cast("int"), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))

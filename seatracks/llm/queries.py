@@ -12,7 +12,7 @@ from .common import table
 
 
 def held_out(divisor: int, remainder: int):
-    """True for the documents that a model must not learn from."""
+    """True for the documents that a model must not learn from; null without an id, which teaches nothing either."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor == remainder
 
 
@@ -24,8 +24,8 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", held_out(4, 2))
-    model = language_id.fit(docs.where(~F.coalesce("held_out", F.lit(True))))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", F.coalesce(held_out(4, 2), F.lit(False)))
+    model = language_id.fit(docs.where(~held_out(4, 2)))
     return language_id.predict(docs, model, ("doc_id", "held_out"))
 
 
@@ -55,7 +55,7 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", held_out(3, 1))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", F.coalesce(held_out(3, 1), F.lit(False)))
     labels = table(spark, sf_dir, "labels").where(~held_out(3, 1))
     return toxicity.score(docs, toxicity.fit(docs, labels), ("doc_id", "held_out"))
 

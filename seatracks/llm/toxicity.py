@@ -32,7 +32,7 @@ IDENTITY_GROUPS = (
     ("disabled", "blind", "deaf", "elderly"),
 )
 SIZES = (3, 4, 5, 6)
-#: Longest word that is a feature as a whole; longer ones have their n-grams as features.
+#: Longest word that is a feature as a whole (by default); longer ones have their n-grams as features.
 LONGEST_WORD = 40
 #: Longest word whose n-grams are listed in one row.
 LISTED_WORD = 1000
@@ -165,10 +165,10 @@ def _substrings(text: Column, n: int) -> Column:
     return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - n + 1)), lambda i: F.substring(text, i, F.lit(n)))
 
 
-def features_of(words: DataFrame) -> DataFrame:
+def features_of(words: DataFrame, longest_word: int = LONGEST_WORD) -> DataFrame:
     """(feature, toxic, clean): the features of each of ``words`` (word, toxic, clean), each once."""
     marked = words.withColumn("marked", F.concat(F.lit("^"), "word", F.lit("$")))
-    whole = F.when(F.length("word") <= LONGEST_WORD, F.array("marked")).otherwise(F.array().cast("array<string>"))
+    whole = F.when(F.length("word") <= longest_word, F.array("marked")).otherwise(F.array().cast("array<string>"))
     grams = F.concat(whole, *(_substrings(F.col("marked"), n) for n in SIZES))
     listed = marked.where(F.length("word") <= LISTED_WORD).select(F.explode(F.array_distinct(grams)).alias("feature"), "toxic", "clean")
     each = marked.where(F.length("word") > LISTED_WORD).withColumn("of", F.xxhash64("word")).withColumn("at", F.explode(F.sequence(F.lit(1), F.length("marked") - min(SIZES) + 1)))
@@ -189,17 +189,19 @@ def bounded_labels(labels: DataFrame, id_col: str, label_col: str, rows_per_labe
     return rows.where(unit < share)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows_per_label: int = 6000, most_features: int = 4000, least_z: float = 3.0, fairness: float = 1.0, ridge: float = 1e-4, groups=IDENTITY_GROUPS, seed: int = 11) -> Classifier:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows_per_label: int = 6000, most_features: int = 4000, least_z: float = 3.0, fairness: float = 1.0, ridge: float = 1e-4, groups=IDENTITY_GROUPS, longest_word: int = LONGEST_WORD, seed: int = 11) -> Classifier:
     """Learn from the texts of ``docs`` whose id has a label of 0 or 1 in ``labels``.
 
-    At most about ``rows_per_label`` of each label are used, whole texts each; that bounds the broadcast
-    labels. The driver gets at most ``most_features`` strings and the sample's feature numbers. Null
-    texts, ids and labels teach nothing; repeated labels of an id count once, contradicting ones not at all; rows of
-    ``docs`` that share a labelled id all teach; words of any length count; equally telling features are taken by name;
+    At most about ``rows_per_label`` rows of each label are used, whole texts each; that bounds the broadcast
+    labels and the sample. The driver gets at most ``most_features`` strings and the sample's feature numbers. Null
+    texts, ids and labels teach nothing; repeated labels of an id count once, contradicting ones not at all; of rows of
+    ``docs`` that share a labelled id one teaches, the one whose text has the smallest hash. Words of any length count by their n-grams; one of up
+    to ``longest_word`` letters is a feature as a whole too, which bounds the size of the ``most_features`` strings; equally telling features are taken by name;
     other columns do not matter. Without rows of both labels (empty tables) the classifier scores 0.
     """
     few = bounded_labels(labels, id_col, label_col, rows_per_label, seed)
     sample = docs.select(id_col, F.col(text_col).alias("text")).where("text IS NOT NULL").join(F.broadcast(few), id_col)
+    sample = sample.groupBy(id_col).agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("label").alias("label"))
     sample = written(sample.select("text", "label"), "sample")
 
     def count_words(batches):
@@ -214,7 +216,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 yield pa.RecordBatch.from_arrays([words.cast(pa.string()), pa.array(toxic), pa.array(np.bincount(word, minlength=len(words)) - toxic)], names=["word", "toxic", "clean"])
 
     words = sample.mapInArrow(count_words, "word string, toxic bigint, clean bigint").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    counted = written(features_of(written(words, "words")).groupBy("feature").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).where("t >= 3 AND length(feature) >= 3"), "features")
+    counted = written(features_of(written(words, "words"), longest_word).groupBy("feature").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).where("t >= 3 AND length(feature) >= 3"), "features")
     total = counted.agg(F.sum("t").alias("t"), F.sum("c").alias("c")).first()
     t, c = F.col("t") + 0.5, F.col("c") + 0.5
     z = (F.log(t / float((total["t"] or 0) + 1)) - F.log(c / float((total["c"] or 0) + 1))) / F.sqrt(1 / t + 1 / c)

@@ -105,3 +105,25 @@ def test_an_id_column_called_like_a_result(spark):
     df, rows = corpus(spark)
     got = M.mix(df.withColumnRenamed("doc_id", "size"), id_col="size")
     assert got.columns == ["_size", "size", "source", "source_size", "target", "taken"] and got.count() == len(rows)
+
+
+def test_the_documents_taken_do_not_depend_on_how_many_stand_at_the_cut(spark, monkeypatch):
+    """Null ids, equal rows and different texts: settling the cut further takes the same rows."""
+    rows = [(None, " ".join(f"w{i % 50}" for _ in range(1 + i % 50)), "ab"[i % 2], 0) for i in range(400)] + [(None, "same text here", "a", 0)] * 150
+    df = spark.createDataFrame(rows, SCHEMA)
+    taken = lambda: sorted(tuple(r) for r in M.mix(df.withColumn("t", F.col("text")), keep="t").select("t", "source", "size", "taken").collect())
+    kept = lambda: sorted((r["source"], r["text"]) for r in M.sampled(df).collect())
+    few, few_kept = taken(), kept()
+    monkeypatch.setattr(M, "EDGE_ROWS", 10)
+    assert taken() == few and kept() == few_kept
+    words = {s: sum(r[3] for r in few if r[1] == s) for s in "ab"}
+    assert {s: sum(len(t.split()) for o, t in few_kept if o == s) for s in "ab"} == words
+
+
+def test_many_equal_rows_at_the_cut_are_taken_by_count(spark, monkeypatch):
+    monkeypatch.setattr(M, "EDGE_ROWS", 10)
+    df = spark.createDataFrame([(None, "one two three", "s", i) for i in range(1000)], SCHEMA).repartition(7)
+    mixed = [r["taken"] for r in M.mix(df, mix_share=1.5).collect()]
+    assert sum(mixed) == 4500 and set(mixed) == {3, 6} and mixed.count(6) == 500
+    out = M.sampled(df, mix_share=1.5)
+    assert out.count() == 1500 and out.select(df.columns[-1]).distinct().count() == 1000

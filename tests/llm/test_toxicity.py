@@ -124,3 +124,18 @@ def test_query_on_held_out_rows_and_against_brute_force(spark):
     toxic, clean = [p for p, t in truth if t], [p for p, t in truth if not t]
     assert len(toxic) >= 5 and len(clean) >= 50
     assert sum(toxic) >= 0.7 * len(toxic) and sum(clean) <= 0.02 * len(clean)
+
+
+def test_rows_that_share_a_labelled_id_do_not_swell_the_sample(spark, monkeypatch):
+    sizes = []
+    real = X.written
+    monkeypatch.setattr(X, "written", lambda df, name="step": sizes.append((name, real(df, name))) or sizes[-1][1])
+    docs = spark.createDataFrame([(i % 4, f"text {i} {'vile' if i % 2 else 'mild'}") for i in range(2000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 0), (1, 1), (2, 0), (3, 1)], "doc_id long, toxic int")
+    X.fit(docs, labels, rows_per_label=2)
+    assert dict(sizes)["sample"].count() <= 4
+
+
+def test_score_of_an_empty_table(spark):
+    model = X.fit(spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "doc_id long, toxic int"))
+    assert X.score(spark.createDataFrame([], "doc_id long, text string"), model).count() == 0
