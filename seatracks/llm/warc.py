@@ -43,22 +43,28 @@ def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def _record_id(key: str | None) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'record:{key}')}>"
+def _record_id(key: str | None, digest: str, place: str | None) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'record:{place}:{digest}:{key}')}>"
 
 
-def record(key: str | None, uri: str | None, payload: bytes | None, size: int, digest: str, refers_to: str | None) -> bytes:
-    """One record: a response with its payload, or a revisit of ``refers_to`` with the HTTP header only."""
+def record(key: str | None, uri: str | None, payload: bytes | None, size: int, digest: str, refers_to: str | None, place: str | None = None, by_id: bool = True) -> bytes:
+    """One record: a response with its payload, or a revisit of ``refers_to`` with the HTTP header only.
+
+    The record's id is made of key and digest; where these do not tell records apart, of its ``place`` in the archives
+    too. A revisit names its response's record id ``by_id``, unless several records could be meant.
+    """
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = http if refers_to is not None else http + (payload or b"")
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {_record_id(key)}", f"WARC-Date: {CAPTURED}", "Content-Type: application/http;msgtype=response"]
+    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {_record_id(key, digest, place)}", f"WARC-Date: {CAPTURED}", "Content-Type: application/http;msgtype=response"]
     if uri is not None:
         head.append(f"WARC-Target-URI: {' '.join(uri.split())}")
     head.append(f"WARC-Payload-Digest: sha1:{digest}")
     if key is not None:
         head.append(f"X-Row-Key: {quote(key, safe='')}")  # any text fits into the line
     if refers_to is not None:
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {_record_id(refers_to)}", f"X-Refers-To-Key: {quote(refers_to, safe='')}"]
+        head += [f"WARC-Profile: {PROFILE}", f"X-Refers-To-Key: {quote(refers_to, safe='')}"]
+        if by_id:
+            head.append(f"WARC-Refers-To: {_record_id(refers_to, digest, None)}")
     head.append(f"Content-Length: {len(block)}")
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -166,7 +172,7 @@ def write_archives(df: DataFrame, id_col: str, text_col: str, uri_col: str | Non
 
     Of rows with equal payloads of at least ``least_bytes`` bytes, that with the smallest id is the
     response (so are rows that repeat its id) and the others revisit it; rows with a null id are
-    responses unless another row with the payload has an id. A null text is an empty payload; texts are archived whole,
+    responses unless another row with the payload has an id. Record ids are unique, whatever rows repeat. A null text is an empty payload; texts are archived whole,
     however long; ids may be any text or bytes; other columns do not matter. An empty table gives no archive.
     """
     binary = isinstance(df.schema[id_col].dataType, BinaryType)
@@ -177,20 +183,25 @@ def write_archives(df: DataFrame, id_col: str, text_col: str, uri_col: str | Non
     rows = df.select(
         F.col(id_col).alias("id"), (F.col(uri_col).cast("string") if uri_col else F.lit(None).cast("string")).alias("uri"), text.alias("text"), F.sha1(text.cast("binary")).alias("sha1"), F.octet_length(text).cast("bigint").alias("size")
     )
-    first = rows.where(F.col("size") >= least_bytes).groupBy("sha1").agg(F.min("id").alias("first"), F.count("*").alias("n"))
-    first = written(first.where("n > 1").drop("n"), "first")
+    ids = rows.where(F.col("size") >= least_bytes).groupBy("sha1", "id").agg(F.count("*").alias("n"))
+    first = ids.groupBy("sha1").agg(F.min("id").alias("first"), F.sum("n").alias("n"), F.min_by("n", F.struct(F.col("id").isNull(), "id")).alias("alike"))
+    first = written(first.where("n > 1").select("sha1", "first", F.col("alike").alias("n_first")), "first")
     known = rows.join(first, "sha1", "left")
     refers = F.when((F.col("size") >= least_bytes) & F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first")), F.col("first"))
-    known = known.withColumn("refers", refers)
-    slim = known.select(as_key("id").alias("key"), "uri", F.when(F.col("refers").isNull(), F.col("text")).alias("text"), "size", "sha1", as_key("refers").alias("refers"), "id")
+    alone = F.col("n_first").isNull() & (F.col("size") >= least_bytes)  # no other row has the payload
+    sole = F.coalesce(F.col("id") == F.col("first"), F.lit(False)) & (F.col("n_first") == 1)  # the response that others revisit
+    known = known.withColumns({"refers": refers, "named": F.coalesce(alone | sole, F.lit(False)), "by_id": F.coalesce(F.col("n_first") == 1, F.lit(True))})
+    slim = known.select(as_key("id").alias("key"), "uri", F.when(F.col("refers").isNull(), F.col("text")).alias("text"), "size", "sha1", as_key("refers").alias("refers"), "named", "by_id", "id")
 
     def write(batches):
-        out = ArchiveWriter(folder, f"part-{TaskContext.get().partitionId():06d}", sample_bytes, record_sample)
+        stem, n = f"part-{TaskContext.get().partitionId():06d}", 0
+        out = ArchiveWriter(folder, stem, sample_bytes, record_sample)
         for batch in batches:
-            key, uri, text, size, sha1, refers = (batch.column(i).to_pylist() for i in range(6))
+            key, uri, text, size, sha1, refers, named, by_id = (batch.column(i).to_pylist() for i in range(8))
             for i in range(batch.num_rows):
-                digest = base64.b32encode(bytes.fromhex(sha1[i])).decode()
-                out.add(record(key[i], uri[i], None if text[i] is None else text[i].encode("utf-8", "surrogatepass"), size[i], digest, refers[i]))
+                digest, n = base64.b32encode(bytes.fromhex(sha1[i])).decode(), n + 1
+                payload = None if text[i] is None else text[i].encode("utf-8", "surrogatepass")
+                out.add(record(key[i], uri[i], payload, size[i], digest, refers[i], None if named[i] else f"{stem}/{n}", by_id[i]))
         out.close()
         yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in out.done], pa.string()), pa.array([d[1] for d in out.done], pa.int64()), pa.array([d[2] for d in out.done], pa.int64())], names=["file", "records", "raw_bytes"])
 

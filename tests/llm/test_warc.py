@@ -93,3 +93,19 @@ def test_payloads_are_read_in_batches(spark, monkeypatch):
     folder, _ = A.write_archives(spark.createDataFrame(rows, SCHEMA), "page_id", "html")
     back = {int(r["key"]): bytes(r["payload"]).decode() for r in A.read_archives(spark, folder, with_payload=True).collect()}
     assert back == {i: h for i, _, h in rows}
+
+
+def test_record_ids_are_unique_and_revisits_name_a_record(spark):
+    rows = [(1, None, "a"), (2, None, "a"), (3, None, "b"), (3, None, "b"), (4, None, "b"), (5, None, "c"), (5, None, "d"), (None, None, "e"), (None, None, "e"), (None, None, "f"), (6, None, "f"), (7, None, None)]
+    for least in (0, 2):
+        folder, _ = A.write_archives(spark.createDataFrame(rows * 2, SCHEMA).repartition(3), "page_id", "html", None, None, least)
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).collect()
+        fields = [A.parse_record(raw)[0] for f in files for raw in A.read_archive(bytes(f["content"]))]
+        ids = {f["warc-record-id"] for f in fields}
+        assert len(fields) == len(ids) == 2 * len(rows)
+        assert {f["warc-refers-to"] for f in fields if "warc-refers-to" in f} <= ids
+    folder, _ = A.write_archives(spark.createDataFrame(rows[:2] + rows[9:11], SCHEMA), "page_id", "html")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).collect()
+    fields = [A.parse_record(raw)[0] for f in files for raw in A.read_archive(bytes(f["content"]))]
+    named = {f["warc-refers-to"]: f["x-refers-to-key"] for f in fields if f["warc-type"] == "revisit"}
+    assert len(named) == 2 and named == {f["warc-record-id"]: f["x-row-key"] for f in fields if f["warc-type"] == "response"}
