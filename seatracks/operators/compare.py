@@ -107,10 +107,22 @@ def _wins(pairs: DataFrame, keys: list[str]) -> DataFrame:
     return out.withColumn("win_percent", F.bround(100.0 * F.col("wins") / F.col("total"), 1))
 
 
+def _pairs(metrics: DataFrame, first: Column, second: Column, metric: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, gap_steps, sample_id, first, second): the metric of the rows that meet two conditions, for the samples that have both.
+
+    One conditional grouping by track and sample: the table is read once, and the windows' partitioning serves it.
+    """
+    keys = [*by, *(c for c in ("trajectory_id",) if c in metrics.columns), "gap_steps", "sample_id"]
+    value = F.struct(_number(metric).alias("v"))
+    side = lambda which: F.max(F.when(which, value))
+    per = metrics.where(first | second).groupBy(*keys).agg(side(first).alias("_a"), side(second).alias("_b")).where("_a IS NOT NULL AND _b IS NOT NULL")
+    return per.select(*by, "gap_steps", "sample_id", F.col("_a.v").alias("first"), F.col("_b.v").alias("second"))
+
+
 def win_rate(metrics: DataFrame, model: str, baseline: str, metric: str = "ADE_km", by: tuple[str, ...] = ()) -> DataFrame:
     """(gap_steps, wins, total, win_percent) over common samples; only a strictly lower value wins."""
-    side = lambda name, as_: metrics.where(F.col("model") == name).select(*by, "gap_steps", "sample_id", _number(metric).alias(as_))
-    return _wins(side(model, "mine").join(side(baseline, "base"), [*by, "gap_steps", "sample_id"]), [*by, "gap_steps"])
+    pairs = _pairs(metrics, F.col("model") == model, F.col("model") == baseline, metric, by)
+    return _wins(pairs.withColumnsRenamed({"first": "mine", "second": "base"}), [*by, "gap_steps"])
 
 
 def long_metrics(metrics: DataFrame, names=METRICS) -> DataFrame:
@@ -139,11 +151,13 @@ def win_rate_pivot(table: DataFrame, gaps, metric: str = "ADE_km") -> DataFrame:
     return wide.select("config", "baseline", *(F.col(str(g)).alias(f"gap_{g}") for g in gaps))
 
 
+def _configs(metrics: DataFrame, model: str, config: str, against: str, metric: str) -> DataFrame:
+    return _pairs(metrics.where(F.col("model") == model), F.col("config") == config, F.col("config") == against, metric)
+
+
 def config_win_rate(metrics: DataFrame, model: str, config: str, against: str, metric: str = "ADE_km") -> DataFrame:
     """(gap_steps, wins, total, win_percent) of one configuration over another, same model and samples."""
-    of = metrics.where(F.col("model") == model)
-    side = lambda name, as_: of.where(F.col("config") == name).select("gap_steps", "sample_id", _number(metric).alias(as_))
-    return _wins(side(config, "mine").join(side(against, "base"), ["gap_steps", "sample_id"]), ["gap_steps"])
+    return _wins(_configs(metrics, model, config, against, metric).withColumnsRenamed({"first": "mine", "second": "base"}), ["gap_steps"])
 
 
 def gap_duration_stats(metadata: DataFrame) -> DataFrame:
@@ -245,11 +259,9 @@ def metric_distribution(metrics: DataFrame, metric: str = "ADE_km") -> DataFrame
 
 def paired_metric(metrics: DataFrame, model: str, config: str, against: str, metric: str = "ADE_km") -> DataFrame:
     """(gap_steps, sample_id, first, second, second_better, n_second_better): value pairs of two configurations."""
-    of = metrics.where(F.col("model") == model)
-    side = lambda name, as_: of.where(F.col("config") == name).select("gap_steps", "sample_id", _number(metric).alias(as_))
-    pairs = side(config, "first").join(side(against, "second"), ["gap_steps", "sample_id"]).withColumn("second_better", F.coalesce(F.col("second") < F.col("first"), F.lit(False)))
+    pairs = _configs(metrics, model, config, against, metric).withColumn("second_better", F.coalesce(F.col("second") < F.col("first"), F.lit(False)))
     counts = pairs.groupBy("gap_steps").agg(F.count_if("second_better").alias("n_second_better"))
-    return pairs.join(F.broadcast(counts), "gap_steps")  # one row for each gap size
+    return pairs.join(counts, "gap_steps")  # a row for each gap size: Spark broadcasts it
 
 
 def step_alignment(steps: DataFrame, models: list[str], by: tuple[str, ...] = ()) -> DataFrame:

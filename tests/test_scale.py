@@ -73,6 +73,13 @@ def test_alignment_and_behaviour_read_the_events_once(spark, data):
         assert plan.count("Exchange hashpartitioning") == 1
 
 
+def test_pairs_read_the_events_once(spark, data):
+    for name in ("win_rate", "config_win_rate"):
+        plan = plan_of(QUERIES[name](spark, data))
+        assert len(re.findall("Scan parquet", plan)) == 1 and "Join" not in plan
+        assert plan.count("Exchange hashpartitioning") == 2  # by track, and the few sums by gap size
+
+
 def test_behaviour_of_outside_metadata_is_the_same(spark, data):
     rows = W.gap_windows(S.filter_split(X.with_split(X.points(spark, data)), "test"))
     metrics = C.sample_metrics(X.steps(rows).where("config = 'x'"))
