@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import minhash
 from .common import free_name, text_chunks, written
 
 #: Generator polynomial of the binary Golay code: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1 (fixed value).
@@ -199,9 +200,59 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return fps.join(of_fp, "fp").select(id_col, hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3) -> DataFrame:
+def similar_texts(texts: DataFrame, similarity: float, width: int = 5, bucket_limit: int = 8) -> DataFrame:
+    """(sid, root): the texts that have a near copy, each with the smallest sid of its group.
+
+    ``texts``: (sid long, text string), each sid once. Candidates are the texts within 2 bits by their Golay keys and
+    those that share a MinHash band; whole texts decide, by the Jaccard similarity of their shingles of ``width`` words.
+    In a bucket of up to ``bucket_limit`` texts all pairs are candidates, in a larger one its first text with each
+    other one. Larger buckets that still hold several groups then take another text against all of other groups, round
+    after round until no bucket finds a link, so that no bucket is compared pair by pair.
+    """
+    fps = written(fingerprints(texts, "sid", "text"), "fps")
+    first = written(fps.groupBy("fp").agg(F.min("sid").alias("first")), "first")
+    equal = fps.join(first, "fp").where("sid > first").select(F.col("first").alias("a"), F.col("sid").alias("b"))
+    ends = near_links(first).join(first.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a")
+    ends = ends.join(first.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
+    near = ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+    keys = written(minhash.banded(texts, width), "bands")
+    sizes = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("sid").alias("head")).where("n > 1")
+    shared = written(keys.join(sizes, "key"), "shared")
+    few = shared.where(F.col("n") <= bucket_limit)
+    pairs = few.select("key", F.col("sid").alias("a")).join(few.select("key", F.col("sid").alias("b")), "key").where("a < b").select("a", "b")
+    many = shared.where(F.col("n") > bucket_limit).select("key", "sid", "head")
+    heads = many.where("sid > head").select(F.col("head").alias("a"), F.col("sid").alias("b"))
+    pairs = written(equal.unionByName(near).unionByName(pairs).unionByName(heads).distinct(), "pairs")
+    wanted = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
+    bodies = written(texts.select("sid", "text").hint("merge").join(wanted, "sid", "left_semi"), "bodies")
+
+    links = written(minhash.similar(pairs, bodies, similarity, width), "links")
+    turn = 0
+    while True:
+        stars = written(connected(links), "stars")
+        members = stars.select(F.col("b").alias("sid"), F.col("a").alias("root"))
+        members = written(members.unionByName(stars.select(F.col("a").alias("sid"), F.col("a").alias("root")).distinct()), "members")
+        turn += 1
+        placed = many.join(members, "sid", "left").select("key", "sid", F.coalesce("root", "sid").alias("root"))
+        order = F.struct(F.xxhash64("sid", F.lit(turn)), "sid", "root")
+        heads = placed.groupBy("key").agg(F.min(order).alias("head"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+        open_ = placed.join(heads.select("key", F.col("head.sid").alias("h"), F.col("head.root").alias("of_h")), "key").where("root != of_h")
+        pairs = written(open_.select(F.col("h").alias("a"), F.col("sid").alias("b")).distinct(), "pairs")
+        found = minhash.similar(pairs, bodies, similarity, width)
+        found = written(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "found")
+        if found.isEmpty():
+            return members
+        links = written(links.unionByName(found), "links")
+
+
+def deduplicated(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, similarity: float | None = None, similar_words: int = 5
+) -> DataFrame:
     """One row of each group of near-duplicates: that with the smallest id; ids that are null come last.
 
+    Without ``similarity`` fingerprints of shingles of ``shingle_words`` link at 2 or fewer differing bits, as in
+    ``near_duplicates``; with it, texts link whose shingles of ``similar_words`` have at least that Jaccard similarity.
     Rows are told apart by id and text: rows that share an id with different texts are documents of their own, of rows
     that share both one stays. Null and blank texts are one group; whole texts count; columns of ``df`` may have any names;
     an empty table gives an empty result.
@@ -209,8 +260,15 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     columns = df.columns
     key, body = free_name(columns, "_key"), free_name(columns, "_body")
     row = F.struct(F.col(id_col).isNull().alias("unknown"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("body"))
-    groups = near_duplicates(df.select(row.alias("row"), F.col(text_col).alias("text")), "row", "text", shingle_words)
-    kept = groups.where("row = component_id").select(F.col("row.id").alias(key), F.col("row.body").alias(body)).distinct()
+    rows = df.select(row.alias("row"), F.col(text_col).alias("text"))
+    if similarity is None:
+        firsts = near_duplicates(rows, "row", "text", shingle_words).where("row = component_id").select("row")
+    else:
+        texts = written(rows.groupBy(F.col("row.body").alias("sid")).agg(F.min("row").alias("row"), F.first("text").alias("text")), "texts")
+        groups = similar_texts(texts, similarity, similar_words)
+        found = texts.select("sid", "row").join(groups, "sid", "left")
+        firsts = found.groupBy(F.coalesce("root", "sid")).agg(F.min("row").alias("row")).select("row")
+    kept = firsts.select(F.col("row.id").alias(key), F.col("row.body").alias(body)).distinct()
     kept = written(kept, "kept").hint("merge")  # as a broadcast would shuffle no texts in a small table only
     keyed = df.withColumn(body, F.xxhash64(text_col))
     left = keyed.join(kept, keyed[id_col].eqNullSafe(kept[key]) & (keyed[body] == kept[body]), "left_semi")

@@ -3,9 +3,9 @@
 from collections import Counter
 
 import corpus_pipeline as P
+from test_minhash import brute_groups
 from test_packing import check_layout
 from test_quality_rules import brute as statistics
-from test_simhash import brute_components, brute_fingerprint
 
 from seatracks.llm.common import written
 from seatracks.llm.quality_rules import line_hash
@@ -34,8 +34,7 @@ def test_stages(spark, data):
         gone = Counter(lang[i].split("\n")) - Counter(text.split("\n"))
         assert not {line_hash(x) for x in gone} & {line_hash(x) for x in text.split("\n")} - {None}
 
-    fps = {i: brute_fingerprint(t) for i, t in rules.items()}
-    assert {r["doc_id"] for r in seen["simhash_dedup"]} == set(brute_components(fps).values())
+    assert {r["doc_id"] for r in seen["simhash_dedup"]} == set(brute_groups(rules, 0.8).values())
 
     mixed = Counter()
     for r in seen["mixing"]:
