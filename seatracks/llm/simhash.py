@@ -24,7 +24,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import minhash
@@ -206,8 +206,9 @@ def similar_texts(texts: DataFrame, similarity: float, width: int = 5, bucket_li
     ``texts``: (sid long, text string), each sid once. Candidates are the texts within 2 bits by their Golay keys and
     those that share a MinHash band; whole texts decide, by the Jaccard similarity of their shingles of ``width`` words.
     In a bucket of up to ``bucket_limit`` texts all pairs are candidates, in a larger one its first text with each
-    other one. Larger buckets that still hold several groups then take another text against all of other groups, round
-    after round until no bucket finds a link, so that no bucket is compared pair by pair.
+    other one. Larger buckets that still hold several groups then take a text of each of ``bucket_limit`` groups against
+    all texts of the others, chosen anew round after round until a round finds no link, so that no bucket is compared
+    pair by pair. A link of a larger bucket is lost if neither of its ends was taken, in none of the shared bands.
     """
     fps = written(fingerprints(texts, "sid", "text"), "fps")
     first = written(fps.groupBy("fp").agg(F.min("sid").alias("first")), "first")
@@ -235,9 +236,11 @@ def similar_texts(texts: DataFrame, similarity: float, width: int = 5, bucket_li
         members = written(members.unionByName(stars.select(F.col("a").alias("sid"), F.col("a").alias("root")).distinct()), "members")
         turn += 1
         placed = many.join(members, "sid", "left").select("key", "sid", F.coalesce("root", "sid").alias("root"))
-        order = F.struct(F.xxhash64("sid", F.lit(turn)), "sid", "root")
-        heads = placed.groupBy("key").agg(F.min(order).alias("head"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-        open_ = placed.join(heads.select("key", F.col("head.sid").alias("h"), F.col("head.root").alias("of_h")), "key").where("root != of_h")
+        order = F.struct(F.xxhash64("sid", F.lit(turn)), "sid")
+        heads = placed.groupBy("key", F.col("root").alias("of_h")).agg(F.min(order).alias("head"))
+        nth = F.row_number().over(Window.partitionBy("key").orderBy("head"))
+        heads = heads.withColumn("nth", nth).where(F.col("nth") <= bucket_limit).select("key", F.col("head.sid").alias("h"), "of_h")
+        open_ = placed.join(heads, "key").where("root != of_h")
         pairs = written(open_.select(F.col("h").alias("a"), F.col("sid").alias("b")).distinct(), "pairs")
         found = minhash.similar(pairs, bodies, similarity, width)
         found = written(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "found")
