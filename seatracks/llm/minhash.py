@@ -1,22 +1,34 @@
-"""Texts that share most of their word shingles: MinHash bands give candidates, whole texts decide.
+"""Texts that share most of their word shingles: MinHash bands and prefixes give candidates, whole texts decide.
 
 Words are lower-cased in A-Z and split at ASCII white space; a text of fewer words than a shingle has one shingle, a text
 without words none. Each text gets ``BANDS`` keys of ``ROWS`` minima: two texts of similarity s share a key with
 probability 1 - (1 - s^6)^12, which is 0.97 at 0.8 and 0.999 at 0.87.
+
+Prefixes lose nothing: with all shingles in one order, whatever it is, two texts of similarity s share one of the first
+n - ceil(s n) + 1 of their n shingles each, and the first one they share leaves enough of both behind it. Parity sketches
+lose nothing either: each shingle flips one bit, so two sketches differ in at most as many bits as the texts in shingles.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import text_chunks
 
 BANDS, ROWS = 12, 6
 SEED = 42
+#: Bits of the filter of frequent shingles, by their upper bits. Its false positives only change the order of shingles.
+COMMON_BITS = 22
+#: Against rounding: bounds of candidates are this much wider.
+SLACK = 1e-9
+#: Texts of a key that meet each other in one task.
+BLOCK = 512
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -51,18 +63,115 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
     return keys
 
 
-def banded(texts: DataFrame, width: int = 5) -> DataFrame:
-    """(key, sid) for each band of each row of ``texts`` (sid long, text string)."""
+def parity_sketch(hashes: np.ndarray) -> np.ndarray:
+    """A power of two of bits, 64 or more and at least one a shingle, as 64-bit words."""
+    bits = 1 << max(6, (len(hashes) - 1).bit_length())
+    odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def sketches_differ(a: np.ndarray, b: np.ndarray) -> int:
+    """Bits in which two sketches differ, the longer one folded to the length of the other: a lower bound of the
+    shingles that only one text has."""
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count((a ^ b).view(np.uint64)).sum())  # of signed numbers it would count the absolute value
+
+
+def prefix(hashes: np.ndarray, similarity: float, common: np.ndarray | None = None) -> np.ndarray:
+    """The shingles one of which each text of that similarity shares, in their order: those outside the filter ``common``
+    first, then by hash."""
+    n = len(hashes)
+    if not n:
+        return hashes
+    if common is not None:
+        at = hashes >> np.uint64(64 - COMMON_BITS)
+        late = (common[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)
+        hashes = hashes[np.argsort(late, kind="stable")]
+    return hashes[: n - math.ceil(similarity * n - SLACK) + 1]
+
+
+def profiled(texts: DataFrame, similarity: float, width: int = 5, common: np.ndarray | None = None) -> DataFrame:
+    """(sid, size, bands, prefix, sketch) for each row of ``texts`` (sid long, text string)."""
+
+    def lists(values: list[np.ndarray]) -> pa.ListArray:
+        offsets = np.cumsum([0, *map(len, values)], dtype=np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*values, np.zeros(0, dtype=np.int64)])))
 
     def run(batches):
         for batch in batches:
             for part in text_chunks(batch, "text"):
-                keys = [band_keys(shingle_hashes(t, width)) for t in part.column(1).to_pylist()]
-                sids = np.repeat(part.column(0).to_numpy(zero_copy_only=False), [len(k) for k in keys])
-                flat = np.concatenate([*keys, np.zeros(0, dtype=np.uint64)])
-                yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(sids)], names=["key", "sid"])
+                hashes = [shingle_hashes(t, width) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(0),
+                        pa.array([len(h) for h in hashes], type=pa.int32()),
+                        lists([band_keys(h).view(np.int64) for h in hashes]),
+                        lists([prefix(h, similarity, common).view(np.int64) for h in hashes]),
+                        lists([parity_sketch(h) for h in hashes]),
+                    ],
+                    names=["sid", "size", "bands", "prefix", "sketch"],
+                )
+
+    kinds = "sid bigint, size int, bands array<bigint>, prefix array<bigint>, sketch array<bigint>"
+    return texts.select("sid", "text").mapInArrow(run, kinds)
+
+
+def shared_postings(rooted: DataFrame) -> DataFrame:
+    """(key, n, sid, size, root, at): the places of ``rooted`` (sid, size, root, prefix) at prefix shingles that texts of
+    more than one root have; n texts have that shingle."""
+    places = rooted.select("sid", "size", "root", F.posexplode("prefix").alias("at", "key"))
+    key = Window.partitionBy("key")  # one exchange of the places: a grouping and a join would need two
+    seen = places.select("*", F.count("*").over(key).alias("n"), F.min("root").over(key).alias("low"), F.max("root").over(key).alias("high"))
+    return seen.where("low < high").drop("low", "high")
+
+
+def prefix_pairs(shared: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a < b) of different roots that may have the similarity by the first shingle they share.
+
+    The texts of a frequent shingle meet each other in blocks, so in many tasks.
+    """
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    left = shared.select("key", F.pmod(F.xxhash64("sid"), blocks).cast("int").alias("block"), *(F.col(c).alias(f"{c}_a") for c in ("sid", "size", "root", "at")))
+    right = shared.select("key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), *(F.col(c).alias(f"{c}_b") for c in ("sid", "size", "root", "at")))
+    behind = F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b"))
+    enough = similarity / (1 + similarity) * (F.col("size_a") + F.col("size_b")) - SLACK
+    fits = (F.col("sid_a") < F.col("sid_b")) & (F.col("root_a") != F.col("root_b")) & (behind >= enough)
+    met = left.join(right, (left["key"] == right["key"]) & (left["block"] == right["block"]) & fits)
+    return met.select(F.col("sid_a").alias("a"), F.col("sid_b").alias("b")).distinct()
+
+
+def common_shingles(keys: DataFrame) -> np.ndarray:
+    """The filter of ``keys`` (key): 2 ** ``COMMON_BITS`` bits as 64-bit words, however many keys there are."""
+    at = F.shiftrightunsigned("key", 64 - COMMON_BITS)
+    words = keys.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(shiftrightunsigned(key, %d) & 63 as int))" % (64 - COMMON_BITS))).alias("bits"))
+    out = np.zeros(1 << (COMMON_BITS - 6), dtype=np.int64)
+    for word, bits in words.collect():
+        out[word] = bits
+    return out.view(np.uint64)
+
+
+def may_be_similar(pairs: DataFrame, profiles: DataFrame, similarity: float) -> DataFrame:
+    """Those pairs (a, b) that sizes and parity sketches do not rule out; ``profiles``: (sid, size, sketch)."""
+
+    def run(batches):
+        for batch in batches:
+            n_a, n_b = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("size_a", "size_b"))
+            most = (n_a + n_b) * (1 - similarity) / (1 + similarity) + SLACK
+            keep = np.abs(n_a - n_b) <= most
+            words, ends = [], []
+            for c in ("sketch_a", "sketch_b"):
+                words.append(batch.column(c).flatten().to_numpy(zero_copy_only=False))
+                ends.append(np.cumsum([0, *batch.column(c).value_lengths().to_pylist()]))
+            for i in np.flatnonzero(keep):
+                keep[i] = sketches_differ(*(w[e[i] : e[i + 1]] for w, e in zip(words, ends))) <= most[i]
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    return texts.select("sid", "text").mapInArrow(run, "key bigint, sid bigint")
+    there = pairs.join(profiles.select(F.col("sid").alias("b"), F.col("size").alias("size_b"), F.col("sketch").alias("sketch_b")), "b")
+    there = there.join(profiles.select(F.col("sid").alias("a"), F.col("size").alias("size_a"), F.col("sketch").alias("sketch_a")), "a")
+    return there.select("a", "b", "size_a", "size_b", "sketch_a", "sketch_b").mapInArrow(run, "a bigint, b bigint")
 
 
 def similar(pairs: DataFrame, texts: DataFrame, similarity: float, width: int = 5) -> DataFrame:

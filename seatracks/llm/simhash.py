@@ -33,6 +33,10 @@ from .common import free_name, text_chunks, written
 #: Generator polynomial of the binary Golay code: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1 (fixed value).
 GOLAY_POLYNOMIAL = 0b110001110101
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
+#: Rounds of a few texts of each large bucket against all others, before the exact search finds what is left.
+HEAD_ROUNDS = 3
+#: How often texts of frequent shingles get new prefixes before all their pairs are candidates.
+ORDERS = 2
 SEED = 42
 
 
@@ -200,15 +204,32 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return fps.join(of_fp, "fp").select(id_col, hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def similar_texts(texts: DataFrame, similarity: float, width: int = 5, bucket_limit: int = 8) -> DataFrame:
+def _members(links: DataFrame) -> DataFrame:
+    """(sid, root) of all linked texts, the smallest of each component included."""
+    stars = written(connected(links), "stars")
+    members = stars.select(F.col("b").alias("sid"), F.col("a").alias("root"))
+    return written(members.unionByName(stars.select(F.col("a").alias("sid"), F.col("a").alias("root")).distinct()), "members")
+
+
+def _joined(members: DataFrame, found: DataFrame) -> DataFrame:
+    """``members`` with the links ``found`` added."""
+    return _members(members.select(F.col("root").alias("a"), F.col("sid").alias("b")).unionByName(found))
+
+
+def similar_texts(texts: DataFrame, similarity: float, width: int = 5, bucket_limit: int = 8, crowd_limit: int = 64) -> DataFrame:
     """(sid, root): the texts that have a near copy, each with the smallest sid of its group.
 
-    ``texts``: (sid long, text string), each sid once. Candidates are the texts within 2 bits by their Golay keys and
-    those that share a MinHash band; whole texts decide, by the Jaccard similarity of their shingles of ``width`` words.
-    In a bucket of up to ``bucket_limit`` texts all pairs are candidates, in a larger one its first text with each
-    other one. Larger buckets that still hold several groups then take a text of each of ``bucket_limit`` groups against
-    all texts of the others, chosen anew round after round until a round finds no link, so that no bucket is compared
-    pair by pair. A link of a larger bucket is lost if neither of its ends was taken, in none of the shared bands.
+    ``texts``: (sid long, text string), each sid once. Whole texts decide, by the Jaccard similarity of their shingles of
+    ``width`` words, and no link that would join two groups is lost.
+
+    Most links are found first: among the texts within 2 bits by their Golay keys and those that share a MinHash band. In
+    a bucket of up to ``bucket_limit`` texts all pairs are candidates, in a larger one its first text with each other
+    one; then a text of each of ``bucket_limit`` groups against all texts of the others, chosen anew in each of up to
+    ``HEAD_ROUNDS`` rounds.
+
+    What these leave, however much, is found exactly, by the shingles of the texts' prefixes (see ``minhash``): all pairs of texts of
+    different groups that share one are candidates. Where more than ``crowd_limit`` texts share one, its texts get
+    prefixes anew, with such shingles last in the order, up to ``ORDERS`` times; then all pairs of the rest are candidates.
     """
     fps = written(fingerprints(texts, "sid", "text"), "fps")
     first = written(fps.groupBy("fp").agg(F.min("sid").alias("first")), "first")
@@ -217,36 +238,50 @@ def similar_texts(texts: DataFrame, similarity: float, width: int = 5, bucket_li
     ends = ends.join(first.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
     near = ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
-    keys = written(minhash.banded(texts, width), "bands")
+    profiles = written(minhash.profiled(texts, similarity, width), "profiles")
+    keys = profiles.select(F.explode("bands").alias("key"), "sid")
     sizes = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("sid").alias("head")).where("n > 1")
     shared = written(keys.join(sizes, "key"), "shared")
     few = shared.where(F.col("n") <= bucket_limit)
     pairs = few.select("key", F.col("sid").alias("a")).join(few.select("key", F.col("sid").alias("b")), "key").where("a < b").select("a", "b")
     many = shared.where(F.col("n") > bucket_limit).select("key", "sid", "head")
     heads = many.where("sid > head").select(F.col("head").alias("a"), F.col("sid").alias("b"))
-    pairs = written(equal.unionByName(near).unionByName(pairs).unionByName(heads).distinct(), "pairs")
-    wanted = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
-    bodies = written(texts.select("sid", "text").hint("merge").join(wanted, "sid", "left_semi"), "bodies")
-
-    links = written(minhash.similar(pairs, bodies, similarity, width), "links")
-    turn = 0
-    while True:
-        stars = written(connected(links), "stars")
-        members = stars.select(F.col("b").alias("sid"), F.col("a").alias("root"))
-        members = written(members.unionByName(stars.select(F.col("a").alias("sid"), F.col("a").alias("root")).distinct()), "members")
-        turn += 1
+    pairs = equal.unionByName(near).unionByName(pairs).unionByName(heads).distinct()
+
+    def similar(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
+        pairs = written(minhash.may_be_similar(pairs, profiles, similarity), "pairs")
+        wanted = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
+        bodies = written(bodies.join(wanted, "sid", "left_semi"), "bodies")
+        found = minhash.similar(pairs, bodies, similarity, width)
+        return written(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "links")
+
+    members = _members(similar(pairs, texts.select("sid", "text").hint("merge")))
+    for turn in range(1, HEAD_ROUNDS + 1):
         placed = many.join(members, "sid", "left").select("key", "sid", F.coalesce("root", "sid").alias("root"))
         order = F.struct(F.xxhash64("sid", F.lit(turn)), "sid")
         heads = placed.groupBy("key", F.col("root").alias("of_h")).agg(F.min(order).alias("head"))
         nth = F.row_number().over(Window.partitionBy("key").orderBy("head"))
         heads = heads.withColumn("nth", nth).where(F.col("nth") <= bucket_limit).select("key", F.col("head.sid").alias("h"), "of_h")
         open_ = placed.join(heads, "key").where("root != of_h")
-        pairs = written(open_.select(F.col("h").alias("a"), F.col("sid").alias("b")).distinct(), "pairs")
-        found = minhash.similar(pairs, bodies, similarity, width)
-        found = written(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "found")
+        found = similar(open_.select(F.col("h").alias("a"), F.col("sid").alias("b")).distinct(), texts)
         if found.isEmpty():
+            break
+        members = _joined(members, found)
+
+    left, common = profiles, np.zeros(1 << (minhash.COMMON_BITS - 6), dtype=np.uint64)
+    for turn in range(ORDERS + 1):
+        last = turn == ORDERS
+        rooted = left.join(members, "sid", "left").select("sid", "size", F.coalesce("root", "sid").alias("root"), "prefix")
+        shared = written(minhash.shared_postings(rooted), "shared")
+        found = similar(minhash.prefix_pairs(shared if last else shared.where(F.col("n") <= crowd_limit), similarity), texts)
+        if not found.isEmpty():
+            members = _joined(members, found)
+        crowd = shared.where(F.col("n") > crowd_limit)
+        if last or crowd.isEmpty():
             return members
-        links = written(links.unionByName(found), "links")
+        common = common | minhash.common_shingles(crowd.select("key"))
+        again = texts.join(crowd.select("sid").distinct(), "sid", "left_semi")
+        left = written(minhash.profiled(again, similarity, width, common), "profiles")
 
 
 def deduplicated(

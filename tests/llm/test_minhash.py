@@ -112,3 +112,62 @@ def test_rows_with_odd_values(spark):
     assert got.columns == df.columns
     assert sorted((r["doc_id"] or 0, r["text"]) for r in got.collect()) == sorted([(3, text.upper()), (1, None), (7, "few words"), (0, "alone without an id"), (6, "w " * 100_000)], key=lambda x: x[0])
     assert S.deduplicated(df.limit(0), similarity=0.8).count() == 0
+
+
+def test_prefixes_and_sketches_lose_nothing():
+    rng = np.random.default_rng(2)
+    for _ in range(300):
+        n, (gone, new) = int(rng.integers(1, 400)), rng.integers(0, rng.choice((4, 60)), 2)
+        h = rng.integers(0, 1 << 63, n + 60, dtype=np.uint64) * np.uint64(2)
+        x = np.unique(h[:n])
+        y = np.unique(np.concatenate([x[rng.permutation(n) >= min(gone, n - 1)], h[n : n + new]]))
+        common = rng.integers(0, 1 << 63, 1 << (M.COMMON_BITS - 6), dtype=np.uint64)  # any filter: half of the order turned
+        both, either = len(np.intersect1d(x, y)), len(np.union1d(x, y))
+        assert M.sketches_differ(M.parity_sketch(x), M.parity_sketch(y)) <= either - both
+        for marks in (None, common):
+            if both >= 0.8 * either:
+                a, b = M.prefix(x, 0.8, marks), M.prefix(y, 0.8, marks)
+                at = [(i, int(np.flatnonzero(b == k)[0])) for i, k in enumerate(a) if k in b]
+                assert at and min(len(x) - at[0][0], len(y) - at[0][1]) >= 0.8 / 1.8 * (len(x) + len(y)) - M.SLACK
+    h = rng.integers(0, 1 << 63, 450, dtype=np.uint64)
+    assert 600 / 9 < M.sketches_differ(M.parity_sketch(h[:300]), M.parity_sketch(h[150:])) <= 300  # and tell others apart
+
+
+def test_filter_of_common_shingles(spark):
+    keys = [0, 1 << 42, -1, -(1 << 63), (1 << 63) - 1, 77 << 45]
+    common = M.common_shingles(spark.createDataFrame([(k,) for k in keys], "key long"))
+    assert sum(map(int, np.bitwise_count(common))) == len(keys)
+    x = np.sort(np.array([*keys, *(k ^ (1 << 50) for k in keys)], dtype=np.int64).view(np.uint64))
+    assert list(M.prefix(x, 0.01, common)[len(keys) :].view(np.int64)) == sorted(keys, key=lambda k: k % (1 << 64))
+
+
+def groups_of(spark, rows, **limits):
+    texts = spark.createDataFrame(rows, "sid long, text string")
+    found = {r["sid"]: r["root"] for r in S.similar_texts(texts, 0.8, **limits).collect()}
+    return {i: found.get(i, i) for i, _ in rows}
+
+
+def test_links_without_a_shared_band(spark):
+    rng = random.Random(21)
+    rows = []
+    for i in range(250):  # 4 edits in 182 shingles: 20 of each are of their own, a similarity just above 0.8
+        words = prose(rng, 186)
+        other = list(words)
+        for at in (20, 60, 100, 140):
+            other[at] = f"x{i}"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    want = {i: i - i % 2 for i, _ in rows}
+    assert jaccard(shingles(rows[0][1]), shingles(rows[1][1])) < 0.802
+    assert groups_of(spark, rows) == want
+
+
+@pytest.mark.parametrize("crowd", [64, 3])
+def test_no_link_of_a_large_bucket_is_lost(spark, crowd):
+    rng = random.Random(6)
+    shared = prose(rng, 170)
+    rows = [(i, " ".join(shared + prose(rng, 22))) for i in range(240)]  # all meet in bands, at 0.79
+    for i in (31, 77, 120, 158):  # with one more each that goes on with four equal words: 0.825
+        rows.append((1000 + i, " ".join(rows[i][1].split()[:174] + prose(rng, 18))))
+    want = brute_groups(dict(rows), 0.8)
+    assert sum(want[i] != i for i in want) == 4
+    assert groups_of(spark, rows, bucket_limit=2, crowd_limit=crowd) == want
