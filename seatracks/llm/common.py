@@ -48,6 +48,17 @@ def written(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_by(df: DataFrame, key: str, name: str = "step") -> DataFrame:
+    """Like ``written``, in buckets of ``key``: joins on it need no shuffle of the table."""
+    spark = df.sparkSession
+    entry = f"{name}_{uuid.uuid4().hex}"
+    buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 100_000)  # Spark's limit
+    df.write.format("parquet").bucketBy(buckets, key).option("path", new_folder(spark, name)).saveAsTable(entry)
+    table = spark.table(entry)
+    spark.sql(f"DROP TABLE {entry}")  # the entry alone: files at a given path stay
+    return table
+
+
 def free_name(taken, name: str) -> str:
     """``name``, with as many underscores before it as no column of ``taken`` has (case does not count)."""
     taken = {c.lower() for c in taken}

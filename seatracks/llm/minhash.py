@@ -93,12 +93,13 @@ def prefix(hashes: np.ndarray, similarity: float, common: np.ndarray | None = No
     return hashes[: n - math.ceil(similarity * n - SLACK) + 1]
 
 
-def profiled(texts: DataFrame, similarity: float, width: int = 5, common: np.ndarray | None = None) -> DataFrame:
-    """(sid, size, bands, prefix, sketch) for each row of ``texts`` (sid long, text string)."""
+def _lists(values: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.cumsum([0, *map(len, values)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*values, np.zeros(0, dtype=np.int64)])))
+
 
-    def lists(values: list[np.ndarray]) -> pa.ListArray:
-        offsets = np.cumsum([0, *map(len, values)], dtype=np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*values, np.zeros(0, dtype=np.int64)])))
+def profiled(texts: DataFrame, similarity: float, width: int = 5) -> DataFrame:
+    """(sid, size, bands, prefix, sketch) for each row of ``texts`` (sid long, text string)."""
 
     def run(batches):
         for batch in batches:
@@ -108,9 +109,9 @@ def profiled(texts: DataFrame, similarity: float, width: int = 5, common: np.nda
                     [
                         part.column(0),
                         pa.array([len(h) for h in hashes], type=pa.int32()),
-                        lists([band_keys(h).view(np.int64) for h in hashes]),
-                        lists([prefix(h, similarity, common).view(np.int64) for h in hashes]),
-                        lists([parity_sketch(h) for h in hashes]),
+                        _lists([band_keys(h).view(np.int64) for h in hashes]),
+                        _lists([prefix(h, similarity).view(np.int64) for h in hashes]),
+                        _lists([parity_sketch(h) for h in hashes]),
                     ],
                     names=["sid", "size", "bands", "prefix", "sketch"],
                 )
@@ -119,6 +120,20 @@ def profiled(texts: DataFrame, similarity: float, width: int = 5, common: np.nda
     return texts.select("sid", "text").mapInArrow(run, kinds)
 
 
+def prefixed(texts: DataFrame, similarity: float, width: int, common: np.ndarray) -> DataFrame:
+    """(sid, size, prefix) for each row of ``texts``, shingles in the filter ``common`` last."""
+
+    def run(batches):
+        for batch in batches:
+            for part in text_chunks(batch, "text"):
+                hashes = [shingle_hashes(t, width) for t in part.column(1).to_pylist()]
+                sizes = pa.array([len(h) for h in hashes], type=pa.int32())
+                prefixes = _lists([prefix(h, similarity, common).view(np.int64) for h in hashes])
+                yield pa.RecordBatch.from_arrays([part.column(0), sizes, prefixes], names=["sid", "size", "prefix"])
+
+    return texts.select("sid", "text").mapInArrow(run, "sid bigint, size int, prefix array<bigint>")
+
+
 def shared_postings(rooted: DataFrame) -> DataFrame:
     """(key, n, sid, size, root, at): the places of ``rooted`` (sid, size, root, prefix) at prefix shingles that texts of
     more than one root have; n texts have that shingle."""

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import minhash
-from .common import free_name, text_chunks, written
+from .common import free_name, text_chunks, written, written_by
 
 #: Generator polynomial of the binary Golay code: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1 (fixed value).
 GOLAY_POLYNOMIAL = 0b110001110101
@@ -206,7 +206,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def _members(links: DataFrame) -> DataFrame:
     """(sid, root) of all linked texts, the smallest of each component included."""
-    stars = written(connected(links), "stars")
+    stars = connected(links)
     members = stars.select(F.col("b").alias("sid"), F.col("a").alias("root"))
     return written(members.unionByName(stars.select(F.col("a").alias("sid"), F.col("a").alias("root")).distinct()), "members")
 
@@ -219,8 +219,9 @@ def _joined(members: DataFrame, found: DataFrame) -> DataFrame:
 def similar_texts(texts: DataFrame, similarity: float, width: int = 5, bucket_limit: int = 8, crowd_limit: int = 64) -> DataFrame:
     """(sid, root): the texts that have a near copy, each with the smallest sid of its group.
 
-    ``texts``: (sid long, text string), each sid once. Whole texts decide, by the Jaccard similarity of their shingles of
-    ``width`` words, and no link that would join two groups is lost.
+    ``texts``: (sid long, text string), each sid once; of a table in buckets of sid only the texts of candidates are shuffled.
+    Whole texts decide, by the Jaccard similarity of their shingles of ``width`` words, and no link that would join two
+    groups is lost.
 
     Most links are found first: among the texts within 2 bits by their Golay keys and those that share a MinHash band. In
     a bucket of up to ``bucket_limit`` texts all pairs are candidates, in a larger one its first text with each other
@@ -248,14 +249,16 @@ def similar_texts(texts: DataFrame, similarity: float, width: int = 5, bucket_li
     heads = many.where("sid > head").select(F.col("head").alias("a"), F.col("sid").alias("b"))
     pairs = equal.unionByName(near).unionByName(pairs).unionByName(heads).distinct()
 
-    def similar(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
+    def of(sids: DataFrame) -> DataFrame:
+        return texts.select("sid", "text").join(sids.distinct().hint("shuffle_hash"), "sid", "left_semi")
+
+    def similar(pairs: DataFrame) -> DataFrame:
         pairs = written(minhash.may_be_similar(pairs, profiles, similarity), "pairs")
-        wanted = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
-        bodies = written(bodies.join(wanted, "sid", "left_semi"), "bodies")
-        found = minhash.similar(pairs, bodies, similarity, width)
+        bodies = of(pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))))
+        found = minhash.similar(pairs, bodies.repartition("sid"), similarity, width)  # one exchange for both its joins
         return written(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "links")
 
-    members = _members(similar(pairs, texts.select("sid", "text").hint("merge")))
+    members = _members(similar(pairs))
     for turn in range(1, HEAD_ROUNDS + 1):
         placed = many.join(members, "sid", "left").select("key", "sid", F.coalesce("root", "sid").alias("root"))
         order = F.struct(F.xxhash64("sid", F.lit(turn)), "sid")
@@ -263,7 +266,7 @@ def similar_texts(texts: DataFrame, similarity: float, width: int = 5, bucket_li
         nth = F.row_number().over(Window.partitionBy("key").orderBy("head"))
         heads = heads.withColumn("nth", nth).where(F.col("nth") <= bucket_limit).select("key", F.col("head.sid").alias("h"), "of_h")
         open_ = placed.join(heads, "key").where("root != of_h")
-        found = similar(open_.select(F.col("h").alias("a"), F.col("sid").alias("b")).distinct(), texts)
+        found = similar(open_.select(F.col("h").alias("a"), F.col("sid").alias("b")).distinct())
         if found.isEmpty():
             break
         members = _joined(members, found)
@@ -273,15 +276,14 @@ def similar_texts(texts: DataFrame, similarity: float, width: int = 5, bucket_li
         last = turn == ORDERS
         rooted = left.join(members, "sid", "left").select("sid", "size", F.coalesce("root", "sid").alias("root"), "prefix")
         shared = written(minhash.shared_postings(rooted), "shared")
-        found = similar(minhash.prefix_pairs(shared if last else shared.where(F.col("n") <= crowd_limit), similarity), texts)
+        found = similar(minhash.prefix_pairs(shared if last else shared.where(F.col("n") <= crowd_limit), similarity))
         if not found.isEmpty():
             members = _joined(members, found)
         crowd = shared.where(F.col("n") > crowd_limit)
         if last or crowd.isEmpty():
             return members
         common = common | minhash.common_shingles(crowd.select("key"))
-        again = texts.join(crowd.select("sid").distinct(), "sid", "left_semi")
-        left = written(minhash.profiled(again, similarity, width, common), "profiles")
+        left = minhash.prefixed(of(crowd.select("sid")), similarity, width, common)
 
 
 def deduplicated(
@@ -298,14 +300,16 @@ def deduplicated(
     columns = df.columns
     key, body = free_name(columns, "_key"), free_name(columns, "_body")
     row = F.struct(F.col(id_col).isNull().alias("unknown"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("body"))
-    rows = df.select(row.alias("row"), F.col(text_col).alias("text"))
-    if similarity is None:
-        firsts = near_duplicates(rows, "row", "text", shingle_words).where("row = component_id").select("row")
-    else:
-        texts = written(rows.groupBy(F.col("row.body").alias("sid")).agg(F.min("row").alias("row"), F.first("text").alias("text")), "texts")
-        groups = similar_texts(texts, similarity, similar_words)
+    if similarity is not None:  # whole rows are shuffled once, here
+        rows = df.select(row.alias("row"), F.struct(*columns).alias("whole"))
+        texts = rows.groupBy(F.col("row.body").alias("sid")).agg(F.min("row").alias("row"), F.min_by("whole", "row").alias("whole"))
+        texts = written_by(texts, "sid", "texts")
+        groups = similar_texts(texts.select("sid", F.col("whole").getField(text_col).alias("text")), similarity, similar_words)
         found = texts.select("sid", "row").join(groups, "sid", "left")
-        firsts = found.groupBy(F.coalesce("root", "sid")).agg(F.min("row").alias("row")).select("row")
+        kept = found.groupBy(F.coalesce("root", "sid")).agg(F.min("row").alias("row")).select(F.col("row.body").alias("sid"))
+        return texts.join(written(kept, "kept").hint("shuffle_hash"), "sid", "left_semi").select("whole.*")
+    rows = df.select(row.alias("row"), F.col(text_col).alias("text"))
+    firsts = near_duplicates(rows, "row", "text", shingle_words).where("row = component_id").select("row")
     kept = firsts.select(F.col("row.id").alias(key), F.col("row.body").alias(body)).distinct()
     kept = written(kept, "kept").hint("merge")  # as a broadcast would shuffle no texts in a small table only
     keyed = df.withColumn(body, F.xxhash64(text_col))

@@ -171,3 +171,25 @@ def test_no_link_of_a_large_bucket_is_lost(spark, crowd):
     want = brute_groups(dict(rows), 0.8)
     assert sum(want[i] != i for i in want) == 4
     assert groups_of(spark, rows, bucket_limit=2, crowd_limit=crowd) == want
+
+
+def test_whole_texts_are_shuffled_once(spark):
+    def shuffled():
+        jvm, sc = spark.sparkContext._jvm, spark.sparkContext._jsc.sc()
+        sc.listenerBus().waitUntilEmpty(30_000)
+        found = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() for s in (found.apply(i) for i in range(found.size()))}
+
+    rng = random.Random(13)
+    texts = [" ".join(f"{rng.getrandbits(64):x}" for _ in range(rng.randrange(200, 600))) for _ in range(400)]
+    rows = [(i, t, "a") for i, t in enumerate(texts)]
+    for i in range(0, 400, 40):  # ten near copies
+        words = texts[i].split()
+        rows.append((1000 + i, " ".join(["x", *words[1:]]), "b"))
+    df = spark.createDataFrame(rows, SCHEMA).localCheckpoint()
+    before = set(shuffled())
+    got = S.deduplicated(df, similarity=0.8).select("doc_id", "source").collect()
+    assert sorted(map(tuple, got)) == [(i, "a") for i in range(400)]
+    moved = sum(n for at, n in shuffled().items() if at not in before)
+    assert moved < 1.6 * sum(len(t) for _, t, _ in rows)
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("texts_")]
